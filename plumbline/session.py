@@ -26,15 +26,20 @@ def get_spark(app: str = "plumbline", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's shared checkpoint folder, or a local one in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    """Folder for intermediate tables: the shared ``spark.checkpoint.dir``, or a temporary one in local runs."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _local_scratch:
+        _local_scratch[application] = tempfile.mkdtemp(prefix="plumbline-")
+    return _local_scratch[application]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
