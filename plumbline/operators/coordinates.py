@@ -62,7 +62,7 @@ def axis_mismatches(source: DataFrame, target: DataFrame, tolerance: float = C.G
 
 def axis_signature(axis: DataFrame) -> DataFrame:
     """SHA-256 of the sorted coordinate list, rounded to ten decimals: one row per axis name."""
-    values = F.transform(F.array_sort(F.collect_list(F.round("value", 10))), lambda v: F.format_number(v, 10))
+    values = F.transform(F.array_sort(F.collect_list(F.round("value", 10))), lambda v: F.format_string("%.10f", v))
     return axis.groupBy("axis").agg(F.count(F.lit(1)).alias("size"), F.sha2(F.array_join(values, ","), 256).alias("sha256"))
 
 

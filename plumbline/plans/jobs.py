@@ -76,12 +76,18 @@ def pending_cycles(expected: DataFrame, stored: DataFrame | None, version: str,
 
 
 def build_corpus(
-    spark: SparkSession, sources: Sources, layout: Layout, years: list[int], max_cycles: int | None = None
+    spark: SparkSession,
+    sources: Sources,
+    layout: Layout,
+    years: list[int],
+    max_cycles: int | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Derive all pending cycles in one plan and replace their partitions; returns the corpus status.
 
     Invalid stored cycles are copied to the quarantine folder before they are replaced. The manifest is
-    written even when a check fails, so the next run continues from what is stored.
+    written even when a check fails, so the next run continues from what is stored. ``only`` restricts the
+    run to some cycles.
     """
     if max_cycles is not None and max_cycles < 0:
         raise ContractViolation("max_cycles must not be negative")
@@ -89,6 +95,8 @@ def build_corpus(
     raise_if_any(coordinates.bad_cycle_hours(expected), "unexpected initialization hours")
     stored = _stored_cycles(spark, layout.cycles)
     pending = pending_cycles(expected, stored, sources.dataset_version, sources.rows_per_cycle, sources.regions)
+    if only is not None:
+        pending = pending.join(only.select("init_time").distinct(), "init_time", "left_semi")
     if max_cycles is not None:
         pending = pending.orderBy("init_time").limit(max_cycles)
     pending = written(pending, "pending-cycles")

@@ -27,8 +27,7 @@ def follow_forecasts(
         if news.isEmpty():
             return
         table = spark.read.schema(C.FORECAST_GRID).parquet(landing)
-        chosen = table.join(news, "init_time", "left_semi")
-        build_corpus(spark, replace(sources, forecast=chosen, previous=table), layout, years)
+        build_corpus(spark, replace(sources, forecast=table, previous=table), layout, years, only=news)
 
     return (
         arrivals.writeStream.foreachBatch(derive)
