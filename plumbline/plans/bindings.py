@@ -105,7 +105,7 @@ def part_boxes(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     west = F.lit(68.0) + (F.col("p_partkey") * 53 % 2719) / F.lit(100.0)
     south = F.lit(6.0) + (F.col("p_partkey") * 37 % 2917) / F.lit(100.0)
-    size = F.lit(0.1) + F.col("p_size") / F.lit(200.0)
+    size = F.lit(0.1) + F.col("p_size") / F.lit(40.0)
     boxes = part.select(
         F.col("p_partkey").alias("region_id"), F.col("p_name").alias("region_name"),
         west.alias("w"), south.alias("s"), (west + size).alias("e"), (south + size).alias("n"),
@@ -127,17 +127,22 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
 DIMENSIONS = [f"e{i}" for i in range(64)]
 
 
+def floor_time(column: str, hours: int):
+    """Start of the ``hours`` slot of the day, without leaving zone-free time."""
+    c = column
+    return F.expr(f"make_timestamp_ntz(year({c}), month({c}), day({c}), CAST((hour({c}) DIV {hours}) * {hours} AS INT), 0, 0)")
+
+
 def cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Events as run values: init = 12 h bucket, lead = 24, 48 or 72 h by user, one region per event type."""
+    """Events as run values: init = 12 h slot, lead = 24, 48 or 72 h by user, region = event type."""
     events = table(spark, d, "events")
-    bucket = F.expr("CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 43200000000) AS BIGINT)")
     return events.select(
-        bucket.alias("b"),
+        floor_time("ts", 12).alias("init_time"),
         (F.lit(24) * (F.col("user_id") % 3 + 1)).cast("int").alias("lead_hours"),
         F.col("event_type").alias("region_id"),
         "user_id",
         "value",
-    ).withColumn("init_time", F.expr("CAST(timestamp_seconds(b * 43200) AS TIMESTAMP_NTZ)")).drop("b")
+    )
 
 
 def orders_as_predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +164,8 @@ def orders_as_predictions(spark: SparkSession, d: str) -> DataFrame:
 def risk_rows(spark: SparkSession, d: str) -> DataFrame:
     """One prediction per (run month, lead, region): mean order value as probability."""
     orders = orders_as_predictions(spark, d)
-    month = F.date_trunc("month", F.col("forecast_initialization_time")).cast("timestamp_ntz")
+    t = "forecast_initialization_time"
+    month = F.expr(f"make_timestamp_ntz(year({t}), month({t}), 1, 0, 0, 0)")
     return (
         orders.withColumn("forecast_initialization_time", month)
         .groupBy("forecast_initialization_time", "lead_day", "region_id")
