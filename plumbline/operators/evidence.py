@@ -132,16 +132,24 @@ def feature_values(features: list[str]) -> Column:
 
 
 def value_map(columns: list[str]) -> Column:
-    return F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])
+    """Map of column name to value."""
+    return F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))]).cast("map<string,double>")
 
 
 def analog_scaler(train: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Scaler of the analog space, fitted on training rows only, with the number of rows behind it."""
     features = features or C.NUMERIC_FEATURES
-    return scaler_stats(train, features).withColumn("fit_rows", F.lit(train.count()))
+    return scaler_stats(train, features).withColumn("fit_rows", F.lit(train.count()).cast("bigint"))
 
 
-def analog_payloads(queries: DataFrame, train: DataFrame, stats: DataFrame, features: list[str] | None = None, k: int = C.ANALOG_COUNT) -> DataFrame:
+def analog_payloads(
+    queries: DataFrame,
+    train: DataFrame,
+    stats: DataFrame,
+    features: list[str] | None = None,
+    k: int = C.ANALOG_COUNT,
+    summary: list[str] | None = None,
+) -> DataFrame:
     """Ordered analog list per prediction key, with feature and error summaries as maps.
 
     ``queries`` and ``train`` are labelled rows with the canonical columns.
@@ -168,13 +176,14 @@ def analog_payloads(queries: DataFrame, train: DataFrame, stats: DataFrame, feat
         "distance",
         "bust",
         "severity",
-        value_map([f for f in C.ANALOG_FEATURES if f in train.columns]).alias("forecast_feature_summary"),
+        value_map(summary or C.ANALOG_FEATURES).alias("forecast_feature_summary"),
         value_map([c for c in C.ERROR_COLUMNS if c in train.columns]).alias("retrospective_error_summary"),
         "dataset_version",
     )
     detailed = found.select("qid", "cid", "rank", "distance").join(train.withColumn("cid", key), "cid").select("qid", event.alias("event"))
     # At most k events per prediction.
-    listed = detailed.groupBy("qid").agg(F.array_sort(F.collect_list("event")).alias("historical_analogs"))
+    by_rank = F.array_sort(F.collect_list("event"), lambda a, b: a["rank"] - b["rank"])
+    listed = detailed.groupBy("qid").agg(by_rank.alias("historical_analogs"))
     return queries.select("region_id", "lead_day", "forecast_initialization_time", key.alias("qid")).join(listed, "qid").drop("qid")
 
 
@@ -186,13 +195,14 @@ def explanations(
     model_version: str,
     features: list[str] | None = None,
     catalog: dict | None = None,
+    summary: list[str] | None = None,
 ) -> DataFrame:
     """One nested record per prediction row: probabilities, drivers, feature values and analogs."""
     keys = ["region_id", "lead_day", "forecast_initialization_time"]
     features = features or C.NUMERIC_FEATURES
     scored = written(model.score(rows), "scored-rows")
     shap = tree_attributions(model, scored, keys)
-    history = analog_payloads(rows, train, written(analog_scaler(train, features), "analog-scaler"), features)
+    history = analog_payloads(rows, train, written(analog_scaler(train, features), "analog-scaler"), features, summary=summary)
     joined = scored.drop("features").join(shap, keys).join(history, keys, "left")
     described = joined.withColumn(
         "_drivers", describe_drivers("contributions", feature_values([model.category, *features]), catalog)

@@ -67,10 +67,9 @@ def _blocks(candidates: DataFrame, group: list[str], block_rows: int) -> tuple[D
         F.max("r_hi").alias("r_hi"),
         F.ceil(F.sum("n") / (2.0 * block_rows)).cast("int").alias("parts"),
     )
-    blocks = written(blocks, "analog-blocks")
     where = placed.select(*group, BUCKET, "block").join(blocks.select(*group, "block", "parts"), [*group, "block"])
     located = (
-        marked.join(where, [*group, BUCKET])
+        marked.join(written(where, "analog-where"), [*group, BUCKET])
         .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
         .drop(BUCKET, "parts", "_r")
     )
@@ -120,20 +119,24 @@ def _top_of_block(k: int, other_lead: bool):
     return best
 
 
-def _visit(visits: DataFrame, located: DataFrame, group: list[str], k: int, other_lead: bool) -> DataFrame:
-    """Evaluate queries against the blocks assigned to them; crowded blocks are served in several chunks."""
+def _visit(visits: DataFrame, located: DataFrame, group: list[str], k: int, other_lead: bool, count: int) -> DataFrame:
+    """Evaluate queries against the blocks assigned to them; crowded blocks are served in several chunks.
+
+    ``count`` is the number of visits: up to ``QUERY_ROWS`` in all, no block can be crowded.
+    """
     place = [*group, "block", "part"]
-    load = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / float(QUERY_ROWS)).cast("int").alias("chunks"))
-    load = written(load, "analog-load")
-    chunk = F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int")
-    left = visits.join(load, place).withColumn("chunk", chunk).select("qid", "x", "q_init", "q_lead", *place, "chunk")
-    right = located.join(load, place).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    kinds = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]}
-    schema = ", ".join(
-        f"{name} {kinds[name]}" if name in kinds else f"{name} double" for name in ["qid", "cid", "distance", "c_init", "c_lead"]
-    )
+    if count <= QUERY_ROWS:
+        left, right = visits.withColumn("chunk", F.lit(0)), located.withColumn("chunk", F.lit(0))
+    else:
+        load = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / float(QUERY_ROWS)).cast("int").alias("chunks"))
+        load = written(load, "analog-load")
+        left = visits.join(load, place).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+        right = located.join(load, place).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     keys = [*place, "chunk"]
+    left = left.select("qid", "x", "q_init", "q_lead", *keys)
     right = right.select("cid", "x", "c_init", "c_lead", *keys)
+    kinds = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]} | {"distance": "double"}
+    schema = ", ".join(f"{name} {kinds[name]}" for name in ["qid", "cid", "distance", "c_init", "c_lead"])
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_top_of_block(k, other_lead), schema)
 
 
@@ -156,9 +159,16 @@ def nearest(
     Queries bring (qid, q_init, q_lead, x, group), candidates (cid, c_init, c_lead, x, group); a
     candidate of the query's own run never counts, with ``other_lead`` neither does one of its lead.
     """
-    located, directory = _blocks(candidates, group, block_rows or BLOCK_ROWS)
-    located = written(located, "analog-located")
-    asked = written(queries.withColumn("_r", _norm("x")).join(directory, group), "analog-queries")
+    limit = block_rows or BLOCK_ROWS
+    queries = written(queries.withColumn("_r", _norm("x")), "analog-queries")
+    candidates = written(candidates, "analog-candidates")
+    asked_count = queries.count()
+    if candidates.count() <= limit:
+        # The whole table fits one block, so does every group.
+        whole = [F.lit(0).alias("block"), F.lit(0).alias("part")]
+        return _visit(queries.select("*", *whole), candidates.select("*", *whole), group, k, other_lead, asked_count)
+    located, directory = _blocks(candidates, group, limit)
+    asked = queries.join(directory, group)
     below = F.filter("_blocks", lambda b: b["r_lo"] <= F.col("_r"))
     home = F.coalesce(F.try_element_at(below, F.lit(-1)), F.get("_blocks", F.lit(0)))
     first = asked.withColumn("_home", home).select(
@@ -166,28 +176,28 @@ def nearest(
         F.col("_home.block").alias("block"),
         F.pmod(F.xxhash64("qid"), F.col("_home.parts")).cast("int").alias("part"),
     )
-    first = written(first, "analog-first")
-    seen = written(_visit(first, located, group, k, other_lead), "analog-seen")
+    seen = written(_visit(first, located, group, k, other_lead, asked_count), "analog-seen")
     reach = seen.groupBy("qid").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("_reach")
     )
-    limit = F.coalesce("_reach", F.lit(float("inf"))) * (1 + _SLACK) + _SLACK
+    reachable = F.coalesce("_reach", F.lit(float("inf"))) * (1 + _SLACK) + _SLACK
     hopeful = F.filter(
         "_blocks",
         lambda b: (b["r_lo"] - F.col("_limit") <= F.col("_r")) & (b["r_hi"] + F.col("_limit") >= F.col("_r")),
     )
     rest = (
         asked.join(reach, "qid", "left")
-        .withColumn("_limit", limit)
+        .withColumn("_limit", reachable)
         .withColumn("b", F.explode(hopeful))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("b.parts") - 1)))
         .select("qid", "x", "q_init", "q_lead", *group, F.col("b.block").alias("block"), "part")
         .join(first.select("qid", "block", "part"), ["qid", "block", "part"], "left_anti")
     )
     rest = written(rest, "analog-rest")
-    if rest.isEmpty():
+    more = rest.count()
+    if not more:
         return seen
-    both = seen.unionByName(_visit(rest, located, group, k, other_lead))
+    both = seen.unionByName(_visit(rest, located, group, k, other_lead, more))
     return _keep_best(both, k, ["distance", "c_init", "c_lead", "cid"]).drop("rank")
 
 
@@ -208,7 +218,7 @@ def analogs(
     short = queries.join(counts, "qid", "left").filter(F.coalesce("_hits", F.lit(0)) < k).drop("_hits")
     found = same.withColumn("other_lead", F.lit(0))
     short = written(short, "analog-short")
-    if not short.isEmpty():
+    if short.count():
         pool = candidates.join(short.select(region).distinct(), region, "left_semi")
         fallback = nearest(short, pool, [region], k, True, block_rows)
         found = found.unionByName(fallback.withColumn("other_lead", F.lit(1)))

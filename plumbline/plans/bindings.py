@@ -169,7 +169,7 @@ def risk_rows(spark: SparkSession, d: str) -> DataFrame:
     return (
         orders.withColumn("forecast_initialization_time", month)
         .groupBy("forecast_initialization_time", "lead_day", "region_id")
-        .agg(F.round(F.avg("bust_probability"), 6).alias("bust_probability"))
+        .agg(F.round(F.avg("bust_probability"), 12).alias("bust_probability"))
         .withColumn("valid_time", F.col("forecast_initialization_time") + F.make_dt_interval(F.col("lead_day")))
     )
 
