@@ -52,9 +52,9 @@ def count_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return written(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "counts")
 
 
-def is_small(counts: DataFrame) -> bool:
-    """Row count from the file footers: bounds every group of the table."""
-    return counts.count() <= SMALL_TABLE_ROWS
+def is_small(counts: DataFrame, rows: int | None = None) -> bool:
+    """Whether the table, and so every group of it, fits one task; from the file footers if not given."""
+    return (counts.count() if rows is None else rows) <= SMALL_TABLE_ROWS
 
 
 def bucketed(counts: DataFrame, value: str) -> DataFrame:
@@ -95,14 +95,17 @@ def running_totals(
 
 
 def grouped_quantile(
-    counts: DataFrame, keys: list[str], value: str, share: float, out: str, weight: str = "n"
+    counts: DataFrame, keys: list[str], value: str, share: float, out: str, weight: str = "n", rows: int | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated quantile of a count table per key: columns keys, ``out``, ``sample_count``."""
-    if is_small(counts):
+    """Exact linear-interpolated quantile of a count table per key: columns keys, ``out``, ``sample_count``.
+
+    A value may come in several rows of a key. ``rows`` is an upper bound of the table size, if known.
+    """
+    if is_small(counts, rows):
         exact = F.percentile(value, share, F.col(weight)).alias(out)
         return counts.groupBy(*keys).agg(exact, F.sum(weight).alias("sample_count"))
-    rows = counts.select(*keys, value, F.col(weight).alias("_w"))
-    ranked = _placed_by_bucket(rows, keys, value, share).withColumn("_to", F.col("_from") + F.col("_w"))
+    weighted = counts.select(*keys, value, F.col(weight).alias("_w"))
+    ranked = _placed_by_bucket(weighted, keys, value, share).withColumn("_to", F.col("_from") + F.col("_w"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col(value)))

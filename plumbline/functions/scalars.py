@@ -10,13 +10,17 @@ from plumbline import contract as C
 
 
 def is_finite(value: Column) -> Column:
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    """Not null, NaN or infinite. NaN sorts above infinity, so one comparison covers both.
+
+    The value is named once: a filter pushed below a projection repeats it as often as it is named.
+    """
+    return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    """Clip that lets NaN through; ``least``/``greatest`` alone would turn it into the upper limit."""
+    """Clip that keeps NaN; ``least``/``greatest`` alone would turn it into the upper limit."""
     bounded = F.greatest(F.least(value, F.lit(high)), F.lit(low))
-    return F.when(F.isnan(value), value).otherwise(bounded)
+    return F.when(F.isnan(value), F.lit(float("nan"))).otherwise(bounded)
 
 
 def close_to(left: Column, right: Column, tolerance: float) -> Column:

@@ -32,11 +32,11 @@ def component_rows(rows: DataFrame, components: dict[str, str]) -> DataFrame:
 def median_and_mad(rows: DataFrame, components: dict[str, str] = C.COMPONENT_COLUMNS) -> DataFrame:
     """Median, MAD and sample count at three grains: (region, lead), lead, global.
 
-    Repeated values are counted first, at the finest grain; the coarser grains are summed from those
-    counts. MAD is a second quantile over |value - median of its own grain|.
+    Repeated values are counted once, at the finest grain, and every grain reads those counts. MAD is a
+    second quantile over |value - median of its own grain|.
     """
-    fine_keys = ["component", "region_id", "lead_day", "value"]
-    fine = component_rows(rows, components).groupBy(*fine_keys).agg(F.count(F.lit(1)).alias("n"))
+    keys = ["component", "region_id", "lead_day"]
+    fine = count_table(component_rows(rows, components), keys, "value")
 
     def grain(name: str, region: Column, lead: Column) -> Column:
         return F.struct(F.lit(name).alias("grain"), region.alias("region_id"), lead.alias("lead_day"))
@@ -46,13 +46,12 @@ def median_and_mad(rows: DataFrame, components: dict[str, str] = C.COMPONENT_COL
         grain("lead", F.lit(ALL_REGIONS), F.col("lead_day")),
         grain("global", F.lit(ALL_REGIONS), F.lit(ALL_LEADS)),
     )
-    spread = fine.select("component", "value", "n", F.inline(every))
-    counts = written(spread.groupBy(*_KEYS, "value").agg(F.sum("n").alias("n")), "error-counts")
-    medians = written(grouped_quantile(counts, _KEYS, "value", 0.5, "median"), "medians")
+    counts = fine.select("component", "value", "n", F.inline(every))
+    size = fine.count() * len(GRAINS)
+    medians = written(grouped_quantile(counts, _KEYS, "value", 0.5, "median", rows=size), "medians")
     distance = F.abs(F.col("value") - F.col("median")).alias("value")
-    distances = counts.join(medians.drop("sample_count"), _KEYS).select(*_KEYS, distance, "n")
-    deviations = written(distances.groupBy(*_KEYS, "value").agg(F.sum("n").alias("n")), "deviation-counts")
-    mads = grouped_quantile(deviations, _KEYS, "value", 0.5, "mad").drop("sample_count")
+    deviations = counts.join(medians.drop("sample_count"), _KEYS).select(*_KEYS, distance, "n")
+    mads = grouped_quantile(deviations, _KEYS, "value", 0.5, "mad", rows=size).drop("sample_count")
     return medians.join(mads, _KEYS)
 
 
