@@ -67,16 +67,17 @@ def tree_attributions(model: RiskModel, scored: DataFrame, keys: list[str]) -> D
             if batch.empty:
                 continue
             values = attributions(np.stack(batch["_x"].to_numpy()), shared.value) @ gather
-            yield batch[keys].assign(_values=list(values))
+            yield batch[kept].assign(_values=list(values))
 
     margin = F.ln(F.col("raw_probability") / (F.lit(1.0) - F.col("raw_probability")))
     rows = scored.select(*keys, vector_to_array("features").alias("_x"), margin.alias("raw_margin"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    kept = [*keys, "raw_margin"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
     values = rows.mapInPandas(explain, f"{kinds}, _values array<double>")
     labels = F.array(*[F.lit(n) for n in names])
     contributions = F.zip_with(labels, "_values", lambda n, v: F.struct(n.alias("feature_name"), v.alias("shap_value")))
     summed = F.lit(base) + F.aggregate("_values", F.lit(0.0), lambda a, v: a + v)
-    return values.join(rows.select(*keys, "raw_margin"), keys).select(
+    return values.select(
         *keys,
         F.lit(base).alias("base_value"),
         "raw_margin",

@@ -19,6 +19,12 @@ def leaked_columns(columns: list[str]) -> list[str]:
     return [name for name in columns if name.startswith(("analysis_", "verification_"))]
 
 
+def schema_problems(columns: list[str]) -> list[str]:
+    """Forecast features a stored cycle lacks, and spread columns it must not have."""
+    missing = [f"missing {name}" for name in C.FORECAST_FEATURES if name not in columns]
+    return missing + [f"unexpected {name}" for name in columns if "spread" in name]
+
+
 def unit_violations(units: DataFrame, contract: dict[str, list[str]]) -> DataFrame:
     """Required variables that are absent or carry a unit outside the allowed set."""
     required = [(name, allowed) for name, allowed in contract.items()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import contract as C
-from plumbline.errors import raise_if_any
+from plumbline.errors import ContractViolation, raise_if_any
 from plumbline.functions.scalars import canonical_region
 from plumbline.operators import coordinates, grid, quality, regions
 from plumbline.operators.grid import CELL
@@ -135,6 +135,9 @@ def _regional(matched: DataFrame, weights: DataFrame, dataset_version: str, spre
 
 def checked_cycles(rows: DataFrame) -> DataFrame:
     """Derived rows after all contract checks: no leakage, finite values, full cycles."""
+    problems = quality.schema_problems(rows.columns) + quality.leaked_columns(rows.columns)
+    if problems:
+        raise ContractViolation(f"derived rows: {problems}")
     rows = written(rows, "derived-rows")
     raise_if_any(quality.late_sources(rows), "feature source later than initialization")
     numeric = [c for c in C.FORECAST_FEATURES + C.ERROR_COLUMNS if c in rows.columns]

@@ -99,20 +99,20 @@ def axis_cell_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT l_suppkey AS idx, 6.0::DOUBLE + 0.5::DOUBLE * l_suppkey AS source_value FROM lineitem),
+    """WITH a AS (SELECT DISTINCT l_suppkey + 1 AS idx, 6.0::DOUBLE + 0.5::DOUBLE * (l_suppkey + 1) AS source_value FROM lineitem),
     b AS (SELECT DISTINCT s_suppkey AS idx,
                  6.0::DOUBLE + 0.5::DOUBLE * s_suppkey + CASE WHEN s_suppkey % 10 = 3 THEN 0.00001 ELSE 0 END AS target_value
-          FROM supplier WHERE s_nationkey <> 7)
+          FROM supplier)
     SELECT idx, round(source_value, 6) AS source_value, round(target_value, 6) AS target_value
     FROM a FULL JOIN b USING (idx) WHERE NOT coalesce(abs(source_value - target_value) <= 1e-6, false)"""
 )
 def axis_differences(spark: SparkSession, d: str) -> DataFrame:
     """Positions at which two axes disagree by more than the tolerance (G-12, G-13, Q-09)."""
-    value = lambda key: F.lit(6.0) + 0.5 * F.col(key)
-    source = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("idx"), value("l_suppkey").alias("value")).distinct()
-    shifted = value("s_suppkey") + F.when(F.col("s_suppkey") % 10 == 3, 0.00001).otherwise(0.0)
-    target = B.table(spark, d, "supplier").filter(F.col("s_nationkey") != 7)
-    target = target.select(F.col("s_suppkey").alias("idx"), shifted.alias("value")).distinct()
+    value = lambda key: F.lit(6.0) + 0.5 * key
+    moved, key = F.col("l_suppkey") + 1, F.col("s_suppkey")
+    source = B.table(spark, d, "lineitem").select(moved.alias("idx"), value(moved).alias("value")).distinct()
+    shifted = value(key) + F.when(key % 10 == 3, 0.00001).otherwise(0.0)
+    target = B.table(spark, d, "supplier").select(key.alias("idx"), shifted.alias("value")).distinct()
     found = coordinates.axis_mismatches(source, target)
     return found.select("idx", rounded("source_value"), rounded("target_value"))
 
@@ -442,22 +442,18 @@ def region_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH source AS (
-      SELECT c_nationkey AS region_id, count(*) AS copies, min(c_mktsegment) AS actual
-      FROM customer WHERE c_custkey % 11 = 0 OR c_nationkey % 4 = 0 GROUP BY ALL),
+    """WITH source AS (SELECT s_nationkey * 2 AS region_id, count(*) AS copies, min(s_name) AS actual FROM supplier GROUP BY ALL),
     paired AS (SELECT coalesce(s.region_id, n_nationkey) AS region_id, copies, actual, n_name AS expected
-             FROM source s FULL JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 2) ON n_nationkey = s.region_id)
+               FROM source s FULL JOIN nation ON n_nationkey = s.region_id)
     SELECT region_id, actual, expected, CASE WHEN expected IS NULL THEN 'unexpected' WHEN actual IS NULL THEN 'missing'
            WHEN copies > 1 THEN 'duplicate' ELSE 'name' END AS problem FROM paired"""
 )
 def region_differences(spark: SparkSession, d: str) -> DataFrame:
     """Source regions against the manifest: missing, unexpected, duplicate, renamed (R-07)."""
-    customer = B.table(spark, d, "customer").filter((F.col("c_custkey") % 11 == 0) | (F.col("c_nationkey") % 4 == 0))
-    source = customer.select(F.col("c_nationkey").alias("region_id"), F.col("c_mktsegment").alias("source_name"))
-    manifest = B.table(spark, d, "nation").filter(F.col("n_nationkey") % 5 != 2)
-    return regions.region_differences(
-        source, manifest.select(F.col("n_nationkey").alias("region_id"), F.col("n_name").alias("source_name"))
-    )
+    supplier, nation = B.table(spark, d, "supplier"), B.table(spark, d, "nation")
+    source = supplier.select((F.col("s_nationkey") * 2).alias("region_id"), F.col("s_name").alias("source_name"))
+    manifest = nation.select(F.col("n_nationkey").alias("region_id"), F.col("n_name").alias("source_name"))
+    return regions.region_differences(source, manifest)
 
 
 @query(

@@ -61,7 +61,7 @@ def rejected_requests(spark: SparkSession, d: str) -> DataFrame:
       SELECT date_trunc('day', ts) + to_hours((hour(ts) // 12) * 12) AS t, event_type FROM events),
     wanted AS (SELECT DISTINCT t FROM slots),
     present AS (SELECT t FROM slots WHERE event_type = 'error' GROUP BY t
-                UNION SELECT t + INTERVAL 6 HOURS FROM slots WHERE event_type = 'purchase' AND day(t) % 7 = 0)
+                UNION SELECT t + INTERVAL 6 HOURS FROM slots WHERE event_type = 'purchase')
     SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS init_time, 'missing' AS problem FROM wanted WHERE t NOT IN (SELECT t FROM present)
     UNION ALL SELECT strftime(t, '%Y-%m-%d %H:%M:%S'), 'unexpected' FROM present WHERE t NOT IN (SELECT t FROM wanted)"""
 )
@@ -70,7 +70,7 @@ def corpus_gaps(spark: SparkSession, d: str) -> DataFrame:
     rows = B.cycles(spark, d)
     wanted = rows.select("init_time").distinct()
     stored = rows.filter(F.col("region_id") == "error").select("init_time")
-    odd = rows.filter((F.col("region_id") == "purchase") & (F.dayofmonth("init_time") % 7 == 0))
+    odd = rows.filter(F.col("region_id") == "purchase")
     shifted = odd.select(scalars.add_hours(F.col("init_time"), F.lit(6)).alias("init_time"))
     gaps = manifests.manifest_gaps(wanted, stored.unionByName(shifted).distinct(), "init_time")
     return gaps.select(day("init_time"), "problem")

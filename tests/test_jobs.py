@@ -9,7 +9,7 @@ from plumbline import contract as C
 from plumbline.errors import ContractViolation
 from plumbline.operators import quality
 from plumbline.plans.derive import derive_rows
-from plumbline.plans.jobs import Layout, Sources, build_corpus
+from plumbline.plans.jobs import Layout, Sources, build_corpus, check_sources
 from plumbline.streaming.incremental import follow_forecasts
 from tests import fixtures as X
 
@@ -102,6 +102,14 @@ def test_corpus_needs_the_earlier_run(spark, sources, tmp_path):
     assert spark.read.json(f"{tmp_path}/manifest").first().status == "incomplete"
 
 
+def test_source_contract_report(spark, sources):
+    made, _ = sources
+    units = lambda c: spark.createDataFrame([(v, (u or [None])[0]) for v, u in c.items()], "variable string, units string")
+    tables = {"forecast": units(C.FORECAST_UNITS).filter("variable <> 'geopotential'"), "analysis": units(C.ANALYSIS_UNITS)}
+    found = {r.violation for r in check_sources(made, tables, "2020-06-01", "2020-06-30").collect()}
+    assert found == {"forecast geopotential missing", "short coverage"}
+
+
 def test_stream_derives_what_has_landed(spark, sources, tmp_path):
     made, landing = sources
     layout = Layout(str(tmp_path / "corpus"))
