@@ -149,10 +149,10 @@ def fit_labels(
     the global one; by default every group needs a training row of its own.
     """
     training = rows.filter(train)
-    if training.isEmpty():
-        raise ContractViolation("no training rows to fit labels on")
     groups = written(rows.select("region_id", "lead_day").distinct(), "label-groups")
     stats = written(robust_fit(training, groups, components, min_samples), "label-stats")
+    if stats.filter(F.col("median").isNotNull()).isEmpty():
+        raise ContractViolation("no training rows to fit labels on")
     scored = standardize(training, stats, components, weights)
     if threshold_min_samples is None:
         thresholds = written(severity_thresholds(scored, share), "label-thresholds")

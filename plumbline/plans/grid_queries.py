@@ -461,7 +461,7 @@ def region_differences(spark: SparkSession, d: str) -> DataFrame:
       SELECT printf('imd-%02d', s_nationkey + 1) AS region_id, round(avg(s_acctbal) / 10000, 6) AS p, count(*) AS n
       FROM supplier GROUP BY s_nationkey)
     SELECT printf('imd-%02d', n_nationkey + 1) AS canonical_region_id, coalesce('risk of ' || risks.region_id, n_name) AS region_name,
-           p AS bust_probability, CAST(n AS INTEGER) AS lead_day
+           p AS bust_probability, CAST(n AS DOUBLE) AS lead_day
     FROM nation LEFT JOIN risks ON risks.region_id = printf('imd-%02d', n_nationkey + 1)"""
 )
 def risk_on_geometry(spark: SparkSession, d: str) -> DataFrame:
@@ -475,4 +475,4 @@ def risk_on_geometry(spark: SparkSession, d: str) -> DataFrame:
         F.round(F.col("_a") / 10000, 6).alias("bust_probability"), "lead_day", F.lit(None).cast("timestamp_ntz").alias("valid_time"),
     )
     joined = regions.risk_on_geometry(geometry, risks)
-    return joined.select("canonical_region_id", "region_name", "bust_probability", "lead_day")
+    return joined.select("canonical_region_id", "region_name", "bust_probability", F.col("lead_day").cast("double").alias("lead_day"))
