@@ -18,7 +18,7 @@ from plumbline.functions.ranks import BUCKET, bucket_count, edges_of, with_bucke
 from plumbline.session import written
 
 BLOCK_ROWS = 2048
-QUERY_ROWS = 4096
+QUERY_ROWS = 1024
 DISTANCE_DECIMALS = 12
 _SLACK = 1e-9
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline import contract as C
 from plumbline.errors import ContractViolation, raise_if_any
+from plumbline.functions.scalars import content_hash
 from plumbline.operators import coordinates, evidence, labels, model, quality
 from plumbline.plans.derive import checked_cycles, derive_rows
 from plumbline.session import written
@@ -60,18 +61,38 @@ def check_sources(sources: Sources, units: dict[str, DataFrame], first: str, las
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-def _stored_cycles(spark: SparkSession, path: str) -> DataFrame | None:
+def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return tables.read_cycles(spark, path) if exists else None
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _stored_cycles(spark: SparkSession, path: str) -> DataFrame | None:
+    return tables.read_cycles(spark, path) if _exists(spark, path) else None
+
 
+def _tampered_cycles(spark: SparkSession, layout: Layout) -> DataFrame | None:
+    """Cycles whose files no longer match the checksums of the last run."""
+    if not _exists(spark, f"{layout.manifest}-cycles"):
+        return None
+    recorded = spark.read.parquet(f"{layout.manifest}-cycles")
+    return manifests.changed_cycles(manifests.file_checksums(spark, layout.cycles), recorded)
 
-def pending_cycles(expected: DataFrame, stored: DataFrame | None, version: str, rows_per_cycle: int, regions: int) -> DataFrame:
+
+def pending_cycles(
+    expected: DataFrame,
+    stored: DataFrame | None,
+    version: str,
+    rows_per_cycle: int,
+    regions: int,
+    tampered: DataFrame | None = None,
+) -> DataFrame:
     """Expected cycles without a valid partition; all stored cycles are judged in one aggregate."""
     if stored is None:
         return expected
     judged = quality.cycle_validity(stored, version, rows_per_cycle, regions=regions)
     valid = judged.filter("valid").select(F.col(TIME).alias("init_time"))
+    if tampered is not None:
+        valid = valid.join(tampered, "init_time", "left_anti")
     return expected.join(valid, "init_time", "left_anti")
 
 
@@ -94,7 +115,10 @@ def build_corpus(
     expected = written(coordinates.expected_cycles(sources.forecast, years), "expected-cycles")
     raise_if_any(coordinates.bad_cycle_hours(expected), "unexpected initialization hours")
     stored = _stored_cycles(spark, layout.cycles)
-    pending = pending_cycles(expected, stored, sources.dataset_version, sources.rows_per_cycle, sources.regions)
+    tampered = None if stored is None else _tampered_cycles(spark, layout)
+    pending = pending_cycles(
+        expected, stored, sources.dataset_version, sources.rows_per_cycle, sources.regions, tampered
+    )
     if only is not None:
         pending = pending.join(only.select("init_time").distinct(), "init_time", "left_semi")
     if max_cycles is not None:
@@ -117,6 +141,8 @@ def build_corpus(
                 "cycles without rows",
             )
             tables.write_cycles(rows, layout.cycles)
+            sums = manifests.file_checksums(spark, layout.cycles)
+            sums.write.mode("overwrite").parquet(f"{layout.manifest}-cycles")
     finally:
         status = corpus_status(spark, expected, layout, sources.rows_per_cycle)
         documents.write_json_report(status, layout.manifest)
@@ -143,6 +169,7 @@ def label_corpus(spark: SparkSession, layout: Layout, train_years: list[int] | N
     fit = labels.fit_labels(rows, year.isin(train_years or C.TRAIN_YEARS), **options)
     fit.stats.write.mode("overwrite").parquet(f"{layout.label_fit}/stats")
     fit.thresholds.write.mode("overwrite").parquet(f"{layout.label_fit}/thresholds")
+    documents.write_json_report(_fit_record(fit, train_years or C.TRAIN_YEARS, options), f"{layout.label_fit}/record")
     labelled = fit.apply(rows)
     tables.write_labelled(labelled, layout.labelled)
     stored = tables.read_labelled(spark, layout.labelled)
@@ -152,6 +179,22 @@ def label_corpus(spark: SparkSession, layout: Layout, train_years: list[int] | N
     return labels.prevalence(stored, year)
 
 
+def _fit_record(fit: labels.LabelFit, train_years: list[int], options: dict) -> DataFrame:
+    """One row describing a label fit: its parameters and fingerprints of both fitted tables."""
+    one = F.lit(1).alias("_one")
+    stats = manifests.table_fingerprint(fit.stats).select(F.col("fingerprint").alias("stats_fingerprint"), one)
+    thresholds = manifests.table_fingerprint(fit.thresholds).select(F.col("fingerprint").alias("threshold_fingerprint"), one)
+    facts = {
+        "fit_years": F.array(*[F.lit(y) for y in train_years]),
+        "minimum_group_samples": F.lit(options.get("min_samples", C.MIN_GROUP_SAMPLES)),
+        "epsilon": F.lit(C.Z_EPSILON),
+        "limit": F.lit(C.Z_LIMIT),
+        "threshold_quantile": F.lit(options.get("share", C.THRESHOLD_QUANTILE)),
+    }
+    record = stats.join(thresholds, "_one").drop("_one").withColumns(facts)
+    return record.withColumn("content_sha256", content_hash(*record.columns))
+
+
 def split_corpus(labelled: DataFrame, train: list[int] | None = None, validation: int = C.VALIDATION_YEAR, test: int = C.TEST_YEAR) -> DataFrame:
     rows = coordinates.with_split(labelled, F.year(TIME), train or C.TRAIN_YEARS, validation, test)
     raise_if_any(coordinates.split_violations(rows), "temporal split does not hold")
@@ -185,7 +228,9 @@ def build_evidence(
     """Fit the analog scaler and store one explanation per held-out prediction."""
     rows = split_corpus(tables.read_labelled(spark, layout.labelled), **years)
     train, held = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") != "train")
-    evidence.analog_scaler(train, fitted.numeric).write.mode("overwrite").parquet(layout.analog_scaler)
+    scaler = written(evidence.analog_scaler(train, fitted.numeric), "analog-scaler")
+    source = manifests.table_fingerprint(spark.read.parquet(f"{layout.manifest}-labelled")).select("fingerprint")
+    scaler.withColumn("source_fingerprint", source.scalar()).write.mode("overwrite").parquet(layout.analog_scaler)
     records = evidence.explanations(fitted, held, train, provenance, model_version, fitted.numeric)
     records = written(records, "explanations")
     raise_if_any(records.filter(~F.col("additive")), "attributions do not add up to the margin")

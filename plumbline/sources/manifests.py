@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.errors import ContractViolation
-from plumbline.functions.scalars import hash_number
+from plumbline.functions.scalars import content_hash, hash_number
 
 # ``binaryFile`` holds one file in one row; data files must stay below this size.
 MAX_FILE_BYTES = 2**31 - 1
@@ -33,6 +33,21 @@ def checksum_differences(actual: DataFrame, recorded: DataFrame) -> DataFrame:
     return both.withColumn("problem", problem).filter(F.col("problem").isNotNull())
 
 
+def table_fingerprint(table: DataFrame) -> DataFrame:
+    """One row: number of rows and an order-free fingerprint of the whole content."""
+    return table.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(hash_number(content_hash(*table.columns))).alias("fingerprint")
+    )
+
+
+def changed_cycles(actual: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Start times of stored cycles whose files differ from the recorded checksums."""
+    differing = checksum_differences(actual, recorded).filter(F.col("problem") != "missing")
+    stamp = F.regexp_extract("path", r"/init=([^/]+)/", 1)
+    time = F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd'T'HH"))
+    return differing.select(time.alias("init_time")).distinct()
+
+
 def partition_manifest(rows: DataFrame, by: list[str | Column], fingerprint: Column, time: str) -> DataFrame:
     """One row per partition: rows, time coverage and an order-free content fingerprint.
 

@@ -92,6 +92,13 @@ def test_corpus_is_resumable_and_repairs_invalid_cycles(spark, sources, tmp_path
     repaired = build_corpus(spark, made, layout, [2020]).first()
     assert (repaired.status, repaired.row_count) == ("complete", 720)
     assert spark.read.parquet(layout.quarantine).count() == 324
+    altered = spark.read.parquet(layout.cycles).filter(F.dayofmonth(TIME) == 1).withColumn("mslp_mean_pa", F.lit(1.0)).cache()
+    altered.count()
+    altered.write.option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "init").mode("overwrite").parquet(layout.cycles)
+    spark.catalog.refreshByPath(layout.cycles)
+    restored = build_corpus(spark, made, layout, [2020]).first()
+    assert restored.status == "complete"
+    assert spark.read.parquet(layout.cycles).filter("mslp_mean_pa = 1.0").isEmpty()
 
 
 def test_corpus_needs_the_earlier_run(spark, sources, tmp_path):

@@ -170,6 +170,8 @@ def test_label_and_train_jobs(spark, labelled, tmp_path):
     documents.write_json_report(spark.createDataFrame([("complete",)], "status string"), layout.manifest)
     shares = jobs.label_corpus(spark, layout, threshold_min_samples=5).collect()
     assert [r.rows for r in shares] == [160] * 5
+    record = spark.read.json(f"{layout.label_fit}/record").first()
+    assert record.fit_years == [2018, 2019, 2020] and len(record.content_sha256) == 64
     report = jobs.train_and_evaluate(spark, layout, SETTINGS[:1])
     assert report.count() == 6
     assert spark.read.parquet(layout.predictions).count() == 320
