@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,27 +25,20 @@ def get_spark(app: str = "plumbline", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-_local_scratch: dict[str, str] = {}
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the shared ``spark.checkpoint.dir``, or a temporary one in local runs."""
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or a folder of the warehouse where it is unset.
+
+    Both are shared by the driver and all executors; nothing is ever written to a machine's own temporary folder.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    application = spark.sparkContext.applicationId
-    if application not in _local_scratch:
-        _local_scratch[application] = tempfile.mkdtemp(prefix="plumbline-")
-    return _local_scratch[application]
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the scratch area and read it back.
 
-    Used for small fitted tables (statistics, thresholds, block directories). The copy survives
-    executor loss, and its file size lets Spark decide by itself whether a join may broadcast it.
+    Used where a plan is read more than once. The copy survives executor loss, and its file size lets Spark
+    decide by itself whether a join may broadcast it.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
