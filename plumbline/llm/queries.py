@@ -6,7 +6,15 @@ from importlib import import_module
 
 from plumbline.llm.registry import ORACLES, QUERIES
 
-_MODULES = ["rules_query", "simhash_query", "mixing_query", "secrets_query", "quality_query", "toxicity_query"]
+_MODULES = [
+    "rules_query",
+    "simhash_query",
+    "mixing_query",
+    "secrets_query",
+    "quality_query",
+    "toxicity_query",
+    "quantised_query",
+]
 
 for _name in _MODULES:
     import_module(f"plumbline.llm.{_name}")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.llm.components import connected
-from plumbline.llm.linking import union
+from plumbline.llm.linking import union, units
 from plumbline.llm.texts import map_texts
 from plumbline.session import written
 
@@ -209,33 +209,14 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, blocks: int = 6, k
     keys = ["t", "key", "low", "high"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Units come sorted, so each is one run of rows; the last run of a batch waits for the next batch."""
-        waiting: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            whole = pd.concat([*waiting, batch], ignore_index=True) if waiting else batch
-            key = whole[keys].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            last = cuts[-1] if len(cuts) else 0
-            yield from _units(whole.iloc[:last], cuts[:-1] if len(cuts) else cuts, distance)
-            waiting = [whole.iloc[last:]]
-        for rest in waiting:
-            yield from _units(rest, np.zeros(0, int), distance)
+        for unit in units(batches, keys):
+            if len(unit) > 1:
+                yield join_unit(unit["fp"].to_numpy(), unit["side"].to_numpy(), distance)
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("src", "dst")])
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def _units(rows: pd.DataFrame, cuts: np.ndarray, distance: int) -> Iterator[pd.DataFrame]:
-    if not len(rows):
-        return
-    fps, side = rows["fp"].to_numpy(), rows["side"].to_numpy()
-    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
-        if b - a > 1:
-            yield join_unit(fps[a:b], side[a:b], distance)
-
-
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4
 ) -> DataFrame:
