@@ -14,6 +14,7 @@ _MODULES = [
     "quality_query",
     "toxicity_query",
     "quantised_query",
+    "pages_query",
 ]
 
 for _name in _MODULES:
