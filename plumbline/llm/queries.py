@@ -15,6 +15,7 @@ _MODULES = [
     "toxicity_query",
     "quantised_query",
     "pages_query",
+    "packing_query",
 ]
 
 for _name in _MODULES:
