@@ -16,6 +16,7 @@ _MODULES = [
     "quantised_query",
     "pages_query",
     "packing_query",
+    "tokens_query",
 ]
 
 for _name in _MODULES:
