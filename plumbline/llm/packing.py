@@ -19,10 +19,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from plumbline.llm.texts import batch_of
 from plumbline.llm.tokens import Encoder, end_mark
 
 SEQUENCE, WINDOW = 2048, 1 << 20
@@ -91,20 +92,17 @@ def pack(
         ]
         + ([T.StructField("ids", T.BinaryType())] if with_ids else [])
     )
-    names = schema.names
 
-    def packed(keys: list, ids: list[bytes], first: int) -> tuple[pd.DataFrame, int]:
+    def packed(keys: list, ids: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
         lengths = np.array([len(d) // 4 for d in ids], dtype=np.int64)
         rows = []
         for document, start, length, at, offset in assign(lengths, sequence):
             part = ids[document][4 * start : 4 * (start + length)]
             row = [keys[document], start, length, zlib.crc32(part), int(lengths[document]), first + at, offset]
             rows.append([*row, part] if with_ids else row)
-        frame = pd.DataFrame(rows, columns=names)
-        frame[names[0]] = pd.Series(frame[names[0]], dtype=object)
-        return frame, first + len(capacities(int(lengths.sum()), sequence))
+        return batch_of(schema, list(zip(*rows))), first + len(capacities(int(lengths.sum()), sequence))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, close = Encoder(tokenizer, leading), end_mark(end)
         context = TaskContext.get()
         following = (context.partitionId() if context else 0) << 40
@@ -112,16 +110,16 @@ def pack(
         ids: list[bytes] = []
         tokens = 0
         for batch in batches:
-            texts = [value or "" for value in batch["_text"]]
-            for name, found in zip(batch["_key"], encoder.encode(texts)):
-                keys.append(None if pd.isna(name) else name)
+            texts = [value or "" for value in batch.column("_text").to_pylist()]
+            for name, found in zip(batch.column("_key").to_pylist(), encoder.encode(texts)):
+                keys.append(name)
                 ids.append(found + close)
                 tokens += len(found) // 4 + 1
                 if tokens >= window:
-                    frame, following = packed(keys, ids, following)
-                    yield frame
+                    made, following = packed(keys, ids, following)
+                    yield made
                     keys, ids, tokens = [], [], 0
         if ids:
             yield packed(keys, ids, following)[0]
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, schema)
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -21,14 +21,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.texts import labelled_sample
+from plumbline.llm.texts import labelled_sample, map_columns
 
 SLOTS, DIM, NONZERO, REACH = 1 << 15, 64, 8, 2
 #: Largest number of labelled documents a model is fitted on.
@@ -247,15 +247,14 @@ def score(docs: DataFrame, model: QualityModel, carry: list[str], text: str = "t
     """The columns ``carry`` and ``score``, the probability of label 1, of every row's whole text."""
     sent = docs.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float16), model.network))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin() -> Callable[[list], list]:
         vectors, network = sent.value
         vectors, index, slots = vectors.astype(np.float32), index_vectors(), Slots()
-        for batch in batches:
-            found = np.zeros(0)
-            if len(batch):
-                x = np.stack([pooled(value or "", vectors, index, slots) for value in batch["_text"]])
-                found = network.scores(x.astype(np.float64))
-            yield batch[carry].assign(score=found)
-
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("score", T.DoubleType())])
-    return docs.select(*carry, F.col(text).alias("_text")).mapInPandas(run, schema)
+
+        def make(texts: list) -> list:
+            x = [pooled(value or "", vectors, index, slots) for value in texts]
+            return [network.scores(np.stack(x).astype(np.float64)) if x else []]
+
+        return make
+
+    return map_columns(docs, carry, [text], [T.StructField("score", T.DoubleType())], begin)

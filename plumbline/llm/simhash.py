@@ -64,9 +64,9 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int(packed.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """``key`` and ``fp`` of every row, from its whole text."""
-    return map_texts(docs, [key], text, [T.StructField("fp", T.LongType())], lambda t: (fingerprint(t, shingle),))
+def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", shingle: int = 4) -> DataFrame:
+    """``keys`` and ``fp`` of every row, from its whole text."""
+    return map_texts(docs, keys, text, [T.StructField("fp", T.LongType())], lambda t: (fingerprint(t, shingle),))
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -191,14 +191,14 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, blocks: int = 6, k
     sized = routed.join(written(crowded, "simhash-crowded"), ["t", "key"], "left")
     chunks = F.coalesce("chunks", F.lit(1))
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    units = sized.select("t", "key", "fp", chunks.alias("chunks"), own.alias("own")).select(
+    spread = sized.select("t", "key", "fp", chunks.alias("chunks"), own.alias("own")).select(
         "t",
         "key",
         "fp",
         F.col("own"),
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"),
     )
-    placed = units.select(
+    placed = spread.select(
         F.col("t"),
         F.col("key"),
         F.least("own", "other").alias("low"),
@@ -218,15 +218,25 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, blocks: int = 6, k
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = 4,
+    distance: int = 4,
+    others: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``key``, ``fp`` and ``component`` (smallest key reachable over links, null keys ignored) for every row."""
-    marked = written(fingerprints(docs.select(F.col(key).alias("_key"), text), "_key", text, shingle), "simhash-marked")
+    """``key``, the columns ``others``, ``fp``, ``group`` and ``component`` of every row.
+
+    Rows linked directly or over others have the same ``group`` (a fingerprint of theirs) and the same ``component``,
+    their smallest key; null keys are ignored for it.
+    """
+    named = docs.select(F.col(key).alias("_key"), *others, F.col(text).alias("_text"))
+    marked = written(fingerprints(named, ["_key", *others], "_text", shingle), "simhash-marked")
     distinct = written(marked.groupBy("fp").agg(F.min("_key").alias("first")), "simhash-distinct")
     roots = connected(fingerprint_links(distinct.select("fp"), distance))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = written(rooted.filter("root IS NOT NULL"), "simhash-linked")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component"))
-    alone = rooted.filter("root IS NULL").select("fp", F.col("first").alias("component"))
-    of_fp = linked.join(smallest, "root").select("fp", "component").unionByName(alone)
-    return marked.join(of_fp, "fp").select(F.col("_key").alias(key), "fp", "component")
+    alone = rooted.filter("root IS NULL").select("fp", F.col("fp").alias("group"), F.col("first").alias("component"))
+    of_fp = linked.join(smallest, "root").select("fp", F.col("root").alias("group"), "component").unionByName(alone)
+    return marked.join(of_fp, "fp").select(F.col("_key").alias(key), *others, "fp", "group", "component")

@@ -24,12 +24,13 @@ rows and of null ids. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.llm.dom import blocks, read
+from plumbline.llm.texts import map_columns
 from plumbline.session import written
 
 DECAY = 0.9
@@ -150,19 +151,15 @@ def main_text(pages: DataFrame, carry: list[str], url: str = "url", html: str =
         .agg(F.collect_set("path").alias("_removed"))
     )
     marked = known.join(written(removed, "style-removed"), ["_site", "_page"], "left")
-    fields = [T.StructField(f"_in_{c}", pages.schema[c].dataType) for c in carry]
-    schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [
-                " ".join(blocks(read(html or ""), frozenset(gone if gone is not None else ())))
-                for html, gone in zip(batch["_html"], batch["_removed"])
-            ]
-            yield batch[[f.name for f in fields]].assign(text=texts, n_chars=[len(text) for text in texts])
-
-    names = [f"_in_{c}" for c in carry]
-    found = marked.select(*names, "_html", "_removed").mapInPandas(extract, schema)
-    return found.select(
-        *[F.col(n).alias(n[4:]) for n in names if n[4:] not in ("text", "n_chars")], "text", "n_chars"
-    )
+    fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+
+    def begin() -> Callable[[list, list], list]:
+        def make(htmls: list, removed: list) -> list:
+            texts = [" ".join(blocks(read(h or ""), frozenset(gone or ()))) for h, gone in zip(htmls, removed)]
+            return [texts, [len(text) for text in texts]]
+
+        return make
+
+    named = [c for c in carry if c not in ("text", "n_chars")]
+    found = map_columns(marked, [f"_in_{c}" for c in named], ["_html", "_removed"], fields, begin)
+    return found.select(*[F.col(f"_in_{c}").alias(c) for c in named], "text", "n_chars")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -24,25 +25,56 @@ def fold(key: str, folds: int, held_out: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == held_out, F.lit(False))
 
 
-def map_texts(
-    docs: DataFrame, keys: list[str], text: str, fields: list[T.StructField], rows: Callable[[str], tuple]
+def batch_of(schema: T.StructType, columns: list) -> pa.RecordBatch:
+    """Arrow batch of the columns (Arrow arrays as they are, lists and numpy arrays converted)."""
+    kinds = [to_arrow_type(field.dataType) for field in schema]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+
+def map_columns(
+    docs: DataFrame,
+    carry: list[str],
+    inputs: list[str],
+    fields: list[T.StructField],
+    begin: Callable[[], Callable[..., list]],
 ) -> DataFrame:
-    """Keys and the values that ``rows`` gives for each whole text (null counts as empty).
+    """The columns ``carry``, untouched, and new ones made from ``inputs``.
 
-    Rows are taken batch by batch as Arrow brings them, so memory holds one batch of texts.
+    ``begin`` runs once per task and gives the function that turns the lists of one batch's inputs into the lists of the new
+    columns. Memory holds one Arrow batch.
     """
-    schema = T.StructType([docs.schema[k] for k in keys] + fields)
-    names = [f.name for f in fields]
+    carried = [f"_carry{i}" for i in range(len(carry))]
+    taken = [f"_input{i}" for i in range(len(inputs))]
+    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(carried, carry)] + fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = begin()
         for batch in batches:
-            found = [rows(value or "") for value in batch["_text"]]
-            out = batch[keys].copy()
-            for at, name in enumerate(names):
-                out[name] = pd.Series([row[at] for row in found], index=out.index, dtype=object if not found else None)
-            yield out
+            made = make(*[batch.column(name).to_pylist() for name in taken])
+            yield batch_of(schema, [*[batch.column(name) for name in carried], *made])
+
+    selected = docs.select(
+        *[F.col(c).alias(n) for n, c in zip(carried, carry)], *[F.col(c).alias(n) for n, c in zip(taken, inputs)]
+    )
+    found = selected.mapInArrow(run, schema)
+    return found.select(*[F.col(n).alias(c) for n, c in zip(carried, carry)], *[f.name for f in fields])
+
+
+def map_texts(
+    docs: DataFrame, keys: list[str], text: str, fields: list[T.StructField], rows: Callable[[str], tuple]
+) -> DataFrame:
+    """Keys and the values that ``rows`` gives for each whole text (null counts as empty)."""
+    width = len(fields)
+
+    def begin() -> Callable[[list], list]:
+        def make(texts: list) -> list:
+            found = [rows(value or "") for value in texts]
+            return [[row[at] for row in found] for at in range(width)]
+
+        return make
 
-    return docs.select(*keys, F.col(text).alias("_text")).mapInPandas(run, schema)
+    return map_columns(docs, keys, [text], fields, begin)
 
 
 def labelled_sample(

@@ -19,11 +19,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from plumbline.llm.mixing_coder import BLOCK, LANES, decode_blocks, encode_blocks, split_blocks
+from plumbline.llm.texts import batch_of
 from plumbline.llm.tokens import Encoder, end_mark
 from plumbline.session import scratch_dir
 
@@ -55,7 +56,7 @@ def write_files(
 ) -> None:
     """Encode every whole text, append ``end``, and write the coded ids in ascending order of the integer ``key``."""
 
-    def frames_of(frames: list[tuple[int, int, list, list[bytes]]], part: int) -> pd.DataFrame:
+    def frames_of(frames: list[tuple[int, int, list, list[bytes]]], part: int) -> pa.RecordBatch:
         blocks: list[np.ndarray] = []
         cuts = [0]
         for _, _, _, ids in frames:
@@ -67,9 +68,9 @@ def write_files(
             (part, frame, first, sum(map(len, ids)) // 4, keys, [len(d) // 4 for d in ids], b"".join(coded[a:b]))
             for (frame, first, keys, ids), a, b in zip(frames, cuts, cuts[1:])
         ]
-        return pd.DataFrame(rows, columns=SCHEMA.names)
+        return batch_of(SCHEMA, list(zip(*rows)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, close = Encoder(tokenizer, leading), end_mark(end)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
@@ -78,9 +79,9 @@ def write_files(
         ids: list[bytes] = []
         number = first = tokens = 0
         for batch in batches:
-            texts = [value or "" for value in batch["_text"]]
-            for name, found in zip(batch["_key"], encoder.encode(texts)):
-                keys.append(None if pd.isna(name) else int(name))
+            texts = [value or "" for value in batch.column("_text").to_pylist()]
+            for name, found in zip(batch.column("_key").to_pylist(), encoder.encode(texts)):
+                keys.append(name)
                 ids.append(found + close)
                 tokens += len(found) // 4 + 1
                 if tokens >= FRAME:
@@ -98,7 +99,7 @@ def write_files(
     named = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     tie = F.xxhash64("_text")
     ordered = named.withColumn("_tie", tie).repartitionByRange("_key", "_tie").sortWithinPartitions("_key", "_tie")
-    ordered.select("_key", "_text").mapInPandas(run, SCHEMA).write.mode("overwrite").parquet(path)
+    ordered.select("_key", "_text").mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -117,29 +118,29 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
         T.StructField("ids_crc32", T.LongType()),
     ]
     fields += [T.StructField("ids", T.BinaryType())] if with_ids else []
-    names = [f.name for f in fields]
+    schema = T.StructType(fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), TOGETHER):
-                rows = batch.iloc[at : at + TOGETHER]
-                split = [split_blocks(data) for data in rows["blocks"]]
+            for at in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(at, TOGETHER).to_pylist()
+                split = [split_blocks(row["blocks"]) for row in rows]
                 decoded = iter(decode_blocks([block for blocks in split for block in blocks]))
-                for row, blocks in zip(rows.itertuples(index=False), split):
+                for row, blocks in zip(rows, split):
                     ids = np.concatenate([next(decoded) for _ in blocks]).astype("<u4").tobytes()
-                    stops = np.cumsum(np.asarray(row.counts, dtype=np.int64))
-                    starts = stops - row.counts
-                    parts = [ids[4 * a : 4 * b] for a, b in zip(starts, stops)]
-                    found = {
-                        "part": row.part,
-                        "doc_id": pd.Series(row.keys, dtype="Int64"),
-                        "place": row.first + starts,
-                        "n_tokens": row.counts,
-                        "ids_crc32": [zlib.crc32(p) for p in parts],
-                    }
-                    yield pd.DataFrame(found | ({"ids": parts} if with_ids else {}))[names]
-
-    found = files.select("part", "first", "keys", "counts", "blocks").mapInPandas(run, T.StructType(fields))
+                    counts = np.array(row["counts"], dtype=np.int64)
+                    stops = np.cumsum(counts)
+                    parts = [ids[4 * a : 4 * b] for a, b in zip(stops - counts, stops)]
+                    made = [
+                        [row["part"]] * len(counts),
+                        row["keys"],
+                        row["first"] + stops - counts,
+                        counts,
+                        [zlib.crc32(part) for part in parts],
+                    ]
+                    yield batch_of(schema, [*made, parts] if with_ids else made)
+
+    found = files.select("part", "first", "keys", "counts", "blocks").mapInArrow(run, schema)
     start = (F.col("_base") + F.col("place")).alias("start")
     extra = ["ids"] if with_ids else []
     return found.join(bases, "part").select("doc_id", start, "n_tokens", "ids_crc32", *extra)

@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.texts import labelled_sample
+from plumbline.llm.texts import labelled_sample, map_columns
 from plumbline.session import written
 
 #: Largest number of labelled documents a model is fitted on, and of words its learned lexicon keeps.
@@ -356,10 +356,8 @@ def score(docs: DataFrame, model: ToxicityModel, carry: list[str], text: str = "
     """The columns ``carry`` and ``score``, the probability of label 1, of every row's whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin() -> Callable[[list], list]:
         lexicon = Lexicon(sent.value.weights)
-        for batch in batches:
-            yield batch[carry].assign(score=sent.value.scores([value or "" for value in batch["_text"]], lexicon))
+        return lambda texts: [sent.value.scores([value or "" for value in texts], lexicon)]
 
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("score", T.DoubleType())])
-    return docs.select(*carry, F.col(text).alias("_text")).mapInPandas(run, schema)
+    return map_columns(docs, carry, [text], [T.StructField("score", T.DoubleType())], begin)
