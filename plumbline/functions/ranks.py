@@ -2,11 +2,10 @@
 
 All functions work on *count tables*: one row per (keys, value) with weights, made by a plain
 ``groupBy`` whose map-side combine removes repeated values, and written once because they are read
-several times. A count table below ``SMALL_TABLE_ROWS`` fits one task, and
-built-in aggregates and windows are used on it. A larger one is
-cut into global equi-depth value buckets, so that even one key holding most rows is spread over every
-bucket: bucket totals give each bucket its offset, and only rows of one (keys, bucket) pair are
-ordered together. The bucket edges are approximate, the results are exact on both ways.
+several times. They are cut into global equi-depth value buckets, so that even one key holding most rows is
+spread over every bucket: bucket totals give each bucket its offset, and only rows of one (keys, bucket) pair are
+ordered together. The bucket edges are approximate, the results are exact. There is one path for every size; the
+number of buckets follows from the number of rows.
 """
 
 from __future__ import annotations
@@ -16,14 +15,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from plumbline.session import written
 
 BUCKET = "_bucket"
-MAX_BUCKETS = 4096
-SMALL_TABLE_ROWS = 2_000_000
+#: Rows of a bucket on average: what one task orders.
+BUCKET_ROWS = 1 << 16
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Power of two covering the shuffle width, so one bucket is about one shuffle partition."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_BUCKETS, max(8, 1 << (width - 1).bit_length()))
+def bucket_count(rows: int) -> int:
+    """Power of two with which buckets hold about ``BUCKET_ROWS`` rows."""
+    return max(8, 1 << (max(1, rows // BUCKET_ROWS) - 1).bit_length())
 
 
 def edges_of(df: DataFrame, value: str, buckets: int) -> Column:
@@ -52,13 +50,9 @@ def count_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return written(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "counts")
 
 
-def is_small(counts: DataFrame, rows: int | None = None) -> bool:
-    """Whether the table, and so every group of it, fits one task; from the file footers if not given."""
-    return (counts.count() if rows is None else rows) <= SMALL_TABLE_ROWS
-
-
-def bucketed(counts: DataFrame, value: str) -> DataFrame:
-    buckets = bucket_count(counts)
+def bucketed(counts: DataFrame, value: str, rows: int | None = None) -> DataFrame:
+    """Rows with their bucket; ``rows`` is the size of the table where it is known without counting."""
+    buckets = bucket_count(counts.count() if rows is None else rows)
     return with_bucket(counts, value, edges_of(counts, value, buckets), buckets)
 
 
@@ -77,9 +71,6 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<sum>_before``: the total of each sum over strictly smaller (or larger) values of the key."""
     ordered = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    if is_small(counts):
-        before = W.partitionBy(*_or_constant(keys)).orderBy(ordered(value)).rowsBetween(W.unboundedPreceding, -1)
-        return counts.select("*", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums])
     marked = bucketed(counts, value)
     per_bucket = marked.groupBy(*keys, BUCKET).agg(*[F.sum(s).alias(s) for s in sums])
     earlier = W.partitionBy(*_or_constant(keys)).orderBy(ordered(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
@@ -101,11 +92,8 @@ def grouped_quantile(
 
     A value may come in several rows of a key. ``rows`` is an upper bound of the table size, if known.
     """
-    if is_small(counts, rows):
-        exact = F.percentile(value, share, F.col(weight)).alias(out)
-        return counts.groupBy(*keys).agg(exact, F.sum(weight).alias("sample_count"))
     weighted = counts.select(*keys, value, F.col(weight).alias("_w"))
-    ranked = _placed_by_bucket(weighted, keys, value, share).withColumn("_to", F.col("_from") + F.col("_w"))
+    ranked = _placed_by_bucket(weighted, keys, value, share, rows).withColumn("_to", F.col("_from") + F.col("_w"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col(value)))
@@ -122,9 +110,11 @@ def grouped_quantile(
     return found.select(*keys, interpolated.alias(out), "sample_count")
 
 
-def _placed_by_bucket(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+def _placed_by_bucket(
+    rows: DataFrame, keys: list[str], value: str, share: float, size: int | None = None
+) -> DataFrame:
     """Rows of the one or two buckets per key that hold the wanted ranks, with their rank offsets."""
-    marked = bucketed(rows, value)
+    marked = bucketed(rows, value, size)
     per_bucket = marked.groupBy(*keys, BUCKET).agg(F.sum("_w").alias("_total"))
     whole = W.partitionBy(*_or_constant(keys))
     earlier = whole.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)

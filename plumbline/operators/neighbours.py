@@ -51,8 +51,8 @@ def _norm(vector: str):
 
 
 def _blocks(candidates: DataFrame, group: list[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates with their block and part, and the directory array of blocks per group."""
-    buckets = bucket_count(candidates)
+    """Candidates with their block and part, and the directory: one row per group and block."""
+    buckets = bucket_count(candidates.count())
     normed = candidates.withColumn("_r", _norm("x"))
     # Written once: read by the two uses below, and the bucket is a stored column before it is a join key.
     marked = written(with_bucket(normed, "_r", edges_of(normed, "_r", buckets), buckets), "analog-buckets")
@@ -73,9 +73,7 @@ def _blocks(candidates: DataFrame, group: list[str], block_rows: int) -> tuple[D
         .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
         .drop(BUCKET, "parts", "_r")
     )
-    entry = F.struct("r_lo", "r_hi", "block", "parts")
-    directory = blocks.groupBy(*group).agg(F.array_sort(F.collect_list(entry)).alias("_blocks"))
-    return located, written(directory, "analog-directory")
+    return located, written(blocks, "analog-directory")
 
 
 def _top_of_block(k: int, other_lead: bool):
@@ -119,19 +117,13 @@ def _top_of_block(k: int, other_lead: bool):
     return best
 
 
-def _visit(visits: DataFrame, located: DataFrame, group: list[str], k: int, other_lead: bool, count: int) -> DataFrame:
-    """Evaluate queries against the blocks assigned to them; crowded blocks are served in several chunks.
-
-    ``count`` is the number of visits: up to ``QUERY_ROWS`` in all, no block can be crowded.
-    """
+def _visit(visits: DataFrame, located: DataFrame, group: list[str], k: int, other_lead: bool) -> DataFrame:
+    """Evaluate queries against the blocks assigned to them; crowded blocks are served in several chunks."""
     place = [*group, "block", "part"]
-    if count <= QUERY_ROWS:
-        left, right = visits.withColumn("chunk", F.lit(0)), located.withColumn("chunk", F.lit(0))
-    else:
-        load = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / float(QUERY_ROWS)).cast("int").alias("chunks"))
-        load = written(load, "analog-load")
-        left = visits.join(load, place).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
-        right = located.join(load, place).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    load = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / float(QUERY_ROWS)).cast("int").alias("chunks"))
+    load = written(load, "analog-load")
+    left = visits.join(load, place).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+    right = located.join(load, place).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     keys = [*place, "chunk"]
     left = left.select("qid", "x", "q_init", "q_lead", *keys)
     right = right.select("cid", "x", "c_init", "c_lead", *keys)
@@ -162,42 +154,34 @@ def nearest(
     limit = block_rows or BLOCK_ROWS
     queries = written(queries.withColumn("_r", _norm("x")), "analog-queries")
     candidates = written(candidates, "analog-candidates")
-    asked_count = queries.count()
-    if candidates.count() <= limit:
-        # The whole table fits one block, so does every group.
-        whole = [F.lit(0).alias("block"), F.lit(0).alias("part")]
-        return _visit(queries.select("*", *whole), candidates.select("*", *whole), group, k, other_lead, asked_count)
     located, directory = _blocks(candidates, group, limit)
-    asked = queries.join(directory, group)
-    below = F.filter("_blocks", lambda b: b["r_lo"] <= F.col("_r"))
-    home = F.coalesce(F.try_element_at(below, F.lit(-1)), F.get("_blocks", F.lit(0)))
-    first = asked.withColumn("_home", home).select(
+    # The home block is the last one beginning at or below the query's norm, else the first of the group.
+    below = F.when(F.col("r_lo") <= F.col("_r"), F.struct("r_lo", "block", "parts"))
+    home = queries.join(directory, group).groupBy("qid").agg(
+        F.coalesce(F.max(below), F.min(F.struct("r_lo", "block", "parts"))).alias("_home")
+    )
+    first = queries.join(home, "qid").select(
         "qid", "x", "q_init", "q_lead", *group,
         F.col("_home.block").alias("block"),
         F.pmod(F.xxhash64("qid"), F.col("_home.parts")).cast("int").alias("part"),
     )
-    seen = written(_visit(first, located, group, k, other_lead, asked_count), "analog-seen")
+    seen = written(_visit(first, located, group, k, other_lead), "analog-seen")
     reach = seen.groupBy("qid").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("_reach")
     )
     reachable = F.coalesce("_reach", F.lit(float("inf"))) * (1 + _SLACK) + _SLACK
-    hopeful = F.filter(
-        "_blocks",
-        lambda b: (b["r_lo"] - F.col("_limit") <= F.col("_r")) & (b["r_hi"] + F.col("_limit") >= F.col("_r")),
-    )
+    hopeful = (F.col("r_lo") - F.col("_limit") <= F.col("_r")) & (F.col("r_hi") + F.col("_limit") >= F.col("_r"))
     rest = (
-        asked.join(reach, "qid", "left")
+        queries.join(reach, "qid", "left")
         .withColumn("_limit", reachable)
-        .withColumn("b", F.explode(hopeful))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("b.parts") - 1)))
-        .select("qid", "x", "q_init", "q_lead", *group, F.col("b.block").alias("block"), "part")
+        .join(directory, group)
+        .filter(hopeful)
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("qid", "x", "q_init", "q_lead", *group, "block", "part")
         .join(first.select("qid", "block", "part"), ["qid", "block", "part"], "left_anti")
     )
     rest = written(rest, "analog-rest")
-    more = rest.count()
-    if not more:
-        return seen
-    both = seen.unionByName(_visit(rest, located, group, k, other_lead, more))
+    both = seen.unionByName(_visit(rest, located, group, k, other_lead))
     return _keep_best(both, k, ["distance", "c_init", "c_lead", "cid"]).drop("rank")
 
 

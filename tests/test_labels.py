@@ -41,7 +41,7 @@ def test_test_year_does_not_influence_the_fit(spark, fit):
 
 
 def test_bucketed_fit_is_the_same(spark, fit, monkeypatch):
-    monkeypatch.setattr(ranks, "SMALL_TABLE_ROWS", 0)
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 20)
     other = labels.fit_labels(_rows(spark).repartition(5), train())
     same = lambda f: sorted((r.component, r.region_id, r.lead_day, round(r.median, 9), round(r.mad, 9)) for r in f.stats.collect())
     assert same(other) == same(fit)

@@ -1,4 +1,4 @@
-"""Exact quantiles and running totals, with and without value buckets."""
+"""Exact quantiles and running totals over few and many value buckets."""
 
 import numpy as np
 import pandas as pd
@@ -7,9 +7,9 @@ import pytest
 from plumbline.functions import ranks
 
 
-@pytest.fixture(params=[2_000_000, 0], ids=["direct", "bucketed"])
+@pytest.fixture(params=[1 << 16, 50], ids=["few", "many"])
 def size_limit(request, monkeypatch):
-    monkeypatch.setattr(ranks, "SMALL_TABLE_ROWS", request.param)
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", request.param)
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def test_running_totals_equal_pandas(spark, skewed, size_limit, descending):
 
 
 def test_results_do_not_depend_on_partitioning(spark, skewed, monkeypatch):
-    monkeypatch.setattr(ranks, "SMALL_TABLE_ROWS", 0)
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 50)
     answers = []
     for parts in (1, 7):
         rows = spark.createDataFrame(skewed).repartition(parts)
