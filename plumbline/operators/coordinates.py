@@ -44,11 +44,34 @@ def cell_edges(axis: DataFrame) -> DataFrame:
     )
 
 
+def with_nearest_line(
+    grid: DataFrame, axis: DataFrame, column: str, name: str, tolerance: float = C.GRID_TOLERANCE_DEG
+) -> DataFrame:
+    """Add the index of the grid line within ``tolerance`` of ``column``, null where there is none.
+
+    The axis travels as one sorted array and is searched by halving, so rows need no join on doubles.
+    """
+    lines, value = F.col("_lines"), F.col(column)
+
+    def descend(at: Column, step: Column) -> Column:
+        further = (at + step <= F.size(lines)) & (F.try_element_at(lines, at + step)["value"] <= value + tolerance)
+        return F.when(further, at + step).otherwise(at)
+
+    halves = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    found = F.get(lines, F.aggregate(halves, F.lit(0), descend) - 1)
+    sorted_lines = axis.agg(F.array_sort(F.collect_list(F.struct("value", "idx")))).scalar()
+    index = F.when(F.abs(found["value"] - value) <= tolerance, found["idx"])
+    return grid.withColumn("_lines", sorted_lines).withColumn(name, index).drop("_lines")
+
+
 def with_cell_index(grid: DataFrame, latitudes: DataFrame, longitudes: DataFrame) -> DataFrame:
-    """Add integer cell indices; later joins use them instead of doubles."""
-    for axis, column, name in ((latitudes, "latitude", "lat_i"), (longitudes, "longitude", "lon_i")):
-        grid = grid.join(axis.select(F.col("idx").alias(name), F.col("value").alias(column)), column)
-    return grid
+    """Add integer cell indices, null off the axes (see ``off_axis``); later joins use them instead of doubles."""
+    return with_nearest_line(with_nearest_line(grid, latitudes, "latitude", "lat_i"), longitudes, "longitude", "lon_i")
+
+
+def off_axis(placed: DataFrame) -> DataFrame:
+    """Violations: points that lie on no grid line within the tolerance."""
+    return placed.filter(F.col("lat_i").isNull() | F.col("lon_i").isNull())
 
 
 def axis_mismatches(source: DataFrame, target: DataFrame, tolerance: float = C.GRID_TOLERANCE_DEG) -> DataFrame:

@@ -1,10 +1,16 @@
-"""Regridding as a sparse weight table and one join with one aggregate."""
+"""Regridding by two one-dimensional weight tables, applied one after the other.
+
+Each step is a join with a table of axis size and a sum that combines map-side; the product of the two tables is never
+formed. Weights are summed over finite values per field, so a target cell that lacks any of its source
+cells, by a null, a non-finite value, a missing row or a place outside the source, is null and can be reported.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.errors import ContractViolation
+from plumbline.functions.scalars import is_finite
 from plumbline.operators.coordinates import axis_mismatches, cell_edges
 
 
@@ -47,39 +53,53 @@ def _sine(latitude: Column) -> Column:
     return F.sin(F.radians(latitude))
 
 
-def regrid_weights(
-    source_lat: DataFrame, source_lon: DataFrame, target_lat: DataFrame, target_lon: DataFrame, method: str
-) -> DataFrame:
-    """Sparse weights (dst_lat_i, dst_lon_i, src_lat_i, src_lon_i, w): a product of two 1-D tables.
+def axis_weights(source: DataFrame, target: DataFrame, method: str, latitude: bool) -> DataFrame:
+    """Weights (dst_i, src_i, w) along one axis.
 
     ``bilinear`` for state fields, ``conservative`` (first order, spherical areas) for precipitation.
     """
     if method == "bilinear":
-        lat, lon = _linear_axis_weights(source_lat, target_lat), _linear_axis_weights(source_lon, target_lon)
-    elif method == "conservative":
-        lat = _overlap_axis_weights(source_lat, target_lat, _sine)
-        lon = _overlap_axis_weights(source_lon, target_lon, lambda x: x)
-    else:
-        raise ContractViolation(f"unsupported regridding method {method!r}")
-    across = lon.agg(
-        F.collect_list(F.struct(F.col("dst_i").alias("dst_lon_i"), F.col("src_i").alias("src_lon_i"), F.col("w").alias("w_lon")))
-    )
-    rows = lat.select(F.col("dst_i").alias("dst_lat_i"), F.col("src_i").alias("src_lat_i"), F.col("w").alias("w_lat"))
-    product = rows.withColumn("_lon", across.scalar()).select("dst_lat_i", "src_lat_i", "w_lat", F.inline("_lon"))
-    return product.select(
-        "dst_lat_i", "dst_lon_i", "src_lat_i", "src_lon_i", (F.col("w_lat") * F.col("w_lon")).alias("w")
-    )
+        return _linear_axis_weights(source, target)
+    if method == "conservative":
+        return _overlap_axis_weights(source, target, _sine if latitude else lambda x: x)
+    raise ContractViolation(f"unsupported regridding method {method!r}")
 
 
-def apply_weights(grid: DataFrame, weights: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Weighted sums on the target grid; keeps a cell only when its weights are complete."""
-    joined = grid.join(
-        weights, (grid["lat_i"] == weights["src_lat_i"]) & (grid["lon_i"] == weights["src_lon_i"]), "inner"
-    ).drop("lat_i", "lon_i")
-    totals = joined.groupBy(*keys, F.col("dst_lat_i").alias("lat_i"), F.col("dst_lon_i").alias("lon_i")).agg(
-        *[F.sum(F.col("w") * F.col(f)).alias(f) for f in fields], F.sum("w").alias("_w")
-    )
-    return totals.filter(F.abs(F.col("_w") - 1.0) <= 1e-9).drop("_w")
+def _along(rows: DataFrame, weights: DataFrame, axis: str, keys: list[str], fields: list[str]) -> DataFrame:
+    """One step: values and their shares (``_n_<field>``) summed over the source lines of one axis."""
+    joined = rows.join(weights, rows[axis] == weights["src_i"]).drop(axis, "src_i")
+    sums = {f: F.sum(F.col("w") * F.col(f)) for f in fields} | {f"_n_{f}": F.sum(F.col("w") * F.col(f"_n_{f}")) for f in fields}
+    grouped = joined.groupBy(*keys, F.col("dst_i").alias(axis))
+    return grouped.agg(*[value.alias(name) for name, value in sums.items()])
+
+
+def apply_weights(
+    grid: DataFrame,
+    latitude_weights: DataFrame,
+    longitude_weights: DataFrame,
+    target_axes: tuple[DataFrame, DataFrame],
+    keys: list[str],
+    fields: list[str],
+) -> DataFrame:
+    """Every target cell of every key; a field is null where its weights over finite source values do not reach one."""
+    shares = {f"_n_{f}": F.when(is_finite(F.col(f)), 1.0).otherwise(0.0) for f in fields}
+    finite = grid.select(*keys, "lat_i", "lon_i", *fields).withColumns(shares)
+    finite = finite.withColumns({f: F.when(F.col(f"_n_{f}") == 1, F.col(f)).otherwise(0.0) for f in fields})
+    rows = _along(finite, latitude_weights, "lat_i", [*keys, "lon_i"], fields)
+    rows = _along(rows, longitude_weights, "lon_i", [*keys, "lat_i"], fields)
+    frame = grid.select(*keys).distinct()
+    for axis, name in zip(target_axes, ("lat_i", "lon_i"), strict=True):
+        frame = _with_array(frame, axis.select("idx"), "_axis").select(*keys, *frame.columns[len(keys) :], F.explode("_axis.idx").alias(name))
+    complete = [F.when(F.abs(F.col(f"_n_{f}") - 1.0) <= 1e-9, F.col(f)).alias(f) for f in fields]
+    return frame.join(rows, [*keys, "lat_i", "lon_i"], "left").select(*keys, "lat_i", "lon_i", *complete)
+
+
+def incomplete_cells(regridded: DataFrame, fields: list[str]) -> DataFrame:
+    """Violations: target cells without a value in one of the fields."""
+    missing = F.col(fields[0]).isNull()
+    for field in fields[1:]:
+        missing = missing | F.col(field).isNull()
+    return regridded.filter(missing)
 
 
 def align(
@@ -94,4 +114,5 @@ def align(
     same = all(axis_mismatches(s, t).isEmpty() for s, t in zip(source_axes, target_axes, strict=True))
     if same:
         return grid, "identity"
-    return apply_weights(grid, regrid_weights(*source_axes, *target_axes, method), keys, fields), method
+    weights = [axis_weights(s, t, method, i == 0) for i, (s, t) in enumerate(zip(source_axes, target_axes, strict=True))]
+    return apply_weights(grid, *weights, target_axes, keys, fields), method

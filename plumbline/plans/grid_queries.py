@@ -297,7 +297,9 @@ def _target_axes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _regridded(spark: SparkSession, d: str, method: str) -> DataFrame:
-    cells = B.grid(spark, d).select("yr", *grid.CELL, "f", "u")
+    """All target cells; one source cell in 37 is nulled, so that cells next to it have no value."""
+    gap = (F.col("lat_i") + F.col("lon_i") + F.col("yr")) % 37 == 0
+    cells = B.grid(spark, d).select("yr", *grid.CELL, F.when(~gap, F.col("f")).alias("f"), "u")
     moved, _ = align(cells, B.grid_axes(spark, d), _target_axes(spark, d), ["yr"], ["f", "u"], method)
     return moved.select("yr", *grid.CELL, rounded("f", 4), rounded("u"))
 
@@ -308,10 +310,17 @@ tlon AS (SELECT DISTINCT CAST(l_orderkey % 10 AS INTEGER) AS i, 69.0::DOUBLE + 1
 slat AS (SELECT DISTINCT lat_i AS i, latitude AS x FROM grid),
 slon AS (SELECT DISTINCT lon_i AS i, longitude AS x FROM grid)
 """
-_APPLY = """
-SELECT yr, wlat.i AS lat_i, wlon.i AS lon_i, round(sum(wlat.w * wlon.w * f), 4) AS f, round(sum(wlat.w * wlon.w * u), 6) AS u
-FROM grid JOIN wlat ON wlat.s = grid.lat_i JOIN wlon ON wlon.s = grid.lon_i
-GROUP BY yr, wlat.i, wlon.i HAVING abs(sum(wlat.w * wlon.w) - 1) <= 1e-9
+_APPLY = """,
+gapped AS (SELECT yr, lat_i, lon_i, CASE WHEN (lat_i + lon_i + yr) % 37 <> 0 THEN f END AS f, u FROM grid),
+moved AS (
+  SELECT yr, wlat.i AS lat_i, wlon.i AS lon_i,
+         CASE WHEN abs(sum(wlat.w * wlon.w) FILTER (WHERE f IS NOT NULL) - 1) <= 1e-9 THEN round(sum(wlat.w * wlon.w * f), 4) END AS f,
+         CASE WHEN abs(sum(wlat.w * wlon.w) - 1) <= 1e-9 THEN round(sum(wlat.w * wlon.w * u), 6) END AS u
+  FROM gapped JOIN wlat ON wlat.s = gapped.lat_i JOIN wlon ON wlon.s = gapped.lon_i
+  GROUP BY yr, wlat.i, wlon.i)
+SELECT y.yr, tlat.i AS lat_i, tlon.i AS lon_i, f, u
+FROM (SELECT DISTINCT yr FROM grid) y CROSS JOIN tlat CROSS JOIN tlon
+LEFT JOIN moved ON moved.yr = y.yr AND moved.lat_i = tlat.i AND moved.lon_i = tlon.i
 """
 
 

@@ -120,14 +120,39 @@ def test_matching_grids_are_left_alone(spark):
         regrid.align(table, axes, (axis(spark, [6.5, 7.0]), axis(spark, LONS)), ["run"], ["f"], "nearest")
 
 
-def test_bilinear_is_exact_for_planes_and_drops_outside_cells(spark):
+def test_bilinear_is_exact_for_planes_and_null_outside(spark):
     table = _indexed(spark, LATS, LONS, lambda a, o: 2 * a - 3 * o + 1)
     target = [6.3, 7.5, 9.4, 12.0]
     found, how = regrid.align(table, (axis(spark, LATS), axis(spark, LONS)), (axis(spark, target), axis(spark, [68.2, 70.9])), ["run"], ["f"], "bilinear")
     values = {(r.lat_i, r.lon_i): r.f for r in found.collect()}
-    assert how == "bilinear" and set(values) == {(i, j) for i in range(3) for j in range(2)}
+    assert how == "bilinear" and set(values) == {(i, j) for i in range(4) for j in range(2)}
+    assert {cell for cell, value in values.items() if value is None} == {(3, 0), (3, 1)}
+    assert regrid.incomplete_cells(found, ["f"]).count() == 2
     for (i, j), value in values.items():
-        assert value == pytest.approx(2 * target[i] - 3 * [68.2, 70.9][j] + 1)
+        if i < 3:
+            assert value == pytest.approx(2 * target[i] - 3 * [68.2, 70.9][j] + 1)
+
+
+@pytest.mark.parametrize("gap", ["null", "nan", "missing"])
+def test_cells_next_to_a_gap_have_no_value(spark, gap):
+    lines = [6.0, 7.5, 9.0]
+    ones = _indexed(spark, lines, lines, lambda a, o: 1)
+    hole = (F.col("lat_i") == 1) & (F.col("lon_i") == 1)
+    if gap == "missing":
+        ones = ones.filter(~hole)
+    else:
+        ones = ones.withColumn("f", F.when(hole, F.lit(None if gap == "null" else float("nan"))).otherwise(F.col("f")))
+    axes = (axis(spark, lines), axis(spark, lines))
+    found, _ = regrid.align(ones, axes, (axis(spark, [6.5, 9.0]), axis(spark, [6.0, 8.0])), ["run"], ["f"], "bilinear")
+    assert {(r.lat_i, r.lon_i): r.f for r in found.collect()} == {(0, 0): 1.0, (0, 1): None, (1, 0): 1.0, (1, 1): 1.0}
+
+
+def test_points_within_the_tolerance_get_their_cell(spark):
+    lines = axis(spark, [6.0, 7.5, 9.0])
+    points = spark.createDataFrame([(6.0 + 5e-7, 9.0), (7.5 - 5e-7, 7.5), (7.51, 6.0), (5.0, 6.0), (20.0, 6.0)], "latitude double, longitude double")
+    placed = coordinates.with_cell_index(points, lines, lines)
+    assert [(r.lat_i, r.lon_i) for r in placed.collect()] == [(0, 2), (1, 1), (None, 0), (None, 0), (None, 0)]
+    assert coordinates.off_axis(placed).count() == 3
 
 
 def test_conservative_keeps_the_integral(spark):
