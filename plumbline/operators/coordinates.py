@@ -145,9 +145,9 @@ def bad_requests(requests: DataFrame, years: list[int], months: list[int] | None
     return requests.filter(~reduce(lambda a, b: a & b, fine))
 
 
-def with_split(rows: DataFrame, year: Column, train: list[int], validation: int, test: int) -> DataFrame:
+def with_split(rows: DataFrame, year: Column, train: list[int], validation: int, test: int | list[int]) -> DataFrame:
     """Add ``split`` by start year; rows of other years are dropped."""
-    split = F.when(year.isin(train), "train").when(year == validation, "validation").when(year == test, "test")
+    split = F.when(year.isin(train), "train").when(year == validation, "validation").when(year.isin(test), "test")
     return rows.withColumn("split", split).filter(F.col("split").isNotNull())
 
 

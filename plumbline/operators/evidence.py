@@ -104,7 +104,7 @@ def describe_drivers(contributions: str, values: Column, catalog: dict | None =
             F.element_at(units, entry["feature_name"]).alias("unit"),
             entry["shap_value"].alias("shap_value"),
             direction.alias("direction"),
-            F.concat(F.lit("This feature "), direction, F.lit(" the model's predicted bust risk.")).alias("interpretation"),
+            F.concat(F.lit("Model risk "), direction, F.lit(" by this feature.")).alias("interpretation"),
         )
 
     return F.transform(contributions, one)

@@ -70,7 +70,7 @@ def short_lines(grid: DataFrame, keys: list[str]) -> DataFrame:
     lines = []
     for fixed, axis in (("longitude", "latitude"), ("latitude", "longitude")):
         counted = grid.groupBy(*keys, F.col(fixed).alias("at")).agg(F.count(F.lit(1)).alias("points"))
-        lines.append(counted.filter("points < 2").select(*keys, F.lit(axis).alias("axis"), "at"))
+        lines.append(counted.filter("points < 2").select(*keys, F.lit(axis).alias("axis"), "at", "points"))
     return lines[0].unionByName(lines[1])
 
 

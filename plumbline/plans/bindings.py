@@ -174,6 +174,33 @@ def risk_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def full_risk_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Risks of every month, lead and nation; a pair without orders has its nation's mean.
+
+    One nation misses the leads that add up with the month to a multiple of seven, so that some groups stay incomplete.
+    """
+    t = "forecast_initialization_time"
+    risks, orders = risk_rows(spark, d).drop("valid_time"), orders_as_predictions(spark, d)
+    nation = table(spark, d, "nation").select(F.format_string("imd-%02d", F.col("n_nationkey") + 1).alias("region_id"))
+    mean = orders.groupBy("region_id").agg(F.avg("bust_probability").alias("_mean"))
+    overall = orders.agg(F.avg("bust_probability")).scalar()
+    means = nation.join(mean, "region_id", "left").select(
+        F.struct("region_id", F.round(F.coalesce("_mean", overall), 12).alias("_mean")).alias("_entry")
+    )
+    # One entry per nation.
+    frame = risks.select(t).distinct().withColumn("_nations", means.agg(F.collect_list("_entry")).scalar())
+    frame = frame.select(t, F.inline("_nations")).select("*", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("lead_day"))
+    hole = (F.col("region_id") == "imd-03") & ((F.col("lead_day") + F.month(t)) % 7 == 0)
+    filled = frame.filter(~hole).join(risks, [t, "lead_day", "region_id"], "left")
+    return filled.select(
+        t,
+        "lead_day",
+        "region_id",
+        F.coalesce("bust_probability", "_mean").alias("bust_probability"),
+        (F.col(t) + F.make_dt_interval(F.col("lead_day"))).alias("valid_time"),
+    )
+
+
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """Statements to check: two claims made from each order, and every document as it is."""
     orders, documents = table(spark, d, "orders"), table(spark, d, "documents")

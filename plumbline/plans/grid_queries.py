@@ -159,7 +159,8 @@ def grid_derivatives(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH lines AS (
       SELECT CAST(year(l_shipdate) AS INTEGER) AS yr, l_partkey % 1000 AS x, l_suppkey AS y FROM lineitem GROUP BY ALL)
-    SELECT yr, x AS at, count(*) AS points FROM lines GROUP BY yr, x HAVING count(*) < 2"""
+    SELECT yr, 'latitude' AS axis, x AS at, count(*) AS points FROM lines GROUP BY yr, x HAVING count(*) < 2
+    UNION ALL SELECT yr, 'longitude', y, count(*) FROM lines GROUP BY yr, y HAVING count(*) < 2"""
 )
 def single_point_lines(spark: SparkSession, d: str) -> DataFrame:
     """Grid lines on which no derivative exists (2.3.1)."""
@@ -167,8 +168,7 @@ def single_point_lines(spark: SparkSession, d: str) -> DataFrame:
     cells = line.select(
         F.year("l_shipdate").alias("yr"), (F.col("l_partkey") % 1000).alias("longitude"), F.col("l_suppkey").alias("latitude")
     ).distinct()
-    found = grid.short_lines(cells, ["yr"]).filter(F.col("axis") == "latitude")
-    return found.select("yr", "at", F.lit(1).cast("bigint").alias("points"))
+    return grid.short_lines(cells, ["yr"]).select("yr", "axis", "at", "points")
 
 
 @query(
@@ -442,11 +442,11 @@ def region_cell_areas(spark: SparkSession, d: str) -> DataFrame:
       FROM boxes a JOIN boxes b ON a.region_id < b.region_id AND a.w < b.w + b.size AND b.w < a.w + a.size
            AND a.s < b.s + b.size AND b.s < a.s + a.size),
     areas AS (SELECT left_id, right_id, {_box_area("w", "s", "e", "n")} / 1e6 AS area FROM pairs)
-    SELECT left_id, right_id, round(area, 3) AS area_km2 FROM areas WHERE area > 0.001"""
+    SELECT left_id, right_id, round(area, 3) AS area_km2 FROM areas WHERE area > 0.000001"""
 )
 def region_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of regions that share area (R-08, J-11)."""
-    found = regions.overlapping_regions(B.part_boxes(spark, d), tolerance_km2=0.001)
+    found = regions.overlapping_regions(B.part_boxes(spark, d))
     return found.select("left_id", "right_id", rounded("area_km2", 3))
 
 

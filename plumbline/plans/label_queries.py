@@ -176,13 +176,13 @@ def climatology_baseline(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {ERRORS}, split AS (
       SELECT *, CASE WHEN yr BETWEEN 1995 AND 1998 THEN 'train' WHEN yr = 1999 THEN 'validation' ELSE 'test' END AS split
-      FROM errors WHERE yr <= 2000)
+      FROM errors WHERE yr BETWEEN 1995 AND 2001)
     SELECT split, count(*) AS rows, count(DISTINCT init) AS cycles, strftime(min(init), '%Y-%m-%d %H:%M:%S') AS first_init
     FROM split GROUP BY split"""
 )
 def temporal_split(spark: SparkSession, d: str) -> DataFrame:
     """Rows and cycles of the year-based split (F-11, F-12, J-14)."""
-    rows = with_split(B.errors(spark, d), F.col("yr"), B.TRAIN, B.VALIDATION, 2000)
+    rows = with_split(B.errors(spark, d), F.col("yr"), B.TRAIN, B.VALIDATION, B.TEST_YEARS)
     per_cycle = rows.groupBy("split", "forecast_initialization_time").agg(F.count(F.lit(1)).alias("n"))
     return per_cycle.groupBy("split").agg(
         F.sum("n").alias("rows"),

@@ -105,7 +105,7 @@ def _contributions(spark: SparkSession, d: str) -> DataFrame:
              WHEN '4-NOT SPECIFIED' THEN 'Unspecified' ELSE 'Low' END AS display_name,
            CASE WHEN feature_name IN ('1-URGENT', '2-HIGH', '5-LOW') THEN 'order' END AS unit, value,
            CASE WHEN shap_value >= 0 THEN 'increased' ELSE 'decreased' END AS direction,
-           'This feature ' || CASE WHEN shap_value >= 0 THEN 'increased' ELSE 'decreased' END || ' the model''s predicted bust risk.' AS interpretation,
+           'Model risk ' || CASE WHEN shap_value >= 0 THEN 'increased' ELSE 'decreased' END || ' by this feature.' AS interpretation,
            round(shap_value, 2) AS shap_value
     FROM contributions JOIN counts USING (o_custkey, feature_name)"""
 )
@@ -118,15 +118,15 @@ def driver_table(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {CONTRIBUTIONS}, r AS (
       SELECT *, row_number() OVER (PARTITION BY o_custkey, shap_value > 0 ORDER BY abs(shap_value) DESC, feature_name) AS r FROM contributions WHERE shap_value <> 0)
-    SELECT o_custkey, coalesce(string_agg(feature_name, ',' ORDER BY r) FILTER (WHERE shap_value > 0 AND r <= 2), '') AS positive,
-           coalesce(string_agg(feature_name, ',' ORDER BY r) FILTER (WHERE shap_value < 0 AND r <= 2), '') AS negative
+    SELECT o_custkey, coalesce(string_agg(feature_name, ',' ORDER BY r) FILTER (WHERE shap_value > 0 AND r <= 5), '') AS positive,
+           coalesce(string_agg(feature_name, ',' ORDER BY r) FILTER (WHERE shap_value < 0 AND r <= 5), '') AS negative
     FROM r GROUP BY o_custkey"""
 )
 def top_drivers(spark: SparkSession, d: str) -> DataFrame:
     """Strongest drivers of each sign, ties by name (E-03, W-01)."""
     rows = _contributions(spark, d)
     names = lambda positive: F.array_join(
-        F.transform(evidence.top_drivers("drivers", positive, 2), lambda e: e["feature_name"]), ","
+        F.transform(evidence.top_drivers("drivers", positive), lambda e: e["feature_name"]), ","
     )
     return rows.select("o_custkey", names(True).alias("positive"), names(False).alias("negative"))
 

@@ -31,6 +31,22 @@ risks AS (
 )
 
 
+#: Every month, lead and nation; a pair without orders has its nation's mean. One nation misses some months.
+FULL_RISKS = (
+    RISKS
+    + """,
+full_risks AS (
+  SELECT m.init, CAST(l.lead_day AS INTEGER) AS lead_day, n.region_id, coalesce(r.p, n.p) AS p
+  FROM (SELECT DISTINCT init FROM risks) m CROSS JOIN (SELECT unnest(range(1, 11)) AS lead_day) l
+  CROSS JOIN (SELECT printf('imd-%02d', n_nationkey + 1) AS region_id,
+                     round(coalesce(avg(p), (SELECT avg(p) FROM predictions)), 12) AS p
+              FROM nation LEFT JOIN predictions ON region_id = printf('imd-%02d', n_nationkey + 1) GROUP BY n_nationkey) n
+  LEFT JOIN risks r ON r.init = m.init AND r.lead_day = l.lead_day AND r.region_id = n.region_id
+  WHERE NOT (n.region_id = 'imd-03' AND (l.lead_day + month(m.init)) % 7 = 0))
+"""
+)
+
+
 def _scratch(spark: SparkSession, name: str, d: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{d.rstrip('/').rsplit('/', 1)[-1]}"
 
@@ -217,15 +233,15 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {RISKS}, complete AS (SELECT init, lead_day FROM risks GROUP BY ALL HAVING count(*) >= 12 AND count(*) = 12)
+    f"""WITH {FULL_RISKS}, complete AS (SELECT init, lead_day FROM full_risks GROUP BY ALL HAVING count(*) = 25)
     SELECT 'run-' || strftime(init, '%Y%m%dT%H%M%SZ') AS run_id, lead_day, region_id, p AS bust_probability,
            round(1 - p, 12) AS forecast_reliability,
            'tree-risk-v1__' || strftime(init, '%Y%m%dT%H%M%SZ') || '__' || region_id || '__d' || printf('%02d', lead_day) AS prediction_id
-    FROM risks JOIN complete USING (init, lead_day)"""
+    FROM full_risks JOIN complete USING (init, lead_day)"""
 )
 def risk_maps(spark: SparkSession, d: str) -> DataFrame:
     """Maps holding exactly the expected number of regions, all runs at once (V-02, J-07)."""
-    complete = views.risk_maps(B.risk_rows(spark, d), regions=12)
+    complete = views.risk_maps(B.full_risk_rows(spark, d), regions=25)
     named = views.with_identity(complete, "tree-risk-v1")
     return named.select(
         "run_id", "lead_day", "region_id", "bust_probability", rounded("forecast_reliability", 12), "prediction_id"
@@ -233,14 +249,14 @@ def risk_maps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {RISKS}, complete AS (SELECT init, region_id FROM risks GROUP BY ALL HAVING count(*) = 6)
+    f"""WITH {FULL_RISKS}, complete AS (SELECT init, region_id FROM full_risks GROUP BY ALL HAVING count(*) = 10)
     SELECT strftime(init, '%Y-%m-%d %H:%M:%S') AS init_time, region_id,
            string_agg(lead_day || ':' || CAST(round(p * 1e12) AS BIGINT), ' ' ORDER BY lead_day) AS points
-    FROM risks JOIN complete USING (init, region_id) GROUP BY init, region_id"""
+    FROM full_risks JOIN complete USING (init, region_id) GROUP BY init, region_id"""
 )
 def lead_curves(spark: SparkSession, d: str) -> DataFrame:
     """Ordered points of (run, region) pairs with exactly the expected leads (V-03)."""
-    curves = views.lead_curves(B.risk_rows(spark, d), leads=6)
+    curves = views.lead_curves(B.full_risk_rows(spark, d))
     text = F.transform(
         "points", lambda p: F.concat(p["lead_day"].cast("string"), F.lit(":"), F.round(p["bust_probability"] * 1e12).cast("bigint").cast("string"))
     )
@@ -437,17 +453,21 @@ def table_differences(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, l_suppkey, round(l_quantity, 6) AS l_quantity FROM (
-      SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r
+    """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice,
+           round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax, l_returnflag, l_linestatus FROM (
+      SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity,
+                                   l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS r
       FROM lineitem) WHERE r = 1"""
 )
 def merged_slices(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping slices united, first row per coordinate key (T-05, T-01, T-04)."""
-    line = B.table(spark, d, "lineitem").drop("l_returnflag", "l_linestatus", "l_tax", "l_discount")
+    line = B.table(spark, d, "lineitem")
     slices = [line.filter(F.col("l_quantity") <= 30), line.filter(F.col("l_quantity") >= 20)]
-    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    values = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    order = ["l_shipdate", "l_partkey", "l_suppkey", *values, "l_returnflag", "l_linestatus"]
     merged = coordinates.merge_slices(slices, ["l_orderkey", "l_linenumber"], order)
-    return merged.select("l_orderkey", "l_linenumber", "l_suppkey", rounded("l_quantity"))
+    keys = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"]
+    return merged.select(*keys, *[rounded(v) for v in values], "l_returnflag", "l_linestatus")
 
 
 @query(

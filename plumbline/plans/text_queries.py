@@ -89,11 +89,11 @@ def grounding_sources(spark: SparkSession, d: str) -> DataFrame:
                row_number() OVER (PARTITION BY o_custkey, v < 0 ORDER BY o_orderpriority) AS rn
         FROM (SELECT o_custkey, o_orderpriority, count(*) - 2 AS v FROM orders GROUP BY ALL)) ON o_custkey = c_custkey
       GROUP BY c_custkey)
-    SELECT c_custkey, 'The calibrated bust probability is ' || printf('%.1f', round(p * 100, 1)) || '%, with Forecast Reliability of '
-           || printf('%.1f', round((1 - p) * 100, 1)) || '%.'
-           || coalesce(' The main model contributions increasing predicted bust risk are ' || up || '.', '')
-           || coalesce(' The main model contributions decreasing predicted bust risk are ' || down || '.', '')
-           || ' SHAP contributions describe model behavior and do not establish physical causation.' AS summary
+    SELECT c_custkey, 'Chance of an unusually large error: ' || printf('%.1f', round(p * 100, 1)) || '% (reliability '
+           || printf('%.1f', round((1 - p) * 100, 1)) || '%).'
+           || coalesce(' Raised most by: ' || up || '.', '')
+           || coalesce(' Lowered most by: ' || down || '.', '')
+           || ' Contributions explain the model, not the weather.' AS summary
     FROM parts"""
 )
 def evidence_summaries(spark: SparkSession, d: str) -> DataFrame:
