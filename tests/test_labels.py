@@ -26,16 +26,28 @@ def fit(spark):
     return labels.fit_labels(_rows(spark), train())
 
 
-def test_fit_uses_each_group_with_enough_samples(fit):
+def test_fit_equals_numpy_on_each_group(fit):
     stats = {(r.component, r.region_id, r.lead_day): r for r in fit.stats.collect()}
     assert len(stats) == 16
-    row = stats[("precip", "imd-01", 1)]
-    assert (row.sample_count, row.fallback_level) == (120, "region_lead")
-    assert row.median == pytest.approx(19.5) and row.mad == pytest.approx(10.0)
+    frame = label_rows()
+    frame = frame[frame.forecast_initialization_time.dt.year < 2021]
+    for name, column in labels.C.COMPONENT_COLUMNS.items():
+        for (region, lead), group in frame.groupby(["region_id", "lead_day"]):
+            row, values = stats[(name, region, lead)], group[column].to_numpy()
+            assert (row.sample_count, row.fallback_level) == (108, "region_lead")
+            assert row.median == pytest.approx(np.median(values))
+            assert row.mad == pytest.approx(np.median(np.abs(values - np.median(values))))
+
+
+def test_thresholds_equal_numpy(spark, fit):
+    scored = labels.standardize(_rows(spark).filter(train()), fit.stats).toPandas()
+    found = {(r.region_id, r.lead_day): r.threshold for r in fit.thresholds.collect()}
+    for key, group in scored.groupby(["region_id", "lead_day"]):
+        assert found[key] == pytest.approx(np.quantile(group.severity, labels.C.THRESHOLD_QUANTILE))
 
 
 def test_test_year_does_not_influence_the_fit(spark, fit):
-    moved = labels.fit_labels(_rows(spark, offset_last_year=1_000_000.0), train())
+    moved = labels.fit_labels(_rows(spark, shift_of_test_year=1_000_000.0), train())
     assert sorted(moved.stats.collect()) == sorted(fit.stats.collect())
     assert sorted(moved.thresholds.collect()) == sorted(fit.thresholds.collect())
 
@@ -48,7 +60,7 @@ def test_bucketed_fit_is_the_same(spark, fit, monkeypatch):
 
 
 def test_scores_are_clipped_and_labels_strict(spark, fit):
-    table = fit.apply(_rows(spark, offset_last_year=1_000_000.0))
+    table = fit.apply(_rows(spark, shift_of_test_year=1_000_000.0))
     assert dict(table.dtypes)["bust"] == "tinyint"
     rows = table.toPandas()
     for name in ("precip", "mslp", "wind", "temperature"):
@@ -62,18 +74,19 @@ def test_scores_are_clipped_and_labels_strict(spark, fit):
 def test_fallback_levels(spark):
     rows = _rows(spark)
     used = lambda n: {r.fallback_level for r in labels.fit_labels(rows, train(), min_samples=n).stats.collect()}
-    assert used(120) == {"region_lead"} and used(240) == {"lead"} and used(241) == {"global"}
+    assert used(108) == {"region_lead"} and used(216) == {"lead"} and used(217) == {"global"}
 
 
 def test_not_finite_errors_are_left_out_and_nan_stays(spark):
     frame = label_rows()
-    frame.loc[0, "e_precip_mm"] = math.nan
-    frame.loc[1, "e_precip_mm"] = math.inf
+    group = frame.index[(frame.region_id == "imd-04") & (frame.lead_day == 2)]
+    frame.loc[group[0], "e_precip_mm"] = math.nan
+    frame.loc[group[1], "e_precip_mm"] = math.inf
     # Pandas hands NaN over as null.
     table = spark.createDataFrame(frame, LABEL_SCHEMA).fillna(math.nan, ["e_precip_mm"])
     fit = labels.fit_labels(table, train())
-    precip = fit.stats.filter("component = 'precip' AND region_id = 'imd-01' AND lead_day = 1").first()
-    assert precip.sample_count == 118
+    precip = fit.stats.filter("component = 'precip' AND region_id = 'imd-04' AND lead_day = 2").first()
+    assert precip.sample_count == 106
     scored = labels.standardize(table, fit.stats).filter(F.isnan("e_precip_mm")).first()
     assert math.isnan(scored.z_precip) and math.isnan(scored.severity)
 
@@ -94,4 +107,4 @@ def test_no_training_rows(spark):
 
 def test_prevalence(spark, fit):
     table = labels.prevalence(fit.apply(_rows(spark)), F.year("forecast_initialization_time")).collect()
-    assert [r.rows for r in table] == [160, 160, 160, 80, 80]
+    assert [r.rows for r in table] == [144, 144, 144, 72, 72]
