@@ -154,7 +154,7 @@ def test_explanations_are_additive_and_complete(fitted):
     assert first.provenance == {"feature_contract": "f"}
     assert {f.feature_name for f in first.approved_feature_values} == set(narrative.QUOTABLE_FEATURES)
     assert first.run_to_run_drift.feature_name == "run_to_run_mslp_drift_pa"
-    assert "nearest training-period analog" in first.summary and "historical_analog_summaries" in first.sources
+    assert "Closest past runs" in first.summary and "historical_analog_summaries" in first.sources
     checked = context.select(narrative.numbers_are_grounded(F.col("summary"), F.col("bust_probability")).alias("ok"))
     assert checked.filter("NOT ok").isEmpty()
 
