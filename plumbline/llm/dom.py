@@ -203,15 +203,9 @@ def blocks(page: Page, removed: frozenset[int] | set[int] = frozenset()) -> list
     When the page marks its main text (article, main), only that is taken.
     """
     gone: dict[int, bool] = {}
-
-    def is_gone(node: Node) -> bool:
-        known = gone.get(id(node))
-        if known is None:
-            known = node.dropped or (node.prior == 0 and node.path in removed)
-            if not known and node.parent is not None:
-                known = is_gone(node.parent)
-            gone[id(node)] = known
-        return known
+    for node in page.nodes:  # parents come before their children
+        above = node.parent is not None and gone[id(node.parent)]
+        gone[id(node)] = above or node.dropped or (node.prior == 0 and node.path in removed)
 
     found: list[str] = []
     parts: list[str] = []
@@ -221,6 +215,6 @@ def blocks(page: Page, removed: frozenset[int] | set[int] = frozenset()) -> list
             if text:
                 found.append(text)
             parts = []
-        elif (item[0].inside or not page.landmark) and not is_gone(item[0]):
+        elif (item[0].inside or not page.landmark) and not gone[id(item[0])]:
             parts.append(item[1])
     return found
