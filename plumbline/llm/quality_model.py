@@ -117,7 +117,7 @@ def word_vectors(sample: DataFrame) -> np.ndarray:
 
     kind = "slot long, sums binary"
     per_part = sample.select("text").repartition(FIT_PARTS, F.xxhash64("text")).mapInPandas(sums, kind)
-    merged = per_part.groupBy(F.pmod("slot", F.lit(FIT_PARTS))).applyInPandas(merge, kind).toPandas()
+    merged = per_part.groupBy(F.pmod("slot", F.lit(FIT_PARTS))).applyInPandas(merge, kind).toArrow().to_pandas()
     found = np.zeros((SLOTS, DIM), dtype=np.float32)
     if len(merged):
         found[merged["slot"].to_numpy()] = np.stack([np.frombuffer(s, dtype="<f4") for s in merged["sums"]])
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, r
             rows = [pooled(text, own, index, slots).astype("<f4").tobytes() for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": rows})
 
-    found = sample.mapInPandas(featured, "doc_id long, label int, x binary").toPandas()
+    found = sample.mapInPandas(featured, "doc_id long, label int, x binary").toArrow().to_pandas()
     found = found.sort_values(["doc_id", "x"], ignore_index=True)
     if len(found):
         x = np.stack([np.frombuffer(v, dtype="<f4") for v in found["x"]]).astype(np.float64)

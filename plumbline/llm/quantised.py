@@ -175,7 +175,7 @@ def fit(classes: DataFrame, dim: int, cosine: float) -> Index:
     """Index fitted on a bounded sample, chosen by the hash of the vectors, so that the choice repeats."""
     n = classes.count()
     lists = int(min(MOST_LISTS, max(1, 2 ** round(np.log2(max(1, n / LIST_ROWS))))))
-    rows = classes.orderBy("h1", "h2").limit(SAMPLE_PER_LIST * max(lists, CODES // 16)).select("vector").toPandas()
+    rows = classes.orderBy("h1", "h2").limit(SAMPLE_PER_LIST * max(lists, CODES // 16)).select("vector").toArrow().to_pandas()
     return Index.fit(unit_rows(np.stack(rows["vector"].to_numpy()).reshape(-1, dim)), lists, cosine)
 
 

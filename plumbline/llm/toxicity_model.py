@@ -307,7 +307,7 @@ def word_counts(sample: DataFrame) -> pd.DataFrame:
         for v in (0, 1)
         for h in (0, 1)
     ]
-    return parts.groupBy("word").agg(*cells).filter(F.col("n10") + F.col("n11") >= LEAST_DOCS).toPandas()
+    return parts.groupBy("word").agg(*cells).filter(F.col("n10") + F.col("n11") >= LEAST_DOCS).toArrow().to_pandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, rows: int = SAMPLE_ROWS) -> ToxicityModel:
@@ -342,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, r
             x = [features(text, own[half]).tobytes() for text, half in zip(batch["text"], batch["half"])]
             yield batch[["doc_id", "label", "held"]].assign(x=x)
 
-    found = sample.mapInPandas(featured, "doc_id long, label int, held boolean, x binary").toPandas()
+    found = sample.mapInPandas(featured, "doc_id long, label int, held boolean, x binary").toArrow().to_pandas()
     found = found.sort_values(["doc_id", "x"], ignore_index=True)
     x = np.stack([np.frombuffer(v) for v in found["x"]])
     y, held = found["label"].to_numpy(dtype=np.float64), found["held"].to_numpy(dtype=bool)
