@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 4096, 1024
 HEADER = "<4s6I"
 HEADER_BYTES = struct.calcsize(HEADER)
 MAGIC = b"CMB1"
@@ -56,8 +56,9 @@ class Model:
         self.guess2 = np.full(lanes * CONTEXTS, -1, dtype=np.int32)
         self.chance1 = np.tile(FIRST, lanes)
         self.chance2 = np.tile(FIRST, lanes)
-        self.last = np.full(lanes, width, dtype=np.int64)
-        self.before = np.full(lanes, width, dtype=np.int64)
+        # The number after the last distinct id stands for what comes before the first one.
+        self.last = distinct.astype(np.int64)
+        self.before = self.last.copy()
         rows = np.arange(lanes)
         self.row_counts, self.row_upto = rows * width, rows * (width + 1)
         self.row_contexts, self.row_chance = rows * CONTEXTS, rows * 16
