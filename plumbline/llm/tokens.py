@@ -14,10 +14,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Two white-space characters in a row: such texts are not cut at spaces.
 DOUBLE_SPACE = re.compile(r"\s\s")
-#: Letters and then ASCII marks: a border of tokens in every pattern used here.
-WORD_MARKS = re.compile(r"(\x20?[^\W\d_]+)([!-/:-@\[-`{-~]+)")
+#: Letters, and then ASCII marks or nothing: between them is a border of tokens in every pattern used here.
+WORD_MARKS = re.compile(r"(\x20?)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 #: Pieces remembered, characters of text and pieces worked on at once; all bound memory and change speed only.
-KEEP, CHARS, TOGETHER = 800_000, 2_000_000, 2_000
+KEEP, CHARS, TOGETHER = 300_000, 1_500_000, 4_000
 
 
 class Encoder:
@@ -29,38 +29,37 @@ class Encoder:
     the tokenizer whole. Names of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, leading: bool) -> None:
+    def __init__(self, path: str, leading: bool, keep: int = KEEP) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.leading = leading
+        self.leading, self.keep = leading, keep
         self.known: dict[str, bytes] = {}
-        self.mark = "\n" if leading else " \x01 "
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _direct(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces; those of one word go through the tokenizer many at a time, with a mark of one id between."""
-        words, others = [], []
-        for piece in pieces:
-            word = piece.strip()
-            single = piece in (word, " " + word) and len(piece.split()) == 1 and self.mark.strip(" ") not in piece
-            (words if single else others).append(piece)
-        found = dict(zip(others, self._alone(others)))
-        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
-        joined = [self.mark.join([*group, ""]) for group in groups]
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = encoded.ids
-            whole = np.array(ids, dtype="<u4")
-            ends = np.flatnonzero(whole == self.mark_id)
-            if len(ends) != len(group):
-                raise ValueError("the mark does not separate pieces in this tokenizer")
+        self.used: set[str] = set()
+        vocabulary = self.tokenizer.get_vocab()
+        # Ids that can only begin a word after a space, or only end a word.
+        self.border = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.border[[i for t, i in vocabulary.items() if (t[0] == "\u0120" if leading else t.endswith("</w>"))]] = True
+
+    def _alone(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TOGETHER):
+            for found in self.tokenizer.encode_batch_fast(texts[at : at + TOGETHER], add_special_tokens=False):
+                yield np.array(found.ids, dtype="<u4").tobytes()
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words, many at a time: the first (or last) id of a word shows its border."""
+        for at in range(0, len(words), TOGETHER):
+            group = words[at : at + TOGETHER]
+            joined = ("" if self.leading else " ").join(group)
+            (encoded,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+            whole = np.array(encoded.ids, dtype="<u4")
+            borders = np.flatnonzero(self.border[whole])
+            if len(borders) != len(group):
+                # Every word has a border at least; here one has more, so they are taken one by one.
+                yield from zip(group, self._alone(group))
+                continue
+            cuts = (4 * borders).tolist() + [4 * len(whole)] if self.leading else [0, *(4 * borders + 4).tolist()]
             data = whole.tobytes()
-            starts = [0, *(ends[:-1] + 1)]
-            found.update({piece: data[4 * a : 4 * b] for piece, a, b in zip(group, starts, ends)})
-        return found
+            yield from zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])])
 
     def _pieces(self, text: str) -> list[str]:
         if DOUBLE_SPACE.search(text):
@@ -71,25 +70,46 @@ class Encoder:
         return pieces
 
     def _learn(self, pieces: set[str]) -> None:
-        new = [piece for piece in pieces if piece not in self.known]
-        split = {piece: m for piece in new if (m := WORD_MARKS.fullmatch(piece)) and m[1].strip(" ").isalpha()}
-        parts = {part for m in split.values() for part in m.groups()} - self.known.keys()
-        direct = sorted(parts | {piece for piece in new if piece not in split})
-        self.known.update(self._direct(direct))
-        self.known.update({piece: self.known[m[1]] + self.known[m[2]] for piece, m in split.items()})
+        known = self.known
+        words: set[str] = set()
+        others: set[str] = set()
+        split: list[tuple[str, str, str]] = []
+        match = WORD_MARKS.fullmatch
+        leading = self.leading
+        for piece in pieces.difference(known):
+            found = match(piece)
+            if found is None or not found[2].isalpha():
+                others.add(piece)
+            elif found[3]:
+                split.append((piece, found[1] + found[2], found[3]))
+            elif leading and not found[1]:
+                others.add(piece)
+            else:
+                words.add(piece)
+        for word in {word for _, word, _ in split}.difference(known):
+            (words if (word[0] == " ") == leading else others).add(word)
+        others.update({marks for _, _, marks in split}.difference(known))
+        known.update(self._words(sorted(words)))
+        alone = sorted(others)
+        known.update(zip(alone, self._alone(alone)))
+        known.update([(piece, known[word] + known[marks]) for piece, word, marks in split])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
         at = 0
+        used = self.used
         while at < len(texts):
-            if len(self.known) > KEEP:
-                self.known = {}
+            if len(self.known) > self.keep:
+                # What the last texts used is mostly what the next ones will use.
+                self.known = {piece: self.known[piece] for piece in used}
             to, chars = at, 0
             while to < len(texts) and (to == at or chars + len(texts[to]) <= CHARS):
                 chars += len(texts[to])
                 to += 1
             cut = [self._pieces(text) for text in texts[at:to]]
-            self._learn(set().union(*cut))
+            used = set().union(*cut)
+            self._learn(used)
+            self.used = used
             get = self.known.__getitem__
             for pieces in cut:
                 yield b"".join(map(get, pieces))
