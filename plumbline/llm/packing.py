@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.texts import batch_of
+from plumbline.llm.texts import batch_of, bounded_batches, slices
 from plumbline.llm.tokens import Encoder, end_mark
 
 SEQUENCE, WINDOW = 2048, 1 << 20
@@ -109,7 +109,7 @@ def pack(
         keys: list = []
         ids: list[bytes] = []
         tokens = 0
-        for batch in batches:
+        for batch in slices(batches):
             texts = [value or "" for value in batch.column("_text").to_pylist()]
             for name, found in zip(batch.column("_key").to_pylist(), encoder.encode(texts)):
                 keys.append(name)
@@ -122,4 +122,4 @@ def pack(
         if ids:
             yield packed(keys, ids, following)[0]
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -32,6 +32,27 @@ def batch_of(schema: T.StructType, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
 
+#: Rows of an Arrow batch of whole texts. Spark's own bound of 10,000 rows makes batches of up to 64 MB, which exist
+#: several times at once in a task and its Python worker.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """Lowers the session's Arrow batch size to ``BATCH_ROWS`` where it is larger; the rows are unchanged."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that Python objects exist for few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_columns(
     docs: DataFrame,
     carry: list[str],
@@ -45,17 +66,19 @@ def map_columns(
     columns. Memory holds one Arrow batch.
     """
     carried = [f"_carry{i}" for i in range(len(carry))]
-    taken = [f"_input{i}" for i in range(len(inputs))]
+    # A column that is both carried and read travels once.
+    taken = [f"_carry{carry.index(c)}" if c in carry else f"_input{i}" for i, c in enumerate(inputs)]
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(carried, carry)] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = begin()
-        for batch in batches:
+        for batch in slices(batches):
             made = make(*[batch.column(name).to_pylist() for name in taken])
             yield batch_of(schema, [*[batch.column(name) for name in carried], *made])
 
-    selected = docs.select(
-        *[F.col(c).alias(n) for n, c in zip(carried, carry)], *[F.col(c).alias(n) for n, c in zip(taken, inputs)]
+    selected = bounded_batches(docs).select(
+        *[F.col(c).alias(n) for n, c in zip(carried, carry)],
+        *[F.col(c).alias(n) for n, c in zip(taken, inputs) if n not in carried],
     )
     found = selected.mapInArrow(run, schema)
     return found.select(*[F.col(n).alias(c) for n, c in zip(carried, carry)], *[f.name for f in fields])
