@@ -79,7 +79,7 @@ def derive_rows(
     latitudes, longitudes = axes
     wanted = forecast if inits is None else forecast.join(inits.select("init_time").distinct(), "init_time", "left_semi")
     chosen = coordinates.select_leads(wanted.filter(coordinates.in_domain()), leads)
-    # Points off the grid have no cell; ``quality`` gates report them before a plan is built.
+    # Points off the grid have no cell and are left out here; ``coordinates.off_axis`` lists them.
     place = lambda g: coordinates.with_cell_index(g, latitudes, longitudes).filter("lat_i IS NOT NULL AND lon_i IS NOT NULL")
     fields = forecast_fields(place(chosen), spread)
     sloped = grid.gradient_and_vorticity(fields, "mslp", "u850", "v850", RUN)
