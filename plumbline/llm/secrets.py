@@ -3,8 +3,8 @@
 Every whole text is scanned by three patterns. Then encoded layers are unwrapped until nothing new appears: URL
 escapes, Unicode escapes (``\\\\uXXXX``, ``\\\\xXX``, numeric character references, full-width forms), base64 runs in
 both alphabets, and compressed base64 payloads (gzip, zlib, bzip2, xz, zstandard). Each unwrapped layer is scanned by
-the same patterns and put on the worklist itself; a layer whose text was seen before in the document is not
-visited again, so cycles end. Every character of a layer carries the interval of the document it came from, so
+the same patterns and put on the worklist itself; a layer whose text was seen before at the same place of the document
+is not visited again, so cycles end. Every character of a layer carries the interval of the document it came from, so
 spans found in any layer are reported in code points of the document.
 
 Escapes are unwrapped in place, since a secret's name and value may be encoded apart. A base64 run becomes a
@@ -67,6 +67,11 @@ class Layer:
     def interval(self, start: int, end: int) -> tuple[int, int]:
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
+    def mark(self) -> bytes:
+        """Hash of the text and its place: the same payload may stand at several places of a document."""
+        parts = (self.text.encode("utf-8", "surrogatepass"), self.starts.tobytes(), self.ends.tobytes())
+        return b"".join(hashlib.blake2b(part, digest_size=16).digest() for part in parts)
+
     def substituted(self, pattern: re.Pattern, decode: Callable[[re.Match], str | None]) -> Layer | None:
         """Layer with every decodable match replaced; a replacement maps to its whole match."""
         parts: list[str] = []
@@ -200,16 +205,14 @@ def all_spans(text: str, base: list[Span]) -> set[Span]:
     if not HINT.search(text):
         return found
     top = Layer(text)
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
+    seen = {top.mark()}
     work = deque([top])
     while work:
         for below in unwrapped(work.popleft()):
-            # A payload may stand at several places: what is seen is the text together with its place.
-            mark = hashlib.blake2b(below.text.encode("utf-8", "surrogatepass"), digest_size=16)
-            mark.update(below.starts.tobytes() if len(below.text) < len(text) else b"")
-            if mark.digest() in seen:
+            mark = below.mark()
+            if mark in seen:
                 continue
-            seen.add(mark.digest())
+            seen.add(mark)
             for kind, start, end in scan(below.text):
                 found.add((kind, *below.interval(start, end)))
             work.append(below)
