@@ -7,9 +7,12 @@ the same patterns and put on the worklist itself; a layer whose text was seen be
 is not visited again, so cycles end. Every character of a layer carries the interval of the document it came from, so
 spans found in any layer are reported in code points of the document.
 
-Escapes are unwrapped in place, since a secret's name and value may be encoded apart. A base64 run becomes a
-layer of its own when it decodes to text; so does a compressed payload, all of whose characters map to its whole run.
-Decompression goes on to the end of the payload whatever its size: the text it comes from bounds it only through the
+Escapes are unwrapped in place, since a secret's name and value may be encoded apart. Base64 runs are decoded as they
+stand and, where lines follow each other, continued over the line ends (also written as \\n), at all four alignments:
+every stretch of text in the bytes becomes a layer of its own, whatever the run holds before and after it. So does the
+content of every compressed payload that starts at any character of a run, with all its members; all characters of it
+map to the whole payload. Lines that each hold base64 of their own are also read as one run, which may give
+a second, longer span where a value reaches the line's end. Decompression goes on to the end of the payload whatever its size: the text it comes from bounds it only through the
 format's greatest ratio, about 1000 for zlib.
 
 Null and empty texts have no spans. Rows are independent; repeated rows give repeated results. Equal spans found
@@ -19,7 +22,6 @@ in several layers are reported once. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -103,8 +105,23 @@ UNICODE = re.compile(
 )
 NAMED = {"quot": '"', "amp": "&", "lt": "<", "gt": ">", "apos": "'"}
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE_END = r"[ \t]*+(?:\r?\n|\r|\\r\\n|\\n)[ \t>|#*]*+"
+#: Runs continued on the next lines, each of which they fill.
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_LINE_END}[A-Za-z0-9+/_-]++)++={{0,2}}")
+DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
+LEAST_DIGITS = 16
 #: What a text needs to have any encoded layer at all.
-HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&(?:#|quot|amp|lt|gt|apos)|[！-～]|[A-Za-z0-9+/_-]{16}")
+HINT = re.compile(
+    r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&(?:#|quot|amp|lt|gt|apos)|[！-～]|[A-Za-z0-9+/_-]{16}"
+    rf"|[A-Za-z0-9+/_-]{{4}}{_LINE_END}[A-Za-z0-9+/_-]{{4}}"
+)
+#: UTF-8 text without control characters; shorter stretches hold no secret.
+TEXT = re.compile(
+    rb"(?:[\t-\r\x20-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
+    rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}+"
+)
+#: First bytes of gzip, zlib, bzip2, xz and zstandard.
+MAGIC = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd)")
 
 
 def _url(match: re.Match) -> str | None:
@@ -131,63 +148,90 @@ def _unicode(match: re.Match) -> str | None:
     return _character(int(found[2:].strip("{}"), 16))
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Decompressed payload of any known format, None for anything else."""
+def _stream(data: memoryview) -> tuple[bytes, int] | None:
+    """Content and length of the complete compressed stream that the bytes begin with, None for anything else."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompress(data, 31)
-        if len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompress(data)
-        if data[:3] == b"BZh":
-            return bz2.decompress(data)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.decompress(data)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        if data[:3] == b"\x1f\x8b\x08":
+            stream = zlib.decompressobj(31)
+        elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+            stream = zlib.decompressobj()
+        elif data[:3] == b"BZh":
+            stream = bz2.BZ2Decompressor()
+        elif data[:6] == b"\xfd7zXZ\x00":
+            stream = lzma.LZMADecompressor()
+        elif data[:4] == b"\x28\xb5\x2f\xfd":
+            stream = zstandard.ZstdDecompressor().decompressobj()
+        else:
+            return None
+        content = stream.decompress(data)
+        return (content, len(data) - len(stream.unused_data)) if stream.eof else None
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
         return None
-    return None
 
 
-def _as_text(data: bytes) -> str | None:
-    """UTF-8 text without control characters, None for anything else."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if not text or any(c < " " and c not in "\t\n\r\x0b\x0c" for c in text) else text
+def _inflate(data: memoryview) -> tuple[bytes, int] | None:
+    """Content of all compressed streams that follow each other from the first byte on, and their length."""
+    parts, at = [], 0
+    while found := _stream(data[at:]):
+        parts.append(found[0])
+        stop = at = at + found[1]
+        while at < len(data) and not data[at]:  # padding between streams
+            at += 1
+    return (b"".join(parts), stop) if parts else None
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 runs without padding, and the place of each of their characters in the text."""
+    for match in BASE64.finditer(text):
+        run = match[0].rstrip("=")
+        yield run, np.arange(match.start(), match.start() + len(run))
+    for match in WRAPPED.finditer(text):
+        # A line end written as backslash and n is no part of the run.
+        lines = list(DIGITS.finditer(re.sub(r"\\[rn]", "\n\n", match[0])))
+        run = "".join(line[0] for line in lines)
+        if len(run) >= LEAST_DIGITS:
+            yield run, match.start() + np.concatenate([np.arange(*line.span()) for line in lines])
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:
-    """Layers of the base64 runs that hold text or compressed text."""
-    for match in BASE64.finditer(layer.text):
-        run = match[0].rstrip("=").replace("-", "+").replace("_", "/")
+    """Layers of the text and of the compressed payloads that base64 runs hold."""
+    for run, places in _runs(layer.text):
+        run = run.replace("-", "+").replace("_", "/")
         for skip in range(4):
             body = run[skip:]
             body = body[: len(body) - (len(body) % 4 == 1)]
             if len(body) < 12:
                 break
-            try:
-                data = base64.b64decode(body + "=" * (-len(body) % 4))
-            except binascii.Error:
-                continue
-            plain = _inflate(data)
-            if plain is not None:
-                text = _as_text(plain)
-                if text:
-                    low, high = layer.interval(match.start(), match.end())
-                    yield Layer(text, np.full(len(text), low), np.full(len(text), high))
-                    break
-                continue
-            text = _as_text(data)
-            if text is None:
-                continue
-            widths = np.array([len(c.encode("utf-8")) for c in text])
-            stop = np.cumsum(widths)
-            first = match.start() + skip + (stop - widths) * 4 // 3
-            last = match.start() + skip + (stop * 4 + 2) // 3
-            yield Layer(text, layer.starts[first], layer.ends[np.minimum(last, match.end()) - 1])
-            break
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            own = places[skip : skip + len(body)]
+            yield from _payloads(layer, data, own)
+            for match in TEXT.finditer(data):
+                text = match[0].decode("utf-8")
+                widths = np.array([len(c.encode("utf-8")) for c in text])
+                stop = match.start() + np.cumsum(widths)
+                first = (stop - widths) * 4 // 3
+                last = np.minimum((stop * 4 + 2) // 3, len(own))
+                yield Layer(text, layer.starts[own[first]], layer.ends[own[last - 1]])
+
+
+def _payloads(layer: Layer, data: bytes, places: np.ndarray) -> Iterator[Layer]:
+    """Contents of the compressed payloads in the bytes of a base64 run."""
+    view, done = memoryview(data), 0
+    for match in MAGIC.finditer(data):
+        at = match.start()
+        # A payload begins with a group of four characters.
+        if at < done or at % 3 or not (found := _inflate(view[at:])):
+            continue
+        content, size = found
+        done = at + size
+        text = content.decode("utf-8", "replace")
+        if text:
+            first, last = at * 4 // 3, min(-(-done * 4 // 3), len(places))
+            padded = places[last - 1] + 1
+            while last == len(places) and padded < len(layer.text) and layer.text[padded] == "=":
+                padded += 1
+            low, high = layer.interval(places[first], padded)
+            yield Layer(text, np.full(len(text), low), np.full(len(text), high))
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:

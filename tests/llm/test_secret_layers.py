@@ -1,8 +1,16 @@
-"""Layers that a document holds twice."""
+"""Layers that a document holds twice, and base64 joined to other text or wrapped."""
 
 import base64
+import bz2
+import gzip
+import lzma
+import random
+import textwrap
 import zlib
 
+import pytest
+import zstandard
+
 from plumbline.llm import secrets as S
 
 SECRET = 'token = "586908a73d53ffc7776756ed304e7317d12d4663"'
@@ -24,3 +32,57 @@ def test_equal_payloads_that_inflate_beyond_the_document():
     starts = {start for kind, start, _ in found(text) if kind == "assign"}
     assert starts == {first, second}
     assert payload not in S.redact(text) and S.redact(text).count("[SECRET]") == 2
+
+
+def noise(n):
+    return "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+
+
+LONG = SECRET + " " + " ".join(noise(40 + i) for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "payload",
+    [
+        f"host/path/{b64(SECRET)}",
+        f"id-{b64(SECRET)}",
+        f"some_id_{b64(SECRET).rstrip('=')}_more",
+        f"a/b-c_{b64(zlib.compress(SECRET.encode()))}",
+        f"host/{b64(gzip.compress(SECRET.encode())).rstrip('=')}/tail-of-path",
+        base64.encodebytes(gzip.compress(LONG.encode())).decode(),
+        base64.encodebytes(zlib.compress(LONG.encode())).decode().replace("\n", "\r\n"),
+        base64.encodebytes(bz2.compress(LONG.encode())).decode().replace("\n", "\\n"),
+        textwrap.indent(base64.encodebytes(lzma.compress(LONG.encode())).decode(), "    "),
+        "\n".join(textwrap.wrap(b64(zstandard.compress(LONG.encode())), 64)),
+        "\n".join(textwrap.wrap(b64(SECRET), 12)),
+        base64.encodebytes(("x" * 40 + " " + SECRET).encode()).decode(),
+        b64(gzip.compress(b"first") + gzip.compress(SECRET.encode())),
+        b64(bz2.compress(b"first") + bz2.compress(SECRET.encode())),
+        b64(lzma.compress(b"first") + bytes(4) + lzma.compress(SECRET.encode())),
+        b64(zstandard.compress(b"first") + zstandard.compress(SECRET.encode())),
+        b64(b"\xff\x00\xfe" + SECRET.encode() + b"\x00\xff"),
+        b64(gzip.compress(b"\xff\x00" + SECRET.encode())),
+    ],
+)
+def test_joined_and_wrapped_base64(payload):
+    text = f"é {payload} end"
+    spans = [(start, end) for kind, start, end in found(text) if kind == "assign"]
+    assert spans and all(2 <= start < end <= 2 + len(payload) for start, end in spans)
+    low, high = min(s for s, _ in spans), max(e for _, e in spans)
+    assert high - low >= 50
+
+
+def test_a_secret_across_a_line_end_maps_to_its_place():
+    plain = "x" * 40 + " " + SECRET
+    text = base64.encodebytes(plain.encode()).decode()
+    joined = text.replace("\n", "")
+    first = plain.index("token") * 4 // 3
+    last = -(-plain.rindex('"') * 4 // 3)
+    spans = {(start, end) for kind, start, end in found(text) if kind == "assign"}
+    assert (first, last + 1) in spans and joined[first:last] == text[first : last + 1].replace("\n", "")
+
+
+def test_runs_without_secrets_add_nothing():
+    data = random.Random(5).randbytes(30_000)
+    assert not [s for s in found(f"{b64(data)} {base64.encodebytes(data).decode()}") if s[0] == "assign"]
+    assert found("one-long/path_of/words-and/parts " * 50 + "word\nnext\nlines\n" * 200) == set()
