@@ -9,7 +9,8 @@ blended by the number l of kinds of children, presentation weighing 1 - DECAY **
 flattened: blocks are summed over all ancestors at once, so the tree needs no rounds.
 
 Elements whose name says what they are (nav, footer, ad and cookie classes, roles) are decided by it, as are the
-article and its unnamed parts, since menus and adverts that differ on every page look important to entropy. All other
+article and its unnamed parts, since menus and adverts that differ on every page look important to entropy. Class and id
+names and forms do not decide about what holds the page's main text (see ``dom``). All other
 elements are removed, with everything below them, where their importance stays under ``LEAST_IMPORTANCE`` and
 their host shows them on ``LEAST_PAGES`` different pages or more. Copies of a page count once.
 
