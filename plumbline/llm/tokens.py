@@ -26,12 +26,16 @@ class Encoder:
     Both tokenizer files used here split a text before merging, and never across a single space between two other
     characters: one keeps the space with the word after it (``leading``), one drops it. So a text is the
     concatenation of its pieces, and a piece that was met before needs no new work. Texts with runs of white space go to
-    the tokenizer whole. Names of special tokens in a text are ordinary text.
+    the tokenizer whole, as do texts that hold the content of an added token, such as <|endoftext|>: those get its id, which is
+the library's default.
     """
 
     def __init__(self, path: str, leading: bool, keep: int = KEEP) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = re.compile("|".join(re.escape(token.content) for token in added) or r"(?!)")
+        # Some files look for added tokens in the normalized text.
+        self.normalizer = self.tokenizer.normalizer if any(token.normalized for token in added) else None
         self.leading, self.keep = leading, keep
         self.known: dict[str, bytes] = {}
         self.used: set[str] = set()
@@ -62,7 +66,9 @@ class Encoder:
             yield from zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])])
 
     def _pieces(self, text: str) -> list[str]:
-        if DOUBLE_SPACE.search(text):
+        if DOUBLE_SPACE.search(text) or self.added.search(text):
+            return [text]
+        if self.normalizer and self.added.search(self.normalizer.normalize_str(text)):
             return [text]
         pieces = text.split(" ")
         if self.leading:
