@@ -17,6 +17,7 @@ _MODULES = [
     "pages_query",
     "packing_query",
     "tokens_query",
+    "contamination_query",
 ]
 
 for _name in _MODULES:
