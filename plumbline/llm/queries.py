@@ -18,6 +18,8 @@ _MODULES = [
     "packing_query",
     "tokens_query",
     "contamination_query",
+    "merkle_query",
+    "conversations_query",
 ]
 
 for _name in _MODULES:
