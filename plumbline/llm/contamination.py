@@ -34,8 +34,9 @@ BLOCK = 2048
 #: Bits of the filter for every shingle of the benchmark, probes of it, and its largest size (16 MB).
 BITS_EACH, PROBES, MOST_BITS = 32, 4, 1 << 27
 
-#: Before lower-casing, the class of word characters also has A to Z.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Before lower-casing, the class of word characters also has A to Z. The ASCII characters outside it are listed one by one:
+#: the regular expressions of the JVM look single characters up in a table, but try ranges one after the other.
+WORD = "[^" + "".join(f"\\x{code:02X}" for code in range(128) if not chr(code).isalnum()) + "]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,8 +73,8 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     n = F.least(F.lit(SHINGLE), F.col("size"))
     offsets = F.explode(F.sequence(F.lit(0), F.col("size") - n))
     placed = windows.select("wid", "win", "size").distinct().select("*", n.alias("n"), offsets.alias("offset"), split.alias("_w"))
-    shingle = F.xxhash64(F.array_join(F.slice("_w", F.col("offset") + 1, F.col("n")), " "))
-    return placed.withColumn("shingle", shingle).drop("_w")
+    words = [F.when(F.col("n") > i, F.get("_w", F.col("offset") + i)) for i in range(SHINGLE)]
+    return placed.withColumn("shingle", F.xxhash64(*words)).drop("_w")  # words that are null do not change the hash
 
 
 def _probes(shingle: Column, bits: int) -> list[Column]:
@@ -107,9 +108,9 @@ def shingle_places(docs: DataFrame, text: str, shingles: DataFrame) -> DataFrame
         return F.when(F.size(padded) > before, F.transform(firsts, cut))
 
     cut_up = docs.select(text_key(text).alias("key"), F.inline(let(F.concat(padding, words_of(text)), blocks)))
-    shifted = [F.slice("block", i + 1, BLOCK).alias(f"c{i}") for i in range(width)]
-    places = cut_up.select("key", "first", F.posexplode(F.arrays_zip(*shifted)).alias("_at", "_c"))
-    word = lambda i: F.col(f"_c.c{before + i}")
+    inside = F.least(F.lit(BLOCK), F.size("block") - before)
+    places = cut_up.select("key", "first", "block", F.explode(F.sequence(F.lit(0), inside - 1)).alias("_at"))
+    word = lambda i: F.get("block", F.col("_at") + (before + i))
     filled = bits_row.scalar()
 
     def let_through(hashed: Column) -> Column:
@@ -119,18 +120,12 @@ def shingle_places(docs: DataFrame, text: str, shingles: DataFrame) -> DataFrame
             found = found & (bit == 1)
         return found
 
-    near = F.array(*[F.col(f"_c.c{i}") for i in range(width)])
-    found = []
-    for n in sorted(lengths):
-        hashed = places.withColumn("shingle", F.xxhash64(F.concat_ws(" ", *[word(i) for i in range(n)])))
-        passed = hashed.filter(word(n - 1).isNotNull() & let_through(F.col("shingle")))
-        found.append(passed.select("key", (F.col("first") + F.col("_at")).alias("at"), "shingle", near.alias("near")))
-    if not found:
-        return places.select("key", (F.col("first") + F.col("_at")).alias("at"), F.xxhash64(word(0)).alias("shingle"), near.alias("near")).limit(0)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    # Given out by a generator, the hash is computed once per place and not again in every term of the filter.
+    hashes = [F.when(word(n - 1).isNotNull(), F.xxhash64(*[word(i) for i in range(n)])) for n in sorted(lengths)]
+    each = F.explode(F.array(*hashes) if hashes else F.array().cast("array<long>"))
+    passed = places.select("*", each.alias("shingle")).filter(F.col("shingle").isNotNull() & let_through(F.col("shingle")))
+    near = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("block", F.col("_at") + i))
+    return passed.select("key", (F.col("first") + F.col("_at")).alias("at"), "shingle", near.alias("near"))
 
 
 def window_hits(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
