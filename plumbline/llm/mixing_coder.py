@@ -27,7 +27,9 @@ BLOCK, LANES = 4096, 1024
 HEADER = "<4s6I"
 HEADER_BYTES = struct.calcsize(HEADER)
 MAGIC = b"CMB1"
-BITS = 24
+#: The two guesses' chances never exceed (LIKELY + UNLIKELY) / 2^16, so order 0 keeps at least 188,000 of 2^26: more than the largest
+#: sum of its counts (BLOCK distinct ids and GAIN for each id), which gives every symbol an interval of one or more.
+BITS = 26
 TOTAL = np.uint64(1 << BITS)
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 SHIFT16, SHIFT48 = np.uint64(16), np.uint64(48)
@@ -50,6 +52,8 @@ class Model:
     def __init__(self, distinct: np.ndarray) -> None:
         lanes, width = len(distinct), int(distinct.max())
         self.width = width
+        left = (1 << 16) - LIKELY - UNLIKELY
+        assert width <= BLOCK and (left * left >> 6) - left > BLOCK * (GAIN + 1)
         self.counts = (np.arange(width) < distinct[:, None]).astype(np.int32)
         self.upto = np.zeros((lanes, width + 1), dtype=np.int64)
         self.guess1 = np.full(lanes * (width + 1), -1, dtype=np.int32)
