@@ -7,11 +7,14 @@ import zlib
 from dataclasses import dataclass, field
 from html import unescape
 
-#: Comments, declarations and tags; quantifiers that cannot backtrack keep broken pages linear.
+#: Comments, declarations and tags. Every part takes what it can and gives nothing back, and what is never closed ends with the
+#: page, so each character is read once: a quote without its partner stands for itself, in one way only.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(?P<own>/?)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?+)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)",
     re.DOTALL,
 )
+#: The slash of a tag without attributes, or after a quoted value.
+OWN = re.compile(r"(?:^|[\"'])/\Z")
 #: The slash of a self-closing tag, which is not part of an unquoted value.
 OWN_END = re.compile(r"(?:^|[\s\"'])/\Z")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -266,7 +269,7 @@ def read(html: str) -> Page:
         if match["end"]:
             reader.end(tag)
             continue
-        if tag in ("svg", "math") and (match["own"] or OWN_END.search(match["rest"])):
+        if tag in ("svg", "math") and OWN_END.search(match["rest"]):
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
@@ -275,7 +278,7 @@ def read(html: str) -> Page:
                 reader.border()
             continue
         reader.start(tag, match["rest"])
-        if match["own"] and tag not in VOID and tag not in CONTAINERS and tag != "p":
+        if OWN.search(match["rest"]) and tag not in VOID and tag not in CONTAINERS and tag != "p":
             reader.end(tag)
     reader.text(html[at:])
     _decide(reader.page)

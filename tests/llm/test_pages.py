@@ -1,5 +1,8 @@
 import html
 import random
+import time
+
+import pytest
 
 from plumbline.llm import dom, site_style as S
 
@@ -59,3 +62,14 @@ def test_odd_rows(spark, clashing):
         [("1", "", 0), ("2", "", 0), ("None", "x", 1), ("3", "x", 1), ("3", "x", 1)]
     )
     assert S.main_text(frame.filter("page_id < 0"), ["page_id"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "broken",
+    ["<a " + "'\"" * 10_000, "<a '\"'" * 5_000, "<a " * 100_000, "<a x='" * 20_000, '<p "' * 20_001, "<!-" * 50_000, "</" * 50_000 + "<a '", "<a/" * 50_000],
+)
+def test_broken_tags_take_linear_time(broken):
+    started = time.perf_counter()
+    dom.read("<p>before</p>" + broken)
+    dom.read("<p>before</p>" + broken + "<p>after</p>")
+    assert time.perf_counter() - started < 10
