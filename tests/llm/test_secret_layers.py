@@ -6,6 +6,9 @@ import gzip
 import lzma
 import random
 import textwrap
+import time
+import tracemalloc
+import urllib.parse
 import zlib
 
 import pytest
@@ -86,3 +89,76 @@ def test_runs_without_secrets_add_nothing():
     data = random.Random(5).randbytes(30_000)
     assert not [s for s in found(f"{b64(data)} {base64.encodebytes(data).decode()}") if s[0] == "assign"]
     assert found("one-long/path_of/words-and/parts " * 50 + "word\nnext\nlines\n" * 200) == set()
+
+
+HIDDEN = "password = hunter2hunter2"
+
+
+def raw_deflate(data):
+    packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return packer.compress(data) + packer.flush()
+
+
+def one_span(written, before="see ", after=" end"):
+    """The only span found in a text around ``written`` covers it or lies in it."""
+    found = S.all_spans(before + written + after, S.scan(before + written + after))
+    inside = [s for s in found if len(before) <= s[1] and s[2] <= len(before) + len(written)]
+    return bool(inside) and inside == list(found)
+
+
+@pytest.mark.parametrize("pack", [zlib.compress, gzip.compress, bz2.compress, lzma.compress, lambda d: zstandard.ZstdCompressor().compress(d)])
+@pytest.mark.parametrize("write", ["url", "url-all", "x", "repr", "base64", "base64-url"])
+def test_payloads_in_every_writing(pack, write):
+    data = pack(HIDDEN.encode())
+    if write == "url":
+        text = urllib.parse.quote_from_bytes(data, safe="")
+    elif write == "url-all":
+        text = "".join(f"%{b:02X}" for b in data)
+    elif write == "x":
+        text = "".join(f"\\x{b:02x}" for b in data)
+    elif write == "repr":
+        text = repr(data)[2:-1]
+    else:
+        text = base64.b64encode(data).decode()
+        text = urllib.parse.quote(text, safe="") if write == "base64-url" else text
+    assert one_span(text)
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be", "utf-16"])
+def test_wide_text_and_raw_deflate_in_base64(encoding):
+    assert one_span(base64.b64encode(HIDDEN.encode(encoding)).decode())
+    assert one_span(base64.b64encode(raw_deflate(HIDDEN.encode() * 3)).decode())
+    assert one_span(base64.b64encode(gzip.compress(base64.b64encode(HIDDEN.encode(encoding)))).decode())
+
+
+@pytest.mark.parametrize("pack", [bz2.compress, lzma.compress, lambda d: zlib.compress(d, 9), lambda d: zstandard.ZstdCompressor().compress(d)])
+def test_small_payloads_of_large_content_stay_small_in_memory(pack):
+    content = b"x" * 30_000_000 + HIDDEN.encode() + b"y" * 10_000_000
+    text = base64.b64encode(pack(content)).decode()
+    tracemalloc.start()
+    found = S.all_spans(text, S.scan(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ("assign", 0, len(text)) in found and peak < 60_000_000
+
+
+def test_secrets_across_windows_are_found(monkeypatch):
+    monkeypatch.setattr(S, "WINDOW", 1000)
+    monkeypatch.setattr(S, "OVERLAP", 200)
+    monkeypatch.setattr(S, "PIECE", 64)
+    for at in range(900, 1100, 7):
+        inner = base64.b64encode(HIDDEN.encode()).decode()
+        for hidden in (HIDDEN, inner):
+            content = " ".join("ab" for _ in range(at // 3)) + " " * (at % 3) + " " + hidden + " and" * 400
+            text = base64.b64encode(zlib.compress(content.encode())).decode()
+            assert S.all_spans(text, S.scan(text)) == {("assign", 0, len(text))}, at
+
+
+@pytest.mark.parametrize("nested", ["%" + "25" * 20_000 + "41", "\\" + "u005c" * 8_000 + "u0041", "&" + "amp;" * 10_000 + "lt;", "\\" + "x5c" * 9_000 + "x41"])
+def test_deep_nesting_is_one_step(nested):
+    started = time.perf_counter()
+    text = f"password=abc{nested}def"
+    spans = S.all_spans(text, S.scan(text))
+    assert time.perf_counter() - started < 5
+    if "lt;" not in nested:
+        assert ("assign", 0, len(text)) in spans
