@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline import contract as C
 from plumbline.operators import labels
+from plumbline.operators.coordinates import with_split
+from plumbline.operators.regions import normalized_weights
 from plumbline.session import written
+from plumbline.sources.landing import write_landing
 
 TRAIN = [1995, 1996, 1997, 1998]
 VALIDATION = 1999
@@ -44,15 +47,9 @@ def is_train(year: str = "yr"):
     return F.col(year).between(TRAIN[0], TRAIN[-1])
 
 
-_fits: dict[tuple, labels.LabelFit] = {}
-
-
 def label_fit(spark: SparkSession, d: str) -> labels.LabelFit:
-    """Fit of the ``errors`` binding, made once per session and folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _fits:
-        _fits[key] = labels.fit_labels(errors(spark, d), is_train(), min_samples=MIN_SAMPLES)
-    return _fits[key]
+    """Fit of the ``errors`` binding."""
+    return labels.fit_labels(errors(spark, d), is_train(), min_samples=MIN_SAMPLES)
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +142,78 @@ def cycles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def event_field(spark: SparkSession, d: str, lines: int) -> DataFrame:
+    """Events as a field: mean value of every 6 h slot and cell of a ``lines`` x ``lines`` grid, the slot's mean where a cell has none."""
+    placed = table(spark, d, "events").select(
+        floor_time("ts", 6).alias("t"),
+        (F.col("user_id") % lines).cast("int").alias("i"),
+        (F.col("event_id") % lines).cast("int").alias("j"),
+        "value",
+    )
+    index = F.explode(F.sequence(F.lit(0), F.lit(lines - 1)))
+    slots = placed.groupBy("t").agg(F.avg("value").alias("_mean"))
+    frame = slots.select("t", "_mean", index.alias("i")).select("*", index.alias("j"))
+    cells = placed.groupBy("t", "i", "j").agg(F.avg("value").alias("_value"))
+    return frame.join(cells, ["t", "i", "j"], "left").select("t", "i", "j", F.coalesce("_value", "_mean").alias("v"))
+
+
+RUN_LEADS = [24, 48, 72]
+
+
+def weather(spark: SparkSession, d: str, root: str) -> tuple[DataFrame, DataFrame]:
+    """Landing tables made of events below ``root``: two-member runs at 0 and 12 h, and an analysis on lines between theirs."""
+    v, lead, one = F.col("v"), F.col("lead_hours"), F.lit(None).cast("int")
+    entry = lambda name, level, value, units: F.struct(
+        F.lit(name).alias("variable"), level.alias("level_hpa"), value.alias("value"), F.lit(units).alias("units")
+    )
+    forecast = [
+        entry("mean_sea_level_pressure", one, 100000 + 10 * v + lead, "Pa"),
+        entry("2m_temperature", one, 280 + v / 10, "K"),
+        entry("10m_u_component_of_wind", one, v / 7 - 3, "m s**-1"),
+        entry("10m_v_component_of_wind", one, v / 9 + lead / 24, "m s**-1"),
+        entry("u_component_of_wind", F.lit(850), v / 5, "m s**-1"),
+        entry("v_component_of_wind", F.lit(850), v / 6 - lead / 12, "m s**-1"),
+        entry("geopotential", F.lit(500), 54000 + 20 * v, "m**2 s**-2"),
+        entry("geopotential", F.lit(850), 14000 + 10 * v, "m**2 s**-2"),
+        entry("total_precipitation_24hr", one, v / 10000, None),
+    ]
+    analysis = [
+        entry("mean_sea_level_pressure", one, 100000 + 10 * v, "Pa"),
+        entry("2m_temperature", one, 280 + v / 10, "K"),
+        entry("10m_u_component_of_wind", one, v / 7 - 3, "m s**-1"),
+        entry("10m_v_component_of_wind", one, v / 9, "m s**-1"),
+        entry("total_precipitation_6hr", one, v / 40, "mm"),
+    ]
+    place = [(6 + 1.5 * F.col("i")).alias("latitude"), (68 + 1.5 * F.col("j")).alias("longitude")]
+    between = [(5.25 + 1.5 * F.col("i")).alias("latitude"), (67.25 + 1.5 * F.col("j")).alias("longitude")]
+    each = lambda values: F.explode(F.array(*[F.lit(x) for x in values]))
+    leads = sorted({*RUN_LEADS, *[x + C.RUN_LAG_HOURS for x in RUN_LEADS]})
+    runs = event_field(spark, d, 5).filter(F.hour("t").isin(0, 12))
+    runs = runs.select(F.col("t").alias("init_time"), *place, "v", each(leads).alias("lead_hours")).select("*", each([0, 1]).alias("number"))
+    runs = runs.select("init_time", "lead_hours", "number", "latitude", "longitude", F.inline(F.array(*forecast)))
+    runs = runs.withColumn("value", F.col("value") * (1 + F.col("number") * 0.01))
+    truth = event_field(spark, d, 6).select(F.col("t").alias("valid_time"), *between, F.inline(F.array(*analysis)))
+    write_landing(runs, f"{root}/forecast", "init_time")
+    write_landing(truth, f"{root}/analysis", "valid_time")
+    return spark.read.parquet(f"{root}/forecast"), spark.read.parquet(f"{root}/analysis")
+
+
+def even_axes(spark: SparkSession, low: tuple[float, float], lines: int) -> tuple[DataFrame, DataFrame]:
+    """Latitude and longitude lines 1.5 degrees apart."""
+    axis_of = lambda start: spark.range(lines).select(F.col("id").cast("int").alias("idx"), (F.lit(start) + 1.5 * F.col("id")).alias("value"))
+    return axis_of(low[0]), axis_of(low[1])
+
+
+def weather_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The regions' shares in the cells of the runs, by area; a cell belongs to region (i + j) % 5."""
+    cells = spark.range(25).select((F.col("id") % 5).cast("int").alias("lat_i"), F.expr("CAST(id DIV 5 AS INT)").alias("lon_i"))
+    latitude = 6 + 1.5 * F.col("lat_i")
+    band = F.sin(F.radians(latitude + 0.75)) - F.sin(F.radians(latitude - 0.75))
+    region = table(spark, d, "region").select(F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region_name"))
+    areas = cells.withColumns({"region_id": (F.col("lat_i") + F.col("lon_i")) % 5, "area_m2": band}).join(region, "region_id")
+    return normalized_weights(areas)
+
+
 def orders_as_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Orders as predictions: region = customer nation, lead = order mod 10 + 1, start = order day."""
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
@@ -229,8 +298,8 @@ def model_rows(spark: SparkSession, d: str) -> DataFrame:
     Only columns that are not part of the label are features here.
     """
     rows = labelled(spark, d)
-    split = F.when(is_train(), "train").when(F.col("yr") == VALIDATION, "validation").otherwise("test")
-    grouped = rows.groupBy("region_id", "lead_day", "forecast_initialization_time", split.alias("split")).agg(
+    rows = with_split(rows, F.col("yr"), TRAIN, VALIDATION, TEST_YEARS).withColumnRenamed("split", "_split")
+    grouped = rows.groupBy("region_id", "lead_day", "forecast_initialization_time", F.col("_split").alias("split")).agg(
         F.max("bust").alias("bust"),
         F.avg("severity").alias("severity"),
         F.avg("l_quantity").alias("l_quantity"),
