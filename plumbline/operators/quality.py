@@ -109,9 +109,13 @@ def cycle_validity(
     leads: list[int] | None = None,
     regions: int = C.REGION_COUNT,
     cycle: str = "forecast_initialization_time",
+    finite: list[str] | None = None,
+    extra: list[Column] | None = None,
 ) -> DataFrame:
     """Every stored cycle judged in one aggregate: rows, leads, regions, version, and ``valid``.
 
+    The columns ``finite`` must have finite values in all rows; ``extra`` aggregates come along.
+
     Distinct leads, regions and versions are reduced per (cycle, value) map-side, so a cycle with too
     many rows costs no more than its distinct values.
     """
@@ -124,8 +128,11 @@ def cycle_validity(
         F.countDistinct("region_id").alias("regions"),
         F.count(F.when(F.col("dataset_version") != version, 1)).alias("_other_version"),
         F.countDistinct("dataset_version").alias("versions"),
+        F.count(F.when(~_all_finite(finite or []), 1)).alias("_not_finite"),
+        *(extra or []),
     )
     tests = [
+        F.col("_not_finite") == 0,
         F.col("rows") == rows_per_cycle,
         F.col("leads") == len(wanted),
         F.col("_outside") == 0,
@@ -133,4 +140,8 @@ def cycle_validity(
         F.col("versions") == 1,
         F.col("_other_version") == 0,
     ]
-    return judged.withColumn("valid", reduce(lambda a, b: a & b, tests)).drop("_outside", "_other_version")
+    return judged.withColumn("valid", reduce(lambda a, b: a & b, tests)).drop("_outside", "_other_version", "_not_finite")
+
+
+def _all_finite(columns: list[str]) -> Column:
+    return reduce(lambda a, c: a & F.coalesce(is_finite(F.col(c)), F.lit(False)), columns, F.lit(True))

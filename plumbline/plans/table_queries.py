@@ -141,11 +141,53 @@ def partition_manifest(spark: SparkSession, d: str) -> DataFrame:
     return found.select("year", "month", "rows", day("first_time"), day("last_time"), "fingerprint")
 
 
-@query()
+#: Columns of the table files by name; ``*`` marks money and measures, ``@`` times.
+_FILE_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal* c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal*",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice*",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice* o_orderdate@ o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity* l_extendedprice* l_discount* l_tax* l_returnflag l_linestatus l_shipdate@",
+    "events": "event_id ts@ user_id event_type value* props",
+    "documents": "doc_id text lang source n_chars",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+
+
+def _canonical(name: str, sql: bool):
+    """A column's text, the same in both engines; null is ``-``."""
+    column, kind = name.rstrip("*@"), name[-1]
+    if sql:
+        text = {"*": f"CAST(round({column} * 10000) AS BIGINT)::VARCHAR", "@": f"strftime({column}, '%Y-%m-%d %H:%M:%S')"}
+        return f"coalesce({text.get(kind, f'{column}::VARCHAR')}, '-')"
+    text = {"*": F.round(F.col(column) * 10000).cast("bigint").cast("string"), "@": F.date_format(column, "yyyy-MM-dd HH:mm:ss")} if kind in "*@" else {}
+    return F.coalesce(text.get(kind, F.col(column).cast("string")), F.lit("-")).alias(column)
+
+
+def _digest_sql(name: str, columns: str) -> str:
+    text = " || '|' || ".join(_canonical(c, True) for c in columns.split())
+    return f"""SELECT '{name}' AS name, count(*) AS rows,
+      CAST(coalesce(sum(CAST('0x' || substr(sha256({text}), 1, 8) AS BIGINT)), 0) AS BIGINT) AS fingerprint FROM {name}"""
+
+
+@query(" UNION ALL ".join(_digest_sql(*entry) for entry in _FILE_COLUMNS.items()))
 def file_checksums(spark: SparkSession, d: str) -> DataFrame:
-    """SHA-256 of every table file (S-11)."""
-    found = manifests.file_checksums(spark, d)
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "sha256")
+    """Rows and content fingerprint of every table, added up from the digests of its files, however large (S-11, Q-08, A-10)."""
+    found = []
+    for name, columns in _FILE_COLUMNS.items():
+        source = B.table(spark, d, name)
+        text = F.concat_ws("|", *[_canonical(c, False) for c in columns.split()])
+        rows = manifests.table_parts(source, text)
+        found.append(rows.agg(F.sum("rows").alias("rows"), F.sum("fingerprint").alias("fingerprint")).select(F.lit(name).alias("name"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("fingerprint", F.lit(0)).alias("fingerprint")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query(

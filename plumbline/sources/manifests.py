@@ -40,12 +40,37 @@ def table_fingerprint(table: DataFrame) -> DataFrame:
     )
 
 
-def changed_cycles(actual: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Start times of stored cycles whose files differ from the recorded checksums."""
-    differing = checksum_differences(actual, recorded).filter(F.col("problem") != "missing")
-    stamp = F.regexp_extract("path", r"/init=([^/]+)/", 1)
-    time = F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd'T'HH"))
-    return differing.select(time.alias("init_time")).distinct()
+#: Rows under one leaf of a file's digest tree.
+BLOCK_ROWS = 1 << 20
+
+
+def content_digests(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``path``, ``rows``, ``fingerprint`` and ``sha256`` of every file of a Parquet table, whatever the files' sizes.
+
+    Each row's hash includes its place in the file. Blocks of ``BLOCK_ROWS`` rows sum their hashes, which combines map-side in
+    constant memory; a file's digest is the hash of its blocks in order. ``fingerprint`` leaves places out: two files with
+    the same rows in another order share it.
+    """
+    return table_parts(table, content_hash(*(columns or table.columns)))
+
+
+def table_parts(table: DataFrame, content: Column) -> DataFrame:
+    """``content_digests`` over any text ``content`` of the rows."""
+    content = F.sha2(content, 256)
+    row = F.sha2(F.concat_ws("|", F.col("_metadata.row_index").cast("string"), content), 256)
+    marked = table.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.floor(F.col("_metadata.row_index") / BLOCK_ROWS).alias("_block"),
+        hash_number(content).alias("_content"),
+        *[F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"_h{i}") for i in (0, 1)],
+    )
+    blocks = marked.groupBy("path", "_block").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("_content").alias("fingerprint"), F.sum("_h0").alias("_h0"), F.sum("_h1").alias("_h1")
+    )
+    leaves = F.array_sort(F.collect_list(F.struct("_block", "rows", "_h0", "_h1")))
+    return blocks.groupBy("path").agg(
+        F.sum("rows").alias("rows"), F.sum("fingerprint").alias("fingerprint"), F.sha2(F.to_json(leaves), 256).alias("sha256")
+    )
 
 
 def partition_manifest(rows: DataFrame, by: list[str | Column], fingerprint: Column, time: str) -> DataFrame:

@@ -26,13 +26,18 @@ def with_partition_columns(rows: DataFrame, time: str = "forecast_initialization
     return rows.withColumns({"year": F.year(time), "month": F.month(time)})
 
 
-def write_cycles(rows: DataFrame, root: str, time: str = "forecast_initialization_time") -> None:
-    """Replace exactly the cycle partitions present in ``rows``; others stay untouched."""
+def write_cycles(rows: DataFrame, root: str, time: str = "forecast_initialization_time", file_rows: int = 1 << 20) -> None:
+    """Replace exactly the cycle partitions present in ``rows``; others stay untouched.
+
+    Rows are rebalanced by cycle: small cycles share a task, and adaptive execution splits one that is larger than
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` over many. Files hold at most ``file_rows`` rows.
+    """
     stamped = with_partition_columns(rows, time).withColumn("init", F.date_format(time, "yyyy-MM-dd'T'HH"))
     (
-        stamped.repartition("init")
+        stamped.hint("rebalance", "init")
         .sortWithinPartitions("init", "lead_day", "region_id")
         .write.option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", file_rows)
         .partitionBy("year", "month", "init")
         .mode("overwrite")
         .parquet(root)
