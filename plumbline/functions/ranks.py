@@ -24,14 +24,25 @@ def bucket_count(rows: int) -> int:
     return max(8, 1 << (max(1, rows // BUCKET_ROWS) - 1).bit_length())
 
 
+#: Buckets told apart by one list of edges; more are told apart in two steps.
+MOST_EDGES = 1 << 10
+
+
 def edges_of(df: DataFrame, value: str, buckets: int) -> Column:
     """Scalar subquery: ``buckets - 1`` approximate quantiles of ``value``."""
-    shares = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(value, shares, 16 * buckets)).scalar()
+    return df.agg(F.percentile_approx(value, _shares(buckets), 16 * buckets)).scalar()
+
+
+def _shares(buckets: int) -> list[float]:
+    return [i / buckets for i in range(1, buckets)]
 
 
 def with_bucket(df: DataFrame, value: str, edges: Column, buckets: int, name: str = BUCKET) -> DataFrame:
     """Add the number of edges at or below ``value``, found by binary search over the edge array."""
+    return df.withColumn("_edges", edges).withColumn(name, _search(value, buckets)).drop("_edges")
+
+
+def _search(value: str, buckets: int) -> Column:
     steps = []
     step = buckets // 2
     while step:
@@ -41,8 +52,7 @@ def with_bucket(df: DataFrame, value: str, edges: Column, buckets: int, name: st
     def descend(at: Column, jump: Column) -> Column:
         return F.when(F.element_at("_edges", at + jump) <= F.col(value), at + jump).otherwise(at)
 
-    position = F.aggregate(F.array(*steps), F.lit(0), descend)
-    return df.withColumn("_edges", edges).withColumn(name, position).drop("_edges")
+    return F.aggregate(F.array(*steps), F.lit(0), descend)
 
 
 def count_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -51,9 +61,20 @@ def count_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def bucketed(counts: DataFrame, value: str, rows: int | None = None) -> DataFrame:
-    """Rows with their bucket; ``rows`` is the size of the table where it is known without counting."""
+    """Rows with their bucket; ``rows`` is the size of the table where it is known without counting.
+
+    Up to ``MOST_EDGES`` buckets share one list of edges. Beyond, each of these coarse buckets has a list of its own, made in one
+    aggregate by coarse bucket: no list and no aggregate buffer grows with the table.
+    """
     buckets = bucket_count(counts.count() if rows is None else rows)
-    return with_bucket(counts, value, edges_of(counts, value, buckets), buckets)
+    coarse = min(buckets, MOST_EDGES)
+    marked = with_bucket(counts, value, edges_of(counts, value, coarse), coarse)
+    fine = buckets // coarse
+    if fine == 1:
+        return marked
+    lists = marked.groupBy(BUCKET).agg(F.percentile_approx(value, _shares(fine), 16 * fine).alias("_edges"))
+    found = marked.join(written(lists, "bucket-edges"), BUCKET)
+    return found.withColumn(BUCKET, F.col(BUCKET) * fine + _search(value, fine)).select(*counts.columns, BUCKET)
 
 
 def _with_headers(marked: DataFrame, headers: DataFrame) -> DataFrame:
@@ -125,14 +146,12 @@ def _placed_by_bucket(
         .filter((F.col("_w") <= F.ceil("_at")) & (F.col("_w") + F.col("_total") > F.floor("_at")))
         .drop("_total")
     )
-    inside = W.partitionBy(*keys, BUCKET).orderBy(F.col("_header").desc(), value)
-    return (
-        _with_headers(marked, headers)
-        .withColumn("_from", F.sum("_w").over(inside.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("_at", F.first("_at").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_n", F.first("_n").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-        .filter((F.col("_header") == 0) & F.col("_at").isNotNull())
-    )
+    # Only rows of the buckets that hold a wanted rank are ordered: at most two buckets of every key.
+    place = [F.col(f"m.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys] + [F.col(f"m.{BUCKET}") == F.col(f"h.{BUCKET}")]
+    near = marked.alias("m").join(headers.withColumnRenamed("_w", "_start").alias("h"), place)
+    inside = W.partitionBy(*[F.col(f"m.{c}") for c in [*keys, BUCKET]]).orderBy(F.col(f"m.{value}")).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum("m._w").over(inside), F.lit(0))
+    return near.select(*[F.col(f"m.{c}").alias(c) for c in [*keys, value, "_w"]], "_at", "_n", before.alias("_from"))
 
 
 def _or_constant(keys: list[str]) -> list[Column]:

@@ -146,10 +146,13 @@ def fit_labels(
     """Fit statistics and thresholds on the training rows only; groups come from all rows.
 
     With ``threshold_min_samples`` a group with fewer training rows takes its lead's threshold, then
-    the global one; by default every group needs a training row of its own.
+    the global one; by default every group needs a training row of its own. ``rows`` are evaluated once: what the fit needs
+    of them is written as a narrow table.
     """
-    training = rows.filter(train)
-    groups = written(rows.select("region_id", "lead_day").distinct(), "label-groups")
+    kept = ["region_id", "lead_day", *dict.fromkeys(components.values())]
+    narrow = written(rows.select(*kept, F.coalesce(train, F.lit(False)).alias("_train")), "label-rows")
+    training = narrow.filter("_train").drop("_train")
+    groups = written(narrow.select("region_id", "lead_day").distinct(), "label-groups")
     stats = written(robust_fit(training, groups, components, min_samples), "label-stats")
     if stats.filter(F.col("median").isNotNull()).isEmpty():
         raise ContractViolation("no training rows to fit labels on")
