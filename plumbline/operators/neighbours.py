@@ -1,17 +1,19 @@
-"""Exact nearest historical analogs as blocked joins.
+"""Exact nearest historical analogs as blocked joins over a pivot table.
 
-Candidates of a group are cut into blocks of bounded size along their norm. A query first visits one
-block, which bounds its k-th distance; by the triangle inequality only blocks whose norm range lies
-within that distance can improve it, and only those are visited. Pairs of rows never leave a task:
+Every candidate knows its distances to a few pivots, rows of a bounded sample that lie far apart. Candidates of a group are cut
+into blocks of bounded size, ordered by their nearest pivot and the distance to it; a block's directory row has the least and
+largest distance of its rows to every pivot. By the triangle inequality the distance of a query to a block is at least the
+largest gap between its own pivot distances and the block's ranges. A query first visits the block with the smallest bound, which
+limits its k-th distance, and then only blocks whose bound does not exceed it. Pairs of rows never leave a task:
 each visit returns the k best of one block. Large groups and crowded blocks are split further on both
-sides, so no task depends on the size of a group.
+sides, so no task depends on the size of a group. The result does not depend on the pivots.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline import contract as C
 from plumbline.functions.ranks import BUCKET, bucket_count, edges_of, with_bucket
@@ -20,6 +22,8 @@ from plumbline.session import written
 BLOCK_ROWS = 2048
 QUERY_ROWS = 1024
 DISTANCE_DECIMALS = 12
+#: Pivots, and the rows they are chosen from: the only rows that reach the driver.
+PIVOTS, PIVOT_SAMPLE = 16, 1024
 _SLACK = 1e-9
 
 
@@ -46,34 +50,61 @@ def scaled_vector(stats: DataFrame, features: list[str], out: str = "x"):
     return F.array(*entries).alias(out)
 
 
-def _norm(vector: str):
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, v: total + v * v))
+def pivots_of(candidates: DataFrame) -> np.ndarray:
+    """Rows of a bounded sample, each the farthest from those before it; none for an empty table."""
+    sample = candidates.select("cid", "x").orderBy(F.xxhash64("cid"), "cid").limit(PIVOT_SAMPLE).toArrow().column("x").to_pylist()
+    rows = np.array(sorted(sample), dtype=float) if sample else np.zeros((0, 0))
+    chosen, nearest = [], np.full(len(rows), np.inf)
+    while len(chosen) < min(PIVOTS, len(rows)):
+        at = int(nearest.argmax())
+        if nearest[at] == 0:
+            break
+        chosen.append(at)
+        nearest = np.minimum(nearest, ((rows - rows[at]) ** 2).sum(axis=1))
+    return rows[chosen]
 
 
-def _blocks(candidates: DataFrame, group: list[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _with_pivots(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add ``_d``, the distances to the pivots."""
+
+    @F.pandas_udf("array<double>")
+    def distances(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, pivots.shape[1]))
+        return pd.Series(list(np.sqrt(np.stack([((x - p) ** 2).sum(axis=1) for p in pivots], axis=1))))
+
+    return rows.withColumn("_d", distances("x") if len(pivots) else F.array().cast("array<double>"))
+
+
+def _gap(directory_low: str = "lo", directory_high: str = "hi") -> Column:
+    """Lower bound of the distance between a query (``_d``) and the rows of a block."""
+    below = F.zip_with("_d", directory_high, lambda d, high: d - high)
+    above = F.zip_with("_d", directory_low, lambda d, low: low - d)
+    return F.greatest(F.lit(0.0), F.coalesce(F.array_max(below), F.lit(0.0)), F.coalesce(F.array_max(above), F.lit(0.0)))
+
+
+def _blocks(candidates: DataFrame, group: list[str], block_rows: int, pivots: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Candidates with their block and part, and the directory: one row per group and block."""
     buckets = bucket_count(candidates.count())
-    normed = candidates.withColumn("_r", _norm("x"))
-    # Written once: read by the two uses below, and the bucket is a stored column before it is a join key.
-    marked = written(with_bucket(normed, "_r", edges_of(normed, "_r", buckets), buckets), "analog-buckets")
-    sizes = marked.groupBy(*group, BUCKET).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_r").alias("r_lo"), F.max("_r").alias("r_hi")
-    )
-    order = W.partitionBy(*group).orderBy(BUCKET)
+    near = F.coalesce(F.array_min("_d"), F.lit(0.0))
+    placed = _with_pivots(candidates, pivots).withColumn("_r", near).withColumn("_cell", F.array_position("_d", F.col("_r")).cast("int"))
+    placed = written(placed, "analog-pivots")
+    # Written once: read by the uses below, and the bucket is a stored column before it is a join key.
+    marked = written(with_bucket(placed, "_r", edges_of(placed, "_r", buckets), buckets), "analog-buckets")
+    sizes = marked.groupBy(*group, "_cell", BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy(*group).orderBy("_cell", BUCKET)
     before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = written(sizes.withColumn("block", F.floor(before / block_rows).cast("int")), "analog-sizes")
-    blocks = placed.groupBy(*group, "block").agg(
-        F.min("r_lo").alias("r_lo"),
-        F.max("r_hi").alias("r_hi"),
-        F.ceil(F.sum("n") / (2.0 * block_rows)).cast("int").alias("parts"),
-    )
-    where = placed.select(*group, BUCKET, "block").join(blocks.select(*group, "block", "parts"), [*group, "block"])
+    cut = written(sizes.withColumn("block", F.floor(before / block_rows).cast("int")), "analog-sizes")
+    parts = cut.groupBy(*group, "block").agg(F.ceil(F.sum("n") / (2.0 * block_rows)).cast("int").alias("parts"))
+    where = cut.select(*group, "_cell", BUCKET, "block").join(parts, [*group, "block"])
     located = (
-        marked.join(written(where, "analog-where"), [*group, BUCKET])
+        marked.join(written(where, "analog-where"), [*group, "_cell", BUCKET])
         .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-        .drop(BUCKET, "parts", "_r")
+        .drop("_cell", BUCKET, "_r")
     )
-    return located, written(blocks, "analog-directory")
+    located = written(located, "analog-located")
+    ends = lambda end: F.array(*[end(F.col("_d")[i]) for i in range(len(pivots))]).cast("array<double>")
+    directory = located.groupBy(*group, "block", "parts").agg(ends(F.min).alias("lo"), ends(F.max).alias("hi"))
+    return located.drop("parts", "_d"), written(directory, "analog-directory")
 
 
 def _top_of_block(k: int, other_lead: bool):
@@ -151,15 +182,34 @@ def nearest(
     Queries bring (qid, q_init, q_lead, x, group), candidates (cid, c_init, c_lead, x, group); a
     candidate of the query's own run never counts, with ``other_lead`` neither does one of its lead.
     """
+    seen, rest, _ = _search(queries, candidates, group, k, other_lead, block_rows)
+    both = seen.unionByName(rest[1])
+    return _keep_best(both, k, ["distance", "c_init", "c_lead", "cid"]).drop("rank")
+
+
+def visited_share(queries: DataFrame, candidates: DataFrame, group: list[str], k: int = C.ANALOG_COUNT, block_rows: int | None = None) -> DataFrame:
+    """One row: blocks the queries visited, blocks there were for them, and the share."""
+    _, rest, (queries, directory) = _search(queries, candidates, group, k, False, block_rows)
+    every = queries.select(*group).join(directory, group).agg(F.sum("parts").alias("blocks"))
+    visits = rest[0].agg((F.count(F.lit(1)) + queries.count()).alias("visited"))
+    one = F.lit(1).alias("_one")
+    both = visits.select("visited", one).join(every.select("blocks", one), "_one").drop("_one")
+    return both.withColumn("share", F.col("visited") / F.col("blocks"))
+
+
+def _search(
+    queries: DataFrame, candidates: DataFrame, group: list[str], k: int, other_lead: bool, block_rows: int | None
+) -> tuple[DataFrame, tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Finds of the first visits; the further visits and their finds; queries and directory."""
     limit = block_rows or BLOCK_ROWS
-    queries = written(queries.withColumn("_r", _norm("x")), "analog-queries")
     candidates = written(candidates, "analog-candidates")
-    located, directory = _blocks(candidates, group, limit)
-    # The home block is the last one beginning at or below the query's norm, else the first of the group.
-    below = F.when(F.col("r_lo") <= F.col("_r"), F.struct("r_lo", "block", "parts"))
-    home = queries.join(directory, group).groupBy("qid").agg(
-        F.coalesce(F.max(below), F.min(F.struct("r_lo", "block", "parts"))).alias("_home")
-    )
+    pivots = pivots_of(candidates)
+    queries = written(_with_pivots(queries, pivots), "analog-queries")
+    located, directory = _blocks(candidates, group, limit, pivots)
+    # The home block has the smallest bound, then the middle nearest to the query.
+    middles = F.zip_with("lo", "hi", lambda low, high: (low + high) / 2)
+    aside = F.coalesce(F.array_max(F.zip_with("_d", middles, lambda d, m: F.abs(d - m))), F.lit(0.0))
+    home = queries.join(directory, group).groupBy("qid").agg(F.min(F.struct(_gap().alias("gap"), aside.alias("aside"), "block", "parts")).alias("_home"))
     first = queries.join(home, "qid").select(
         "qid", "x", "q_init", "q_lead", *group,
         F.col("_home.block").alias("block"),
@@ -170,19 +220,17 @@ def nearest(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("_reach")
     )
     reachable = F.coalesce("_reach", F.lit(float("inf"))) * (1 + _SLACK) + _SLACK
-    hopeful = (F.col("r_lo") - F.col("_limit") <= F.col("_r")) & (F.col("r_hi") + F.col("_limit") >= F.col("_r"))
     rest = (
         queries.join(reach, "qid", "left")
         .withColumn("_limit", reachable)
         .join(directory, group)
-        .filter(hopeful)
+        .filter(_gap() <= F.col("_limit"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("qid", "x", "q_init", "q_lead", *group, "block", "part")
         .join(first.select("qid", "block", "part"), ["qid", "block", "part"], "left_anti")
     )
     rest = written(rest, "analog-rest")
-    both = seen.unionByName(_visit(rest, located, group, k, other_lead))
-    return _keep_best(both, k, ["distance", "c_init", "c_lead", "cid"]).drop("rank")
+    return seen, (rest, _visit(rest, located, group, k, other_lead)), (queries, directory)
 
 
 def analogs(
@@ -202,7 +250,7 @@ def analogs(
     short = queries.join(counts, "qid", "left").filter(F.coalesce("_hits", F.lit(0)) < k).drop("_hits")
     found = same.withColumn("other_lead", F.lit(0))
     short = written(short, "analog-short")
-    if short.count():
+    if not short.isEmpty():
         pool = candidates.join(short.select(region).distinct(), region, "left_semi")
         fallback = nearest(short, pool, [region], k, True, block_rows)
         found = found.unionByName(fallback.withColumn("other_lead", F.lit(1)))

@@ -156,17 +156,13 @@ _SEARCH = [
     {"maxDepth": 3, "stepSize": 0.1, "maxIter": 5, "minInstancesPerNode": 5, "subsamplingRate": 0.8},
     {"maxDepth": 4, "stepSize": 0.1, "maxIter": 5, "minInstancesPerNode": 10, "subsamplingRate": 0.8},
 ]
-_fitted: dict[tuple, tuple] = {}
 
 
 def risk_model(spark: SparkSession, d: str) -> tuple[model.RiskModel, DataFrame]:
-    """Model and its rows, fitted once per session and folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _fitted:
-        rows = written(B.model_rows(spark, d), "model-rows")
-        part = lambda name: rows.filter(F.col("split") == name)
-        _fitted[key] = model.fit_risk_model(part("train"), part("validation"), B.MODEL_FEATURES, candidates=_SEARCH), rows
-    return _fitted[key]
+    """Model and its rows."""
+    rows = written(B.model_rows(spark, d), "model-rows")
+    part = lambda name: rows.filter(F.col("split") == name)
+    return model.fit_risk_model(part("train"), part("validation"), B.MODEL_FEATURES, candidates=_SEARCH), rows
 
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -212,6 +208,21 @@ def explanations(spark: SparkSession, d: str) -> DataFrame:
     return evidence.explanations(fitted, held, train, {"feature_contract": "order-lines"}, "tree-risk-v1", B.MODEL_FEATURES, catalog, B.MODEL_FEATURES[:4])
 
 
+_ALL_PAIRS = EVENTS.replace("ON q.region_id = c.region_id AND q.vec_id <> c.vec_id", "ON q.vec_id <> c.vec_id")
+
+
+@query(
+    f"""WITH {_ALL_PAIRS}, near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, cid, c_lead) AS place FROM pairs)
+    SELECT qid, cid, round(distance, 9) AS distance FROM near WHERE place <= 3"""
+)
+def analogs_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Three nearest vectors of every vector among all others: one group of many blocks (E-04, E-05)."""
+    queries, pool = _analog_inputs(spark, d)
+    one = F.lit(0).alias("all")
+    found = neighbours.nearest(queries.select("*", one), pool.select("*", one), ["all"], 3, block_rows=16)
+    return found.select("qid", "cid", rounded("distance", 9))
+
+
 @query(
     """SELECT DISTINCT strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS init_time FROM lineitem WHERE year(l_shipdate) <= 1998"""
 )

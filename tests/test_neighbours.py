@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import neighbours
 
 
@@ -73,3 +75,34 @@ def test_scaler_uses_population_statistics(spark):
     stats = {r.feature: r for r in neighbours.scaler_stats(table, ["a", "b"]).collect()}
     assert stats["a"].mean == 3.0 and stats["a"].scale == pytest.approx(np.std([1, 2, 6]))
     assert stats["b"].scale == 1.0
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame([(i, 0, i, 0, [float(v) for v in x]) for i, x in enumerate(rows)], "cid long, all int, c_init long, c_lead int, x array<double>")
+
+
+def test_pivots_prune_clusters_in_64_dimensions(spark):
+    """Clusters in 64 dimensions have like norms; the pivots tell them apart, and the result is that of all pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 64)) * 3
+    rows = np.concatenate([c + rng.normal(size=(60, 64)) * 0.3 for c in centres])
+    pool = _vectors(spark, rows)
+    queries = pool.select("all", F.col("cid").alias("qid"), F.col("c_init").alias("q_init"), F.col("c_lead").alias("q_lead"), "x")
+    share = neighbours.visited_share(queries, pool, ["all"], 3, block_rows=30).first()
+    assert share.blocks >= 20 * len(rows) and 0 < share.share < 0.3
+    found = neighbours.nearest(queries, pool, ["all"], 3, block_rows=30).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.distance, r.cid)):
+        got.setdefault(r.qid, []).append(r.cid)
+    for i in range(0, len(rows), 7):
+        distance = np.round(np.sqrt(((rows - rows[i]) ** 2).sum(axis=1)), 12)
+        order = [j for j in np.lexsort((np.arange(len(rows)), distance)) if j != i][:3]
+        assert got[i] == order
+
+
+def test_equal_vectors_and_few_rows(spark):
+    pool = _vectors(spark, [[1.0, 2.0]] * 5)
+    queries = pool.select("all", F.col("cid").alias("qid"), F.col("c_init").alias("q_init"), F.col("c_lead").alias("q_lead"), "x")
+    assert neighbours.nearest(queries, pool, ["all"], 2, block_rows=2).count() == 10
+    assert neighbours.nearest(queries, pool.limit(0), ["all"], 2).count() == 0
+    assert neighbours.nearest(queries.limit(0), pool, ["all"], 2).count() == 0
