@@ -119,7 +119,14 @@ def evaluate(
     Slices come ordered by the text form of their key.
     """
     slices = slices or []
-    scores = score_table(rows, slices, label, probability, climate)
+    result = evaluate_scores(score_table(rows, slices, label, probability, climate), slices, bins, share)
+    return result.orderBy(*[F.col(s).cast("string") for s in slices]) if slices else result
+
+
+def evaluate_scores(
+    scores: DataFrame, slices: list[str], bins: int = C.CALIBRATION_BINS, share: float = C.TOP_RISK_QUANTILE
+) -> DataFrame:
+    """The metrics from a score table, in no order."""
     p = F.col("p")
     brier = F.col("pos") * (F.lit(1.0) - p) * (F.lit(1.0) - p) + (F.col("n") - F.col("pos")) * p * p
     basic = scores.groupBy(*slices).agg(
@@ -140,5 +147,4 @@ def evaluate(
         .groupBy(*slices)
         .agg((F.sum(F.col("count") * gap) / F.sum("count")).alias("expected_calibration_error"))
     )
-    result = _combine([basic, _curve_areas(scores, slices), calibration, _top_risk(scores, slices, share)], slices)
-    return result.orderBy(*[F.col(s).cast("string") for s in slices]) if slices else result
+    return _combine([basic, _curve_areas(scores, slices), calibration, _top_risk(scores, slices, share)], slices)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import contract as C
 from plumbline.errors import ContractViolation
 from plumbline.functions.scalars import clip, logit
-from plumbline.operators.metrics import climatology, evaluate
+from plumbline.operators.metrics import calibration_bins, climatology, evaluate, evaluate_scores, score_table
 from plumbline.operators.neighbours import scaler_stats
 from plumbline.session import scratch_dir, written
 
@@ -84,9 +86,46 @@ class RiskModel:
         categories = next(s for s in self.features.stages if hasattr(s, "labels")).labels
         return [self.category] * len(categories) + self.numeric
 
+    def contract(self) -> dict:
+        """What a saved model must be used with: features in order, categories in order, and how it was chosen."""
+        facts = {
+            "numeric": self.numeric,
+            "category": self.category,
+            "categories": list(next(s for s in self.features.stages if hasattr(s, "labels")).labels),
+            "trees": self.trees.getNumTrees,
+            "search": self.search,
+        }
+        return facts | {"content_sha256": hashlib.sha256(json.dumps(facts, sort_keys=True).encode()).hexdigest()}
+
     def save(self, path: str) -> None:
-        for name in ("features", "trees", "calibrator", "baseline"):
+        for name in _PARTS:
             getattr(self, name).write().overwrite().save(f"{path}/{name}")
+        spark = SparkSession.active()
+        contract = spark.createDataFrame([(json.dumps(self.contract(), sort_keys=True),)], "contract string")
+        contract.coalesce(1).write.mode("overwrite").text(f"{path}/contract")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, numeric: list[str] | None = None) -> RiskModel:
+        """A saved model; an altered contract, parts that do not fit it, and other features than ``numeric`` are errors."""
+        stored = json.loads(spark.read.text(f"{path}/contract").first()[0])
+        features = PipelineModel.load(f"{path}/features")
+        trees = GBTClassificationModel.load(f"{path}/trees")
+        calibrator, baseline = (LogisticRegressionModel.load(f"{path}/{name}") for name in ("calibrator", "baseline"))
+        found = cls(features, trees, calibrator, baseline, stored["search"], stored["numeric"], stored["category"])
+        problems = []
+        if found.contract() != stored:
+            problems.append("its parts or its record have changed")
+        if numeric is not None and list(numeric) != found.numeric:
+            problems.append("other features are expected")
+        leaked = [f for f in found.numeric if f in C.TARGET_COLUMNS or f.startswith(tuple(C.TARGET_PREFIXES))]
+        if leaked:
+            problems.append(f"targets among the features: {leaked}")
+        if problems:
+            raise ContractViolation(f"saved model: {'; '.join(problems)}")
+        return found
+
+
+_PARTS = ("features", "trees", "calibrator", "baseline")
 
 
 def _with_logit(rows: DataFrame) -> DataFrame:
@@ -157,6 +196,29 @@ def evaluation_report(predictions: DataFrame, slices: list[str] | None = None, l
     return reports[0].unionByName(reports[1]).unionByName(reports[2])
 
 
+def full_report(predictions: DataFrame, label: str = "bust", slices: tuple[str, ...] = ("lead_day", "region_id")) -> DataFrame:
+    """Metrics and calibration bins per split: model and baselines overall, the model by every slice too.
+
+    Columns ``split``, ``source``, ``slice`` (overall or a column), ``value``, the metrics, ``bins``. All sets are rows of one score table,
+    so the predictions are read once and every metric is computed once for all of them.
+    """
+    sources = {
+        "model": "bust_probability",
+        "climatology_baseline": "climatology_probability",
+        "logistic_regression_baseline": "logistic_baseline_probability",
+    }
+    whole = F.struct(F.lit("overall").alias("slice"), F.lit("all").alias("value"))
+    parts = [F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in slices]
+    pairs = F.array(*[F.struct(F.lit(name).alias("source"), F.col(column).alias("p")) for name, column in sources.items()])
+    long = predictions.select("split", label, *slices, F.col("climatology_probability").alias("c"), F.inline(pairs))
+    sets = F.when(F.col("source") == "model", F.array(whole, *parts)).otherwise(F.array(whole))
+    keys = ["split", "source", "slice", "value"]
+    scores = score_table(long.select("split", "source", label, "p", "c", F.inline(sets)), keys, label)
+    entries = F.struct("bin", "lower", "upper", "count", "mean_probability", "observed_frequency")
+    bins = calibration_bins(scores, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(entries)).alias("bins"))  # ten entries
+    return evaluate_scores(scores, keys).join(bins, keys)
+
+
 def replay_differences(stored: DataFrame, recomputed: DataFrame, keys: list[str], tolerance: float = C.REPLAY_TOLERANCE) -> DataFrame:
     """Violations: stored probabilities that the saved model does not reproduce."""
     names = ["raw_probability", "bust_probability"]

@@ -10,7 +10,8 @@ from plumbline import contract as C
 from plumbline.errors import ContractViolation, raise_if_any
 from plumbline.functions.scalars import content_hash
 from plumbline.operators import coordinates, evidence, labels, model, quality
-from plumbline.plans.derive import checked_cycles, derive_rows
+from plumbline.plans import cycles
+from plumbline.plans.derive import checked_cycles, derive_rows, same_axes
 from plumbline.session import written
 from plumbline.sources import documents, manifests, tables
 
@@ -41,6 +42,7 @@ class Sources:
     axes: tuple[DataFrame, DataFrame]
     dataset_version: str
     regions: int = C.REGION_COUNT
+    analysis_axes: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def rows_per_cycle(self) -> int:
@@ -66,33 +68,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _stored_cycles(spark: SparkSession, path: str) -> DataFrame | None:
-    return tables.read_cycles(spark, path) if _exists(spark, path) else None
+def _log(spark: SparkSession, layout: Layout) -> DataFrame:
+    """The cycle log of the last run, read before it may be replaced."""
+    path = f"{layout.manifest}-cycles"
+    return written(cycles.known(spark, path if _exists(spark, path) else None), "cycle-log")
 
 
-def _tampered_cycles(spark: SparkSession, layout: Layout) -> DataFrame | None:
-    """Cycles whose files no longer match the checksums of the last run."""
-    if not _exists(spark, f"{layout.manifest}-cycles"):
-        return None
-    recorded = spark.read.parquet(f"{layout.manifest}-cycles")
-    return manifests.changed_cycles(manifests.file_checksums(spark, layout.cycles), recorded)
+def _cycle_state(spark: SparkSession, layout: Layout, sources: Sources, trusted: list[str] | None = None) -> DataFrame:
+    """Files, rows and verdict of every stored cycle; only cycles whose files changed since the last run are read."""
+    log = _log(spark, layout)
+    if not _exists(spark, layout.cycles):
+        return log.limit(0)
+    found = cycles.current(spark, layout.cycles, log, sources.dataset_version, sources.rows_per_cycle, sources.regions, trusted)
+    return written(found, "cycle-state")
 
 
-def pending_cycles(
-    expected: DataFrame,
-    stored: DataFrame | None,
-    version: str,
-    rows_per_cycle: int,
-    regions: int,
-    tampered: DataFrame | None = None,
-) -> DataFrame:
-    """Expected cycles without a valid partition; all stored cycles are judged in one aggregate."""
-    if stored is None:
-        return expected
-    judged = quality.cycle_validity(stored, version, rows_per_cycle, regions=regions)
-    valid = judged.filter("valid").select(F.col(TIME).alias("init_time"))
-    if tampered is not None:
-        valid = valid.join(tampered, "init_time", "left_anti")
+def pending_cycles(expected: DataFrame, state: DataFrame) -> DataFrame:
+    """Expected cycles that are not stored as valid ones."""
+    valid = state.filter("valid").select(F.to_timestamp_ntz("init", F.lit(cycles.STAMP)).alias("init_time"))
     return expected.join(valid, "init_time", "left_anti")
 
 
@@ -114,11 +107,8 @@ def build_corpus(
         raise ContractViolation("max_cycles must not be negative")
     expected = written(coordinates.expected_cycles(sources.forecast, years), "expected-cycles")
     raise_if_any(coordinates.bad_cycle_hours(expected), "unexpected initialization hours")
-    stored = _stored_cycles(spark, layout.cycles)
-    tampered = None if stored is None else _tampered_cycles(spark, layout)
-    pending = pending_cycles(
-        expected, stored, sources.dataset_version, sources.rows_per_cycle, sources.regions, tampered
-    )
+    state = _cycle_state(spark, layout, sources)
+    pending = pending_cycles(expected, state)
     if only is not None:
         pending = pending.join(only.select("init_time").distinct(), "init_time", "left_semi")
     if max_cycles is not None:
@@ -126,12 +116,13 @@ def build_corpus(
     pending = written(pending, "pending-cycles")
     try:
         if not pending.isEmpty():
-            if stored is not None:
-                bad = stored.join(pending.select(F.col("init_time").alias(TIME)), TIME, "left_semi")
-                tables.write_cycles(bad, layout.quarantine)
+            stamps = [r[0] for r in pending.select(F.date_format("init_time", cycles.STAMP)).collect()]  # one per cycle
+            if not state.isEmpty():
+                bad = cycles.read_stored(spark, layout.cycles, stamps).drop("year", "month", "init")
+                tables.write_cycles(bad.filter(F.col(TIME).isNotNull()), layout.quarantine)
             derived = derive_rows(
                 sources.forecast, sources.previous, sources.analysis, sources.weights, sources.axes,
-                sources.dataset_version, pending,
+                sources.dataset_version, pending, analysis_axes=sources.analysis_axes,
             )
             rows = checked_cycles(derived)
             raise_if_any(quality.wrong_counts(rows, [TIME], sources.rows_per_cycle), "incomplete cycles")
@@ -141,22 +132,32 @@ def build_corpus(
                 "cycles without rows",
             )
             tables.write_cycles(rows, layout.cycles)
-            sums = manifests.file_checksums(spark, layout.cycles)
-            sums.write.mode("overwrite").parquet(f"{layout.manifest}-cycles")
+            state = _cycle_state(spark, layout, sources, stamps)
     finally:
-        status = corpus_status(spark, expected, layout, sources.rows_per_cycle)
+        state.write.mode("overwrite").parquet(f"{layout.manifest}-cycles")
+        status = corpus_status(expected, state, sources)
         documents.write_json_report(status, layout.manifest)
+        wanted, present = _wanted(expected), state.filter("rows > 0").select("init")
+        manifests.manifest_gaps(wanted, present, "init").write.mode("overwrite").parquet(f"{layout.manifest}-gaps")
     return status
 
 
-def corpus_status(spark: SparkSession, expected: DataFrame, layout: Layout, rows_per_cycle: int) -> DataFrame:
-    stored = _stored_cycles(spark, layout.cycles)
-    wanted = expected.select(F.col("init_time").alias(TIME))
-    if stored is None:
-        partitions = wanted.limit(0).withColumn("rows", F.lit(0))
-    else:
-        partitions = stored.groupBy(TIME).agg(F.count(F.lit(1)).alias("rows"))
-    return written(manifests.corpus_summary(wanted, partitions, TIME, rows_per_cycle), "corpus-status")
+def _wanted(expected: DataFrame) -> DataFrame:
+    return expected.select(F.date_format("init_time", cycles.STAMP).alias("init"))
+
+
+def corpus_status(expected: DataFrame, state: DataFrame, sources: Sources) -> DataFrame:
+    """One row: completeness of the stored cycles, the alignment used and a fingerprint of the region weights."""
+    summary = manifests.corpus_summary(_wanted(expected), state.filter("rows > 0"), "init", sources.rows_per_cycle)
+    own_grid = sources.analysis_axes is not None and not same_axes(sources.analysis_axes, sources.axes)
+    weights = manifests.table_fingerprint(sources.weights).select("fingerprint")
+    facts = {
+        "dataset_version": F.lit(sources.dataset_version),
+        "state_alignment": F.lit("bilinear" if own_grid else "identity"),
+        "precipitation_alignment": F.lit("conservative" if own_grid else "identity"),
+        "weights_fingerprint": weights.scalar(),
+    }
+    return written(summary.withColumns(facts), "corpus-status")
 
 
 def label_corpus(spark: SparkSession, layout: Layout, train_years: list[int] | None = None, **options) -> DataFrame:
@@ -174,7 +175,7 @@ def label_corpus(spark: SparkSession, layout: Layout, train_years: list[int] | N
     tables.write_labelled(labelled, layout.labelled)
     stored = tables.read_labelled(spark, layout.labelled)
     raise_if_any(labels.unlabelled(stored), "rows without fitted statistics or threshold")
-    files = manifests.file_checksums(spark, layout.labelled)
+    files = manifests.content_digests(stored)
     files.write.mode("overwrite").parquet(f"{layout.manifest}-labelled")
     return labels.prevalence(stored, year)
 
@@ -206,7 +207,7 @@ def train_and_evaluate(
 ) -> DataFrame:
     """Verify labelled files, fit, calibrate, predict held-out years and report metrics."""
     changed = manifests.checksum_differences(
-        manifests.file_checksums(spark, layout.labelled), spark.read.parquet(f"{layout.manifest}-labelled")
+        manifests.content_digests(tables.read_labelled(spark, layout.labelled)), spark.read.parquet(f"{layout.manifest}-labelled")
     )
     raise_if_any(changed, "labelled files differ from their manifest")
     rows = split_corpus(tables.read_labelled(spark, layout.labelled), **years)
@@ -217,17 +218,50 @@ def train_and_evaluate(
     predictions = model.held_out_predictions(fitted, train, held, C.PREDICTION_KEYS)
     tables.write_predictions(predictions, layout.predictions)
     stored = spark.read.parquet(layout.predictions)
-    report = written(model.evaluation_report(stored), "evaluation")
+    replayed(spark, layout, stored, held, numeric)
+    report = written(model.full_report(stored), "evaluation")
     documents.write_json_report(report, layout.report)
-    return report
+    record = _training_record(spark, fitted, stored, train, rows)
+    documents.write_json_report(record, f"{layout.report}-record")
+    return report.filter(F.col("slice") == "overall")
+
+
+def replayed(spark: SparkSession, layout: Layout, stored: DataFrame, rows: DataFrame, numeric: list[str] | None = None) -> model.RiskModel:
+    """The saved model, after it has reproduced the stored probabilities; anything else is an error."""
+    saved = model.RiskModel.load(spark, layout.model, numeric)
+    again = saved.score(rows).select(*C.PREDICTION_KEYS, "raw_probability", "bust_probability")
+    raise_if_any(model.replay_differences(stored, again, C.PREDICTION_KEYS), "stored probabilities that the saved model does not reproduce")
+    return saved
+
+
+def _training_record(spark: SparkSession, fitted: model.RiskModel, stored: DataFrame, train: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: contract, search, years, row counts and fingerprints of what was fitted on and predicted."""
+    contract = fitted.contract()
+    one = F.lit(1).alias("_one")
+    predicted = manifests.table_fingerprint(stored).select(F.col("rows").alias("prediction_rows"), F.col("fingerprint").alias("prediction_fingerprint"), one)
+    fitted_on = manifests.table_fingerprint(train).select(F.col("rows").alias("training_rows"), F.col("fingerprint").alias("training_fingerprint"), one)
+    years = rows.agg(*[F.sort_array(F.collect_set(F.when(F.col("split") == s, F.year(TIME)))).alias(f"{s}_years") for s in ("train", "validation", "test")])
+    facts = {
+        "feature_columns": F.array(F.lit(contract["category"]), *[F.lit(n) for n in contract["numeric"]]),
+        "contract_sha256": F.lit(contract["content_sha256"]),
+        "random_state": F.lit(C.RANDOM_STATE),
+        "search": F.array(*[F.struct(F.to_json(F.create_map(*[F.lit(str(x)) for pair in s["parameters"].items() for x in pair])).alias("parameters"), F.lit(s["validation_pr_auc"]).cast("double").alias("validation_pr_auc")) for s in contract["search"]]),
+    }
+    record = predicted.join(fitted_on, "_one").join(years.select("*", one), "_one").drop("_one").withColumns(facts)
+    return record.withColumn("content_sha256", content_hash(*record.columns))
 
 
 def build_evidence(
-    spark: SparkSession, layout: Layout, fitted: model.RiskModel, model_version: str, provenance: dict[str, str], **years
+    spark: SparkSession, layout: Layout, fitted: model.RiskModel | None, model_version: str, provenance: dict[str, str], **years
 ) -> DataFrame:
-    """Fit the analog scaler and store one explanation per held-out prediction."""
+    """Fit the analog scaler and store one explanation per held-out prediction.
+
+    Without ``fitted`` the saved model is loaded, and must reproduce the stored probabilities first.
+    """
     rows = split_corpus(tables.read_labelled(spark, layout.labelled), **years)
     train, held = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") != "train")
+    if fitted is None:
+        fitted = replayed(spark, layout, spark.read.parquet(layout.predictions), held)
     scaler = written(evidence.analog_scaler(train, fitted.numeric), "analog-scaler")
     source = manifests.table_fingerprint(spark.read.parquet(f"{layout.manifest}-labelled")).select("fingerprint")
     scaler.withColumn("source_fingerprint", source.scalar()).write.mode("overwrite").parquet(layout.analog_scaler)

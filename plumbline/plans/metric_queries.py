@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.ranks import grouped_quantile
-from plumbline.operators import metrics
+from plumbline.operators import metrics, model
+from plumbline.operators.coordinates import with_split
 from plumbline.operators.model import replay_differences
 from plumbline.plans import bindings as B
 from plumbline.plans.label_queries import LABELLED
@@ -20,10 +21,10 @@ scored AS (
 )
 
 
-def _metric_sql(slice_column: str) -> str:
+def _metric_sql(slice_column: str, tables: str = SCORED) -> str:
     """All metrics per slice, from textbook definitions over the rows."""
     s = slice_column
-    return f"""WITH {SCORED},
+    return f"""WITH {tables},
     steps AS (SELECT {s} AS s, p, count(*) AS n, sum(bust) AS pos FROM scored GROUP BY ALL),
     curve AS (
       SELECT *, sum(n) OVER w AS n_all, sum(pos) OVER w AS pos_all,
@@ -53,6 +54,17 @@ def _metric_sql(slice_column: str) -> str:
     GROUP BY scored.{s}"""
 
 
+_SETS = SCORED.replace("scored AS (", "plain AS (") + """,
+held AS (
+  SELECT *, CASE WHEN yr = 1999 THEN 'validation' ELSE 'test' END AS split, l_quantity / 60 AS q FROM plain WHERE yr IN (1999, 2000, 2001)),
+scored AS (
+  SELECT split || '|model|overall|all' AS k, bust, p, c FROM held
+  UNION ALL SELECT split || '|model|lead_day|' || lead_day, bust, p, c FROM held
+  UNION ALL SELECT split || '|model|region_id|' || region_id, bust, p, c FROM held
+  UNION ALL SELECT split || '|climatology_baseline|overall|all', bust, c, c FROM held
+  UNION ALL SELECT split || '|logistic_regression_baseline|overall|all', bust, q, c FROM held)"""
+
+
 def _rounded(report: DataFrame, slices: list[str]) -> DataFrame:
     values = [c for c in report.columns if c not in ("rows", *slices)]
     return report.select(*slices, "rows", *[rounded(v) for v in values])
@@ -64,6 +76,18 @@ def probability_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.evaluate(B.scored(spark, d)), []).withColumn("one", F.lit(1))
 
 
+@query(_metric_sql("k", _SETS))
+def full_report(spark: SparkSession, d: str) -> DataFrame:
+    """Model and baselines of both held-out splits, overall, by lead and by region, in one pass (M-15, B-04, M-13)."""
+    rows = with_split(B.scored(spark, d), F.col("yr"), B.TRAIN, B.VALIDATION, B.TEST_YEARS).filter("split <> 'train'")
+    stored = rows.select(
+        "split", "bust", "lead_day", "region_id", F.col("p").alias("bust_probability"), F.col("c").alias("climatology_probability"),
+        (F.col("l_quantity") / 60).alias("logistic_baseline_probability"),
+    )
+    report = model.full_report(stored).withColumn("k", F.concat_ws("|", "split", "source", "slice", "value"))
+    return _rounded(report.drop("split", "source", "slice", "value", "bins"), ["k"])
+
+
 @query(_metric_sql("lead_day"))
 def metrics_by_lead(spark: SparkSession, d: str) -> DataFrame:
     """The same metrics per lead (M-13, W-05)."""

@@ -180,3 +180,62 @@ def test_label_and_train_jobs(spark, labelled, tmp_path):
     assert manifests.checksum_differences(recorded, changed).count() == recorded.count()
     fitted = model.fit_risk_model(*[jobs.split_corpus(tables.read_labelled(spark, layout.labelled)).filter(f"split = '{s}'") for s in ("train", "validation")], candidates=SETTINGS[:1])
     assert jobs.build_evidence(spark, layout, fitted, "tree-v1", {"a": "b"}).count() == 320
+
+
+def test_saved_models_load_with_their_contract_only(spark, fitted, tmp_path):
+    risk, rows = fitted
+    path = f"{tmp_path}/model"
+    risk.save(path)
+    again = model.RiskModel.load(spark, path, C.NUMERIC_FEATURES)
+    held = rows.filter("split = 'test'")
+    stored = risk.score(held).select(*C.PREDICTION_KEYS, "raw_probability", "bust_probability")
+    assert model.replay_differences(stored, again.score(held), C.PREDICTION_KEYS).isEmpty()
+    assert again.contract() == risk.contract() and again.feature_names() == risk.feature_names()
+    with pytest.raises(ContractViolation, match="other features"):
+        model.RiskModel.load(spark, path, C.NUMERIC_FEATURES[::-1])
+    text = spark.read.text(f"{path}/contract").first()[0]
+    spark.createDataFrame([(text.replace("season_sin", "season_cos2"),)], "contract string").coalesce(1).write.mode("overwrite").text(f"{path}/contract")
+    with pytest.raises(ContractViolation, match="changed"):
+        model.RiskModel.load(spark, path)
+    risk.save(path)
+    other = model.fit_risk_model(*[rows.filter(f"split = '{s}'") for s in ("train", "validation")], candidates=[{**SETTINGS[0], "maxIter": 2}])
+    other.trees.write().overwrite().save(f"{path}/trees")
+    with pytest.raises(ContractViolation, match="changed"):
+        model.RiskModel.load(spark, path)
+
+
+def test_full_report_holds_every_set_once(fitted):
+    risk, rows = fitted
+    train, held = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
+    table = model.held_out_predictions(risk, train, held, C.PREDICTION_KEYS).cache()
+    report = model.full_report(table).collect()
+    overall = {(r.split, r.source): r for r in report if r.slice == "overall"}
+    assert len(overall) == 6 and {r.value for r in overall.values()} == {"all"}
+    for old in model.evaluation_report(table).collect():
+        new = overall[old.split, old.source]
+        for name in ("brier_score", "pr_auc", "roc_auc", "expected_calibration_error", "top_20_percent_risk_recall"):
+            assert getattr(new, name) == pytest.approx(getattr(old, name))
+        assert [b.bin for b in new.bins] == list(range(10)) and sum(b["count"] for b in new.bins) == new.rows
+    leads = {r.value for r in report if r.slice == "lead_day" and r.split == "test_2022" or r.slice == "lead_day"}
+    assert leads == {str(r.lead_day) for r in table.select("lead_day").distinct().collect()}
+    by_region = [r for r in report if r.slice == "region_id" and r.split == "test"]
+    assert sum(r.rows for r in by_region) == overall["test", "model"].rows
+
+
+def test_evidence_is_built_from_disk_after_a_replay(spark, labelled, tmp_path):
+    layout = Layout(str(tmp_path))
+    stored = labelled.select(*[f.name for f in C.DERIVED_ROW])
+    noisy = stored.withColumns({c: F.abs(F.col("mslp_mean_pa") + F.lit(i)) for i, c in enumerate(C.ERROR_COLUMNS)})
+    tables.write_cycles(noisy, layout.cycles)
+    documents.write_json_report(spark.createDataFrame([("complete",)], "status string"), layout.manifest)
+    jobs.label_corpus(spark, layout, threshold_min_samples=5)
+    jobs.train_and_evaluate(spark, layout, SETTINGS[:1])
+    record = spark.read.json(f"{layout.report}-record").first()
+    assert record.prediction_rows == 320 and record.test_years == [2022] and len(record.search) == 1 and len(record.feature_columns) == 15
+    assert spark.read.json(layout.report).filter("slice <> 'overall'").count() > 10
+    assert jobs.build_evidence(spark, layout, None, "tree-v1", {"a": "b"}).count() == 320
+    off = spark.read.parquet(layout.predictions).withColumn("bust_probability", F.col("bust_probability") / 2).cache()
+    off.count()
+    tables.write_predictions(off, layout.predictions)
+    with pytest.raises(ContractViolation, match="reproduce"):
+        jobs.build_evidence(spark, layout, None, "tree-v1", {"a": "b"})
