@@ -34,6 +34,7 @@ from plumbline.session import written
 
 WEIGHTS = (5, 2, 1)
 RANGE_ROWS = 20_000
+LEAST_SHARDS, SHARD_WORDS = 16, 1 << 27
 #: Standard deviations around the mode that inversion walks; what lies beyond has a probability below 1e-20.
 WALK = 10
 
@@ -183,7 +184,7 @@ def mix(
     source: str = "source",
     text: str = "text",
     key: str = "doc_id",
-    shards: int = 16,
+    shards: int | None = None,
     block_words: int = 256,
     share: float = 1.5,
     most: float = 2.0,
@@ -192,7 +193,8 @@ def mix(
     """The columns ``carry`` of every row, ``size``, ``source_size``, ``target``, ``taken`` and ``draws``.
 
     ``draws`` lists what shards take of the document: shard, pass (0 or 1), first word, number of words and the
-    draw's place in its shard (``order``). ``taken`` sums the words. ``shards`` must be a power of two.
+    draw's place in its shard (``order``). ``taken`` sums the words. ``shards`` must be a power of two; by default there are as many
+    as keep the words of a shard below ``SHARD_WORDS``, at least ``LEAST_SHARDS``.
     """
     ranges = max(1, (docs.count() // RANGE_ROWS).bit_length())
     rows = docs.select(
@@ -205,6 +207,9 @@ def mix(
     ).withColumn("_range", F.shiftrightunsigned("_key", 64 - ranges))
     group = ["_has", "_source"]
     totals = written(rows.groupBy(*group, "_range").agg(F.sum("size").alias("_words")), "mix-ranges")
+    if shards is None:
+        words = totals.agg(F.sum("_words")).first()[0] or 0
+        shards = max(LEAST_SHARDS, 1 << (int(share * words) // SHARD_WORDS).bit_length())
     plan = targets(totals.groupBy(*group).agg(F.sum("_words").alias("words")), share, most)
     goal = F.round("target").cast("long")
     plan = written(plan.withColumn("goal", goal).withColumn("blocks", F.ceil(goal / block_words)), "mix-targets")

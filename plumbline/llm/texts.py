@@ -107,10 +107,12 @@ def labelled_sample(
 
     The bound is the size of the sample a classifier is fitted on. Documents are taken by a hash of their
     id, so the choice repeats. Label rows without id or label are ignored; of several rows of one
-    document the smallest label holds. Only ids and labels of the sample are sent to the executors.
+    document the smallest label holds, of several rows of one id the one whose text has the smallest hash: the bound holds for rows
+    too. Only ids and labels of the sample are sent to the executors.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~fold("doc_id", folds, held_out))
     one_each = usable.groupBy("doc_id").agg(F.min((F.col(label) > 0).cast("int")).alias("label"))
     chosen = one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    met = texts.join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text")).alias("_row")).select("doc_id", "_row.text", "_row.label")

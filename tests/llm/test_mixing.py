@@ -85,3 +85,11 @@ def test_odd_rows(odd_documents, no_documents, clashing):
 def test_main_path_is_native(documents):
     plan = M.mix(documents([(1, "a b", "x")]), ["doc_id"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_shards_follow_the_words(documents, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_WORDS", 64)
+    docs = documents([(i, "w " * 20, f"s{i % 3}") for i in range(100)])
+    rows = M.mix(docs, ["doc_id"], block_words=4).collect()
+    shards = {d["shard"] for r in rows for d in r.draws}
+    assert len(shards) > 32 and max(shards) < 64

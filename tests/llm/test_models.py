@@ -107,3 +107,12 @@ def test_disguises_are_seen():
     plain = X.features("a plain sentence with 3 numbers 12 and 1st place", lexicon)
     assert plain[at("disguised")] == plain[at("insults")] == 0
     assert X.features("You utter idiot", lexicon)[at("near_person")] == 1
+
+
+def test_the_sample_is_bounded_in_rows(spark, documents):
+    from plumbline.llm.texts import labelled_sample
+
+    docs = documents([(4, f"text {i % 5}", "a") for i in range(500)] + [(5, None, "a"), (6, "x", "a")])
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    found = labelled_sample(docs, labels, "quality", 1, 5, 10).collect()
+    assert sorted(r.doc_id for r in found) == [4, 5, 6] and {r.text for r in found} >= {"", "x"}

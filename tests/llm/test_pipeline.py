@@ -108,3 +108,14 @@ def test_run_on_all_and_on_no_documents(spark, stages, tmp_path):
     spark.read.parquet(f"{folder}/labels.parquet").filter("doc_id < 0").write.parquet(f"{empty}/labels.parquet")
     assert P.run(spark, empty).count() == 0
     assert not re.search("localCheckpoint", open(P.__file__).read())
+
+
+def test_cut_texts_keep_their_white_space(spark, documents):
+    rows = [(i, "\n".join(f"a{i} \t b{j}\x0b" for j in range(150 + i)), f"s{i % 4}") for i in range(60)] + [(90, "\n\n", "s1"), (91, None, "s1")]
+    docs = documents(rows)
+    texts = {i: t for i, t, _ in rows}
+    cut = 0
+    for r in P.mix_sources(spark, docs, "").collect():
+        assert r.text in texts[r.doc_id] and r.n_chars == len(r.text)
+        cut += r.text != texts[r.doc_id]
+    assert cut
