@@ -54,10 +54,17 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: documents once, twice or not at all, cut where a source's target or a shard ends."""
+    """What the mix takes: documents once, twice or not at all, cut where a source's target or a shard ends.
+
+    A cut text is the words taken with the white space between them as it was; what stands before the first and after the last is left out.
+    """
     drawn = mix(docs, COLUMNS).select(*COLUMNS, "size", F.explode("draws").alias("draw"))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD_SQL), 0), F.col("draw.from_word").cast("int") + 1, F.col("draw.words").cast("int"))
-    text = F.when(F.col("draw.words") < F.col("size"), F.array_join(words, " ")).otherwise(F.col("text"))
+    first, count = F.col("draw.from_word").cast("int") + 1, F.col("draw.words").cast("int")
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD_SQL), 0), first, count)
+    spaces = F.slice(F.split("text", WORD_SQL, -1), first, count)  # the k-th stands before the k-th word
+    inner = F.transform(spaces, lambda s, i: F.when(i > 0, s).otherwise(F.lit("")))
+    cut = F.array_join(F.zip_with(inner, words, lambda s, w: F.concat(s, w)), "")
+    text = F.when(F.col("draw.words") < F.col("size"), cut).otherwise(F.col("text"))
     pieces = drawn.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     shuffled = pieces.repartitionByRange("draw.shard", "draw.order").sortWithinPartitions("draw.shard", "draw.order")
     return shuffled.select(COLUMNS)
