@@ -154,5 +154,41 @@ def _placed_by_bucket(
     return near.select(*[F.col(f"m.{c}").alias(c) for c in [*keys, value, "_w"]], "_at", "_n", before.alias("_from"))
 
 
+PART = "_part"
+
+
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows in ranges of ``order``, one range per task, with the number of the range in ``PART``; written, so that it stays."""
+    spread = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    return written(spread.withColumn(PART, F.spark_partition_id()), "ranges")
+
+
+def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add the position (from 0) of every row in the order of the whole table; no task sees more than its range.
+
+    Only one row per range is ordered in one place: its number of rows.
+    """
+    ranged = in_ranges(df, order)
+    sizes = ranged.groupBy(PART).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(PART, before.alias("_start"))
+    inside = F.row_number().over(W.partitionBy(PART).orderBy(*order)) - 1
+    return ranged.withColumn("_inside", inside).join(starts, PART).select(*df.columns, (F.col("_start") + F.col("_inside")).alias(name))
+
+
+def with_neighbours(df: DataFrame, order: str, value: str, before: str, after: str) -> DataFrame:
+    """Add the value of the row before and of the row after in the order of the whole table, null at its ends.
+
+    Inside a range by a window; over its borders by one row per range, which knows the first and last value.
+    """
+    ranged = in_ranges(df, [order])
+    ends = ranged.groupBy(PART).agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    parts = W.orderBy(PART)
+    borders = ends.select(PART, F.lag("_last").over(parts).alias("_earlier"), F.lead("_first").over(parts).alias("_later"))
+    inside = W.partitionBy(PART).orderBy(order)
+    joined = ranged.withColumns({"_p": F.lag(value).over(inside), "_q": F.lead(value).over(inside)}).join(borders, PART)
+    return joined.select(*df.columns, F.coalesce("_p", "_earlier").alias(before), F.coalesce("_q", "_later").alias(after))
+
+
 def _or_constant(keys: list[str]) -> list[Column]:
     return [F.col(key) for key in keys] or [F.lit(0)]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import contract as C
+from plumbline.functions.ranks import positions, with_neighbours
 from plumbline.functions.scalars import add_hours, close_to, is_finite
 
 
@@ -19,10 +20,9 @@ def normalize_coordinates(grid: DataFrame) -> DataFrame:
 
 
 def axis_table(grid: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct coordinate values with a dense integer index from 0."""
+    """Sorted distinct coordinate values with a dense integer index from 0; the axis may be as long as a table."""
     values = grid.select(F.col(column).cast("double").alias("value")).distinct()
-    # One row per grid line: the ordering runs over the axis, never over the cells.
-    return values.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("value")) - 1).alias("idx"), "value")
+    return positions(values, ["value"], "idx").select(F.col("idx").cast("int").alias("idx"), "value")
 
 
 def bad_axis_values(axis: DataFrame) -> DataFrame:
@@ -33,10 +33,8 @@ def bad_axis_values(axis: DataFrame) -> DataFrame:
 
 def cell_edges(axis: DataFrame) -> DataFrame:
     """Cell bounds of an axis: midpoints inside, mirrored at both ends; null on a one-point axis."""
-    order = W.partitionBy(F.lit(0)).orderBy("idx")
-    half_down = (F.col("value") - F.lag("value").over(order)) / 2
-    half_up = (F.lead("value").over(order) - F.col("value")) / 2
-    return axis.select(
+    half_down, half_up = (F.col("value") - F.col("_before")) / 2, (F.col("_after") - F.col("value")) / 2
+    return with_neighbours(axis, "idx", "value", "_before", "_after").select(
         "idx",
         "value",
         (F.col("value") - F.coalesce(half_down, half_up)).alias("low"),

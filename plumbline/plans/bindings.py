@@ -142,6 +142,19 @@ def cycles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def clustered_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as boxes in clusters of forty, one cluster per degree: overlaps grow with the parts and not with their square."""
+    part = table(spark, d, "part")
+    at, cluster = F.col("p_partkey") % 40, F.expr("CAST(p_partkey DIV 40 AS BIGINT)")
+    west = F.lit(-175.0) + cluster % 350 + at * 0.02
+    south = F.lit(-75.0) + F.expr("CAST(p_partkey DIV 14000 AS BIGINT)") % 150 + (F.col("p_partkey") * 7 % 40) * 0.02
+    size = F.lit(0.05) + F.col("p_size") / 200
+    boxes = part.select(F.col("p_partkey").alias("region_id"), F.col("p_name").alias("region_name"), west.alias("w"), south.alias("s"), (west + size).alias("e"), (south + size).alias("n"))
+    point = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(point("w", "s"), point("e", "s"), point("e", "n"), point("w", "n"), point("w", "s"))
+    return boxes.select("region_id", "region_name", F.array(F.struct(F.lit(1).alias("sign"), ring.alias("points"))).alias("rings"))
+
+
 def event_field(spark: SparkSession, d: str, lines: int) -> DataFrame:
     """Events as a field: mean value of every 6 h slot and cell of a ``lines`` x ``lines`` grid, the slot's mean where a cell has none."""
     placed = table(spark, d, "events").select(

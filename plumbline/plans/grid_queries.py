@@ -450,6 +450,28 @@ def region_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return found.select("left_id", "right_id", rounded("area_km2", 3))
 
 
+CLUSTERED = """
+boxes AS (
+  SELECT p_partkey AS region_id, -175.0::DOUBLE + (p_partkey // 40) % 350 + p_partkey % 40 * 0.02::DOUBLE AS w,
+         -75.0::DOUBLE + (p_partkey // 14000) % 150 + (p_partkey * 7 % 40) * 0.02::DOUBLE AS s, 0.05::DOUBLE + p_size / 200::DOUBLE AS size FROM part)
+"""
+
+
+@query(
+    f"""WITH {CLUSTERED}, pairs AS (
+      SELECT a.region_id AS left_id, b.region_id AS right_id, greatest(a.w, b.w) AS w, least(a.w + a.size, b.w + b.size) AS e,
+             greatest(a.s, b.s) AS s, least(a.s + a.size, b.s + b.size) AS n
+      FROM boxes a JOIN boxes b ON a.region_id < b.region_id AND a.w < b.w + b.size AND b.w < a.w + a.size
+           AND a.s < b.s + b.size AND b.s < a.s + a.size),
+    areas AS (SELECT left_id, right_id, {_box_area("w", "s", "e", "n")} / 1e6 AS area FROM pairs)
+    SELECT left_id, right_id, round(area, 3) AS area_km2 FROM areas WHERE area > 0.0001"""
+)
+def clustered_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of regions that share area, of clusters spread over the globe: adaptive tiles, output linear in the regions (R-08, J-11)."""
+    found = regions.overlapping_regions(B.clustered_boxes(spark, d), tolerance_km2=1e-4)
+    return found.select("left_id", "right_id", rounded("area_km2", 3))
+
+
 @query(
     """WITH source AS (SELECT s_nationkey * 2 AS region_id, count(*) AS copies, min(s_name) AS actual FROM supplier GROUP BY ALL),
     paired AS (SELECT coalesce(s.region_id, n_nationkey) AS region_id, copies, actual, n_name AS expected

@@ -55,3 +55,26 @@ def test_results_do_not_depend_on_partitioning(spark, skewed, monkeypatch):
         q = ranks.grouped_quantile(ranks.count_table(rows, ["key"], "value"), ["key"], "value", 0.85, "q")
         answers.append(sorted((r.key, r.q) for r in q.collect()))
     assert answers[0] == answers[1]
+
+
+def test_two_levels_of_edges_give_the_same_quantiles(spark, skewed, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 20)
+    rows = spark.createDataFrame(skewed)
+    one = ranks.grouped_quantile(ranks.count_table(rows, ["key"], "value"), ["key"], "value", 0.85, "q").collect()
+    monkeypatch.setattr(ranks, "MOST_EDGES", 8)
+    two = ranks.grouped_quantile(ranks.count_table(rows, ["key"], "value"), ["key"], "value", 0.85, "q").collect()
+    assert sorted(one) == sorted(two)
+
+
+def test_positions_and_neighbours_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    values = np.random.default_rng(1).permutation(5000).astype(float)
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(7)
+    placed = {r.v: r.at for r in ranks.positions(rows, ["v"], "at").collect()}
+    assert placed == {float(i): i for i in range(5000)}
+    near = {r.v: (r.p, r.q) for r in ranks.with_neighbours(rows, "v", "v", "p", "q").collect()}
+    assert near == {float(i): (i - 1.0 if i else None, i + 1.0 if i < 4999 else None) for i in range(5000)}
+    parts = ranks.in_ranges(rows, ["v"]).groupBy(ranks.PART).count()
+    assert parts.count() > 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert ranks.positions(rows.limit(0), ["v"], "at").isEmpty() and ranks.with_neighbours(rows.limit(0), "v", "v", "p", "q").isEmpty()
