@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.ranks import grouped_quantile
-from plumbline.operators import metrics, model
+from plumbline.operators import metrics, model, views
 from plumbline.operators.coordinates import with_split
 from plumbline.operators.model import replay_differences
 from plumbline.plans import bindings as B
@@ -76,16 +76,31 @@ def probability_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.evaluate(B.scored(spark, d)), []).withColumn("one", F.lit(1))
 
 
-@query(_metric_sql("k", _SETS))
-def full_report(spark: SparkSession, d: str) -> DataFrame:
-    """Model and baselines of both held-out splits, overall, by lead and by region, in one pass (M-15, B-04, M-13)."""
+def _report(spark: SparkSession, d: str) -> DataFrame:
     rows = with_split(B.scored(spark, d), F.col("yr"), B.TRAIN, B.VALIDATION, B.TEST_YEARS).filter("split <> 'train'")
     stored = rows.select(
         "split", "bust", "lead_day", "region_id", F.col("p").alias("bust_probability"), F.col("c").alias("climatology_probability"),
         (F.col("l_quantity") / 60).alias("logistic_baseline_probability"),
     )
-    report = model.full_report(stored).withColumn("k", F.concat_ws("|", "split", "source", "slice", "value"))
-    return _rounded(report.drop("split", "source", "slice", "value", "bins"), ["k"])
+    return model.full_report(stored).withColumn("k", F.concat_ws("|", "split", "source", "slice", "value"))
+
+
+@query(_metric_sql("k", _SETS))
+def full_report(spark: SparkSession, d: str) -> DataFrame:
+    """Model and baselines of both held-out splits, overall, by lead and by region, in one pass (M-15, B-04, M-13)."""
+    return _rounded(_report(spark, d).drop("split", "source", "slice", "value", "bins"), ["k"])
+
+
+@query(
+    f"""SELECT 'tree-risk-v1' AS model_version, rows, prevalence, brier_score, brier_skill_score, pr_auc, roc_auc, expected_calibration_error
+    FROM ({_metric_sql("k", _SETS)}) WHERE k = 'test|model|overall|all'"""
+)
+def model_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out metrics of the served model with its version (V-06)."""
+    overall = _report(spark, d).filter(F.col("slice") == "overall")
+    found = views.model_metadata(overall, "test", model_version="tree-risk-v1")
+    names = ["prevalence", "brier_score", "brier_skill_score", "pr_auc", "roc_auc", "expected_calibration_error"]
+    return found.select("model_version", "rows", *[rounded(n) for n in names])
 
 
 @query(_metric_sql("lead_day"))

@@ -263,17 +263,32 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PREDICTIONS}, per AS (SELECT init, lead_day, count(*) AS n FROM predictions GROUP BY ALL)
+    f"""WITH {FULL_RISKS}, per AS (SELECT init, lead_day, count(*) AS n FROM full_risks GROUP BY ALL)
     SELECT 'run-' || strftime(init, '%Y%m%dT%H%M%SZ') AS run_id, string_agg(lead_day, ',' ORDER BY lead_day) AS lead_days,
-           CAST(sum(n) AS BIGINT) AS records, CASE WHEN sum(n) = 6 THEN 'complete' ELSE 'partial' END AS data_status
+           CAST(sum(n) AS BIGINT) AS records, CASE WHEN sum(n) = 250 THEN 'complete' ELSE 'partial' END AS data_status
     FROM per GROUP BY init"""
 )
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs newest first with sorted distinct leads and completeness (V-01, A-09, O-04)."""
-    found = views.runs(B.orders_as_predictions(spark, d), rows_per_cycle=6)
+    """Runs newest first with sorted distinct leads; complete are those with every lead of every nation (V-01, A-09, O-04)."""
+    found = views.runs(B.full_risk_rows(spark, d), rows_per_cycle=250)
     return found.select("run_id", F.array_join("available_lead_days", ",").alias("lead_days"), "records", "data_status")
 
 
+@query(
+    f"""WITH {FULL_RISKS}, named AS (
+      SELECT *, 'tree-risk-v1__' || strftime(init, '%Y%m%dT%H%M%SZ') || '__' || region_id || '__d' || printf('%02d', lead_day) AS prediction_id
+      FROM full_risks)
+    SELECT prediction_id, strftime(init, '%Y-%m-%d %H:%M:%S') AS init_time, lead_day, region_id, p AS bust_probability
+    FROM named WHERE prediction_id = (SELECT max(prediction_id) FROM named)"""
+)
+def explanation_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The row of one prediction key, here the last one (V-04)."""
+    named = views.with_identity(B.full_risk_rows(spark, d), "tree-risk-v1")
+    last = named.agg(F.max("prediction_id")).first()[0]
+    found = views.find_explanation(named, last or "")
+    return found.select("prediction_id", day(TIME, "init_time"), "lead_day", "region_id", "bust_probability")
+
+
 @query(
     f"""WITH {FULL_RISKS}, complete AS (SELECT init, lead_day FROM full_risks GROUP BY ALL HAVING count(*) = 25)
     SELECT 'run-' || strftime(init, '%Y%m%dT%H%M%SZ') AS run_id, lead_day, region_id, p AS bust_probability,

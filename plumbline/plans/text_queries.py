@@ -126,6 +126,58 @@ def question_checks(spark: SparkSession, d: str) -> DataFrame:
     return broken.select("conv_id", "turn", kind.alias("violation"))
 
 
+@query(
+    """SELECT o_orderkey,
+      'lead_day,' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'run_to_run_mslp_drift_pa,' END || 'precip24_mean_mm' AS approved,
+      CASE WHEN o_orderkey % 3 <> 0 THEN round(o_totalprice / 100, 4) END AS drift,
+      CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate - INTERVAL 365 DAYS, '%Y-%m-%d') || ':' || (o_orderkey % 4 = 0) ELSE '' END AS analogs,
+      'distance,historical_bust,initialization_time,lead_day,valid_time' AS analog_fields,
+      'display_name,feature_name,shap_value' AS driver_fields, 'feature_contract,forecast_source' AS provenance,
+      'bust_probability,forecast_reliability' || CASE WHEN o_orderkey % 4 <> 0 THEN ',top_positive_shap_drivers' ELSE '' END
+      || CASE WHEN o_orderkey % 5 <> 0 THEN ',top_negative_shap_drivers' ELSE '' END
+      || CASE WHEN o_orderkey % 2 = 0 THEN ',historical_analog_summaries' ELSE '' END
+      || CASE WHEN o_orderkey % 3 <> 0 THEN ',run_to_run_drift' ELSE '' END AS sources FROM orders"""
+)
+def quotable_context(spark: SparkSession, d: str) -> DataFrame:
+    """The whole projection a narrative may use: approved values, drift, analogs, drivers, provenance, sources (N-04, N-06)."""
+    k, price, start = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderdate")
+    value = lambda name, column: F.struct(F.lit(name).alias("feature_name"), column.cast("double").alias("value"))
+    driver = F.struct(
+        F.lit("u10_mean_mps").alias("feature_name"), F.lit("Wind").alias("display_name"), (price / 10).alias("shap_value"), F.lit("raises").alias("interpretation")
+    )
+    analog = F.struct(
+        (start - F.expr("INTERVAL 365 DAYS")).alias("initialization_time"), (start - F.expr("INTERVAL 360 DAYS")).alias("valid_time"),
+        F.lit(5).alias("lead_day"), (price / 7).alias("distance"), (k % 4 == 0).cast("int").alias("bust"), price.alias("severity"),
+    )
+    some = lambda test, item: F.filter(F.array(item), lambda _: test)
+    values = F.array(
+        value("lead_day", k % 10 + 1), value("season_sin", price), value("run_to_run_mslp_drift_pa", price / 100), value("precip24_mean_mm", price / 9)
+    )
+    rows = B.table(spark, d, "orders").select(
+        "o_orderkey",
+        (price / 500000).alias("bust_probability"),
+        F.filter(values, lambda v: (k % 3 != 0) | (v["feature_name"] != "run_to_run_mslp_drift_pa")).alias("feature_values"),
+        some(k % 4 != 0, driver).alias("top_positive_drivers"),
+        some(k % 5 != 0, driver).alias("top_negative_drivers"),
+        some(k % 2 == 0, analog).alias("historical_analogs"),
+        F.create_map(*[F.lit(t) for t in ("feature_contract", "f", "forecast_source", "s", "internal_path", "p")]).alias("provenance"),
+        *[F.lit(0.0).alias(c) for c in ("raw_model_output", "base_value", "additive")],
+    )
+    context = narrative.narrative_context(rows)
+    fields = lambda column: F.lit(",".join(sorted(context.schema[column].dataType.elementType.names)))
+    told = F.transform("historical_analogs", lambda a: F.concat(F.date_format(a["initialization_time"], "yyyy-MM-dd"), F.lit(":"), a["historical_bust"].cast("string")))
+    return context.select(
+        "o_orderkey",
+        F.array_join(F.transform("approved_feature_values", lambda v: v["feature_name"]), ",").alias("approved"),
+        F.round("run_to_run_drift.value", 4).alias("drift"),
+        F.array_join(told, ",").alias("analogs"),
+        fields("historical_analogs").alias("analog_fields"),
+        fields("top_positive_drivers").alias("driver_fields"),
+        F.array_join(F.array_sort(F.map_keys("provenance")), ",").alias("provenance"),
+        F.array_join(narrative.grounding_sources(narrative.evidence_presence()), ",").alias("sources"),
+    )
+
+
 @query()
 def narrative_context(spark: SparkSession, d: str) -> DataFrame:
     """Explanations restricted to what a narrative may use, with its sources and summary (N-04)."""
