@@ -147,10 +147,10 @@ def bust_labels(spark: SparkSession, d: str) -> DataFrame:
     return B.labelled(spark, d).select("l_orderkey", "region_id", "lead_day", "yr", F.col("bust").cast("int").alias("bust"))
 
 
-@query(
-    f"WITH {LABELLED} SELECT yr AS year, count(*) AS rows, round(avg(bust), 6) AS bust_prevalence "
-    "FROM labelled GROUP BY yr"
-)
+PREVALENCE = f"WITH {LABELLED} SELECT yr AS year, count(*) AS rows, round(avg(bust), 6) AS bust_prevalence FROM labelled GROUP BY yr"
+
+
+@query(PREVALENCE)
 def prevalence_by_year(spark: SparkSession, d: str) -> DataFrame:
     """Rows and label rate per year (A-06), from a fit on the training years."""
     table = labels.prevalence(B.labelled(spark, d), F.col("yr"))

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ["label_queries", "metric_queries", "grid_queries", "table_queries", "risk_queries", "text_queries", "derive_queries"]
+_MODULES = ["label_queries", "metric_queries", "grid_queries", "table_queries", "risk_queries", "text_queries", "derive_queries", "job_queries"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
