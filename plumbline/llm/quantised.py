@@ -35,6 +35,8 @@ SUBSPACES, CODES = 8, 256
 RECALL = 0.995
 #: Rows of a list chunk and of a query chunk; queries compared at once.
 LIST_CHUNK, QUERY_CHUNK, AT_ONCE = 2048, 8192, 512
+#: Numbers in a table of distances, and pairs compared exactly, at once: what bounds the memory of the fit and of a task.
+CELLS, PAIRS = 1 << 21, 1 << 17
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -48,20 +50,36 @@ def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
 
 
+def row_blocks(rows: int, width: int) -> Iterator[slice]:
+    """Slices of the rows whose tables of ``width`` columns stay small."""
+    step = max(1, CELLS // max(1, width))
+    for at in range(0, rows, step):
+        yield slice(at, at + step)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of every row and its squared distance."""
+    home, least = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+    for block in row_blocks(len(x), len(centres)):
+        distance = squared(x[block], centres)
+        home[block] = distance.argmin(axis=1)
+        least[block] = distance[np.arange(len(distance)), home[block]]
+    return home, least
+
+
 def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """Lloyd's algorithm from distinct rows; empty clusters take the rows that are worst served."""
     random = np.random.default_rng(seed)
     centres = x[random.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        distance = squared(x, centres)
-        home = distance.argmin(axis=1)
+        home, least = nearest(x, centres)
         counts = np.bincount(home, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, home, x)
         full = counts > 0
         centres[full] = sums[full] / counts[full, None]
         if not full.all():
-            worst = np.argsort(-distance[np.arange(len(x)), home], kind="stable")[: (~full).sum()]
+            worst = np.argsort(-least, kind="stable")[: (~full).sum()]
             centres[~full] = x[worst]
     return centres
 
@@ -80,7 +98,7 @@ class Index:
     def fit(sample: np.ndarray, lists: int, cosine: float) -> Index:
         dim = sample.shape[1]
         coarse = k_means(sample, lists, 11)
-        residual = sample - coarse[squared(sample, coarse).argmin(axis=1)]
+        residual = sample - coarse[nearest(sample, coarse)[0]]
         edges = np.linspace(0, dim, min(SUBSPACES, dim) + 1).round().astype(int)
         parts = [slice(a, b) for a, b in zip(edges, edges[1:])]
         index = Index(coarse, [k_means(residual[:, p], CODES, 12) for p in parts], parts)
@@ -95,21 +113,26 @@ class Index:
         side -= (side * x).sum(axis=1, keepdims=True) * x
         side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
         y = cosine * x + np.sqrt(1 - cosine**2) * side
-        from_x, from_y = squared(x, self.coarse), squared(y, self.coarse)
-        rows = np.arange(len(x))
-        rank_y = (from_x < from_x[rows, from_y.argmin(axis=1)][:, None]).sum(axis=1)
-        rank_x = (from_y < from_y[rows, from_x.argmin(axis=1)][:, None]).sum(axis=1)
-        met = np.sort(np.minimum(rank_x, rank_y))
+        met = np.zeros(len(x), dtype=np.int64)
+        for block in row_blocks(len(x), len(self.coarse)):
+            from_x, from_y = squared(x[block], self.coarse), squared(y[block], self.coarse)
+            rows = np.arange(len(from_x))
+            rank_y = (from_x < from_x[rows, from_y.argmin(axis=1)][:, None]).sum(axis=1)
+            rank_x = (from_y < from_y[rows, from_x.argmin(axis=1)][:, None]).sum(axis=1)
+            met[block] = np.minimum(rank_x, rank_y)
+        met.sort()
         self.probes = min(len(self.coarse), int(met[int(np.ceil(RECALL * len(met))) - 1]) + 1)
         self.recall = float((met < self.probes).mean())
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probed lists (nearest first), residual codes, and distance of each vector from its decoded code."""
-        distance = squared(x, self.coarse)
-        near = np.argpartition(distance, self.probes - 1, axis=1)[:, : self.probes]
-        near = np.take_along_axis(near, np.take_along_axis(distance, near, 1).argsort(axis=1, kind="stable"), 1)
+        near = np.zeros((len(x), self.probes), dtype=np.int64)
+        for block in row_blocks(len(x), len(self.coarse)):
+            distance = squared(x[block], self.coarse)
+            some = np.argpartition(distance, self.probes - 1, axis=1)[:, : self.probes]
+            near[block] = np.take_along_axis(some, np.take_along_axis(distance, some, 1).argsort(axis=1, kind="stable"), 1)
         residual = x - self.coarse[near[:, 0]]
-        codes = np.stack([squared(residual[:, p], b).argmin(axis=1) for p, b in zip(self.parts, self.books)], axis=1)
+        codes = np.stack([nearest(residual[:, p], b)[0] for p, b in zip(self.parts, self.books)], axis=1)
         decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
         return near, codes.astype(np.uint8), np.linalg.norm(residual - decoded, axis=1)
 
@@ -143,10 +166,10 @@ def link_unit(index: Index, cell: int, lists: pd.DataFrame, queries: pd.DataFram
         row, col = np.nonzero(index.bounds(x[block], cell, codes) <= slack)
         if not len(row):
             continue
-        if len(row) > 0.05 * len(y) * AT_ONCE:
-            near = (x[block] @ y.T)[row, col] >= cosine
-        else:
-            near = np.einsum("ij,ij->i", x[block][row], y[col]) >= cosine
+        # One way to sum, so that a pair at the very limit does not depend on its block.
+        here = x[block]
+        cuts = range(0, len(row), PAIRS)
+        near = np.concatenate([np.einsum("ij,ij->i", here[row[a : a + PAIRS]], y[col[a : a + PAIRS]]) for a in cuts]) >= cosine
         row, col = row[near] + at, col[near]
         # A pair of one list is met twice, a pair of two lists twice if either probes the other's: one of both counts.
         home = homes[row]

@@ -71,3 +71,16 @@ def test_odd_vectors(spark):
     assert alone == {3, 4, 5, 6, 7, 8, 9, 10, None}
     assert sorted((n, c) for i, n, c in found if i in (1, 2, 11, 12)) == [(5, 1)] * 5
     assert Z.near_vectors(frame.filter("vec_id < 0")).count() == 0
+
+
+def test_small_tables_of_distances_change_nothing(monkeypatch):
+    from plumbline.llm import quantised as Q
+
+    rng = np.random.default_rng(4)
+    x = Q.unit_rows(rng.normal(size=(700, 16)))
+    whole = Q.Index.fit(x, 16, 0.9)
+    monkeypatch.setattr(Q, "CELLS", 64)
+    small = Q.Index.fit(x, 16, 0.9)
+    assert np.allclose(whole.coarse, small.coarse) and whole.probes == small.probes
+    for a, b in zip(whole.encode(x), small.encode(x)):
+        assert np.allclose(a, b)
