@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import contract as C
 from plumbline.functions.scalars import is_finite
+from plumbline.operators import coordinates
 
 
 def late_sources(rows: DataFrame, source: str = "feature_source_time", init: str = "forecast_initialization_time") -> DataFrame:
@@ -43,20 +44,52 @@ def non_finite_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def coverage_violations(
-    grid: DataFrame, leads: list[int], levels: list[int], first: str, last: str, members: int | None = None
+    grid: DataFrame,
+    leads: list[int],
+    levels: list[int],
+    first: str,
+    last: str,
+    members: int | None = None,
+    mean_source: bool = False,
+    months: list[int] | None = None,
+    domain: bool = False,
 ) -> DataFrame:
-    """Missing leads, missing levels, short time coverage and a wrong member count of a forecast table."""
+    """Missing leads, missing levels, short time coverage and a wrong member count of a forecast table.
+
+    With ``mean_source`` a source of ensemble means must not carry members; with ``months`` some start must lie in these months; with
+    ``domain`` some point must lie in the domain. All of them come from one aggregate. A table without one of its dimensions has that violation alone.
+    """
     spark = grid.sparkSession
+    dimensions = ["init_time", "lead_hours", "level_hpa", *(["number"] if members is not None else []), *(["latitude", "longitude"] if domain else [])]
+    missing = [(f"missing dimension {name}",) for name in dimensions if name not in grid.columns]
+    if missing:
+        return spark.createDataFrame(missing, "violation string")
+    if "number" not in grid.columns:
+        grid = grid.withColumn("number", F.lit(None).cast("int"))
 
     def absent(column: str, wanted: list[int]) -> DataFrame:
         required = spark.createDataFrame([(v,) for v in wanted], f"{column} int")
         gone = required.join(grid.select(column).distinct(), column, "left_anti")
         return gone.select(F.concat_ws(" ", F.lit(f"missing {column}"), F.col(column).cast("string")).alias("violation"))
 
-    span = grid.agg(F.min("init_time").alias("a"), F.max("init_time").alias("b"), F.countDistinct("number").alias("m"))
+    inside = coordinates.in_domain() if domain else F.lit(True)
+    span = grid.agg(
+        F.min("init_time").alias("a"),
+        F.max("init_time").alias("b"),
+        F.countDistinct("number").alias("m"),
+        F.count_if(F.month("init_time").isin(months) if months else F.lit(True)).alias("in_months"),
+        F.count_if(inside).alias("in_domain"),
+    )
     short = (F.col("a") > F.lit(first).cast("timestamp_ntz")) | (F.col("b") < F.lit(last).cast("timestamp_ntz"))
     found = absent("lead_hours", leads).unionByName(absent("level_hpa", levels))
     found = found.unionByName(span.filter(F.coalesce(short, F.lit(True))).select(F.lit("short coverage").alias("violation")))
+    tests = {
+        "empty months": (F.col("in_months") == 0) if months else F.lit(False),
+        "empty domain": (F.col("in_domain") == 0) if domain else F.lit(False),
+        "members in a mean source": (F.col("m") > 0) if mean_source else F.lit(False),
+    }
+    broken = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]), lambda v: v.isNotNull())
+    found = found.unionByName(span.select(F.explode(broken).alias("violation")))
     if members is not None:
         found = found.unionByName(
             span.filter(F.col("m") != members).select(F.concat(F.lit("members "), F.col("m").cast("string")).alias("violation"))

@@ -49,8 +49,11 @@ class Sources:
         return self.regions * C.LEAD_DAYS
 
 
-def check_sources(sources: Sources, units: dict[str, DataFrame], first: str, last: str) -> DataFrame:
-    """Source contract report: unit and coverage violations of the landing tables."""
+def check_sources(sources: Sources, units: dict[str, DataFrame], first: str, last: str, members: int | None = None) -> DataFrame:
+    """Source contract report: unit and coverage violations of the landing tables.
+
+    Without ``members`` the forecast is a table of ensemble means and must not hold any.
+    """
     found = [
         quality.unit_violations(units["forecast"], C.FORECAST_UNITS).select(
             F.concat_ws(" ", F.lit("forecast"), "variable", "problem").alias("violation")
@@ -58,7 +61,9 @@ def check_sources(sources: Sources, units: dict[str, DataFrame], first: str, las
         quality.unit_violations(units["analysis"], C.ANALYSIS_UNITS).select(
             F.concat_ws(" ", F.lit("analysis"), "variable", "problem").alias("violation")
         ),
-        quality.coverage_violations(sources.forecast, C.LEAD_HOURS, C.PRESSURE_LEVELS, first, last),
+        quality.coverage_violations(
+            sources.forecast, C.LEAD_HOURS, C.PRESSURE_LEVELS, first, last, members, members is None, C.SEASON_MONTHS, True
+        ),
     ]
     return found[0].unionByName(found[1]).unionByName(found[2])
 

@@ -465,6 +465,20 @@ def non_finite_counts(spark: SparkSession, d: str) -> DataFrame:
     return quality.non_finite_counts(rows, ["l_quantity", "ratio", "gap"])
 
 
+@query(
+    """WITH slots AS (SELECT date_trunc('day', ts) + to_hours((hour(ts) // 12) * 12) AS t, user_id FROM events)
+    SELECT 'short coverage' AS violation FROM slots HAVING min(t) > TIMESTAMP '2024-01-05' OR max(t) < TIMESTAMP '2024-12-31'
+    UNION ALL SELECT 'empty months' FROM slots HAVING count(*) FILTER (month(t) IN (6, 7, 8, 9)) = 0
+    UNION ALL SELECT 'empty domain' FROM slots HAVING count(*) FILTER (user_id % 3 + 3 BETWEEN 6 AND 38) = 0
+    UNION ALL SELECT 'members in a mean source' FROM slots HAVING count(DISTINCT user_id % 7) > 0"""
+)
+def source_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage, months, domain and members of a source of means, from one aggregate (Q-05, B-07)."""
+    latitude, longitude = (F.col("user_id") % 3 + 3).cast("double"), F.lit(70.0)
+    rows = B.cycles(spark, d).withColumns({"level_hpa": F.lit(500), "number": (F.col("user_id") % 7).cast("int"), "latitude": latitude, "longitude": longitude})
+    return quality.coverage_violations(rows, [24], [500], "2024-01-05", "2024-12-31", mean_source=True, months=[6, 7, 8, 9], domain=True)
+
+
 @query(
     """SELECT 'missing lead_hours ' || w.h AS violation FROM (VALUES (24), (48), (72), (96)) w(h)
     WHERE w.h NOT IN (SELECT 24 * (user_id % 3 + 1) FROM events)

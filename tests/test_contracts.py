@@ -160,3 +160,17 @@ def test_manifest_status(spark):
     assert (row.missing, row.unexpected, row.status) == (1, 1, "incomplete")
     full = manifests.corpus_summary(wanted, wanted.withColumn("rows", F.lit(360)), "k", 360).first()
     assert full.status == "complete" and manifests.manifest_total_matches(have, 720)
+
+
+def test_source_coverage_of_means_and_members(spark):
+    rows = [(datetime(2020, 6, 1), 24, 500, None, 9.0, 70.0), (datetime(2020, 7, 1), 24, 850, None, 9.0, 70.0)]
+    names = "init_time timestamp_ntz, lead_hours int, level_hpa int, number int, latitude double, longitude double"
+    grid = spark.createDataFrame(rows, names)
+    check = lambda df, **more: sorted(r.violation for r in quality.coverage_violations(df, [24], [500, 850], "2020-06-01", "2020-07-01", **more).collect())
+    assert check(grid, mean_source=True, months=[6], domain=True) == []
+    assert check(grid.withColumn("number", F.lit(3)), mean_source=True) == ["members in a mean source"]
+    assert check(grid.withColumn("latitude", F.lit(80.0)), months=[1], domain=True) == ["empty domain", "empty months"]
+    assert check(grid.drop("level_hpa", "latitude"), domain=True) == ["missing dimension latitude", "missing dimension level_hpa"]
+    assert check(grid.drop("number"), mean_source=True) == []
+    assert check(grid, members=50) == ["members 0"]
+    assert "short coverage" in check(grid.limit(0), domain=True)
