@@ -1,11 +1,11 @@
 """Merkle manifest of documents: per-source trees of runs of 16 below one tree of the sources, with bitmap ranks.
 
 1. Leaves. A document's leaf is the SHA-256 of its fields; only ids and digests go on. Equal rows become one with a count.
-2. Bitmaps. Every batch turns its ids into one compressed bitmap per (source, id >> 16): a sorted list of 16-bit numbers
-   or, where that is longer, 65,536 bits. The bitmaps of a group are merged (OR) in ranges of (source, id >> 16), and every
+2. Bitmaps. Every batch turns its ids into one compressed bitmap per (source, id >> 12): a sorted list of 16-bit numbers
+   or, where that is longer, 4,096 bits. The bitmaps of a group are merged (OR) in ranges of (source, id >> 12), and every
    merged one gets the number of ids before it: the directory.
 3. Ranks. A leaf's position in its source is the directory's number plus the population count below its bit. Leaves only
-   meet their bitmap (at most 65,536 ids a group, whatever the source's size) and are never sorted by id.
+   meet their bitmap (at most 4,096 ids a group, whatever the source's size) and are never sorted by id.
 4. Levels. Position 16 i + s is slot s of node i: one grouping by (source, node) fills arrays of at most 16 slots, their
    hash is the node above. The number of levels is the logarithm of the largest source; every level is written.
 5. Paths. From the root down every node takes its parent's path and puts its own run before it. A document's path
@@ -29,7 +29,8 @@ from plumbline.llm.texts import batch_of
 from plumbline.session import written
 
 RUN_BITS = 4
-CHUNK_BITS = 16
+#: Ids of a group: about what a task handles at once, so that a source is dealt over many tasks.
+CHUNK_BITS = 12
 CHUNK = 1 << CHUNK_BITS
 
 #: Fields of a leaf, in their order.
@@ -63,7 +64,7 @@ def node(run: Column) -> Column:
 
 
 def pack_ids(low: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes, int]:
-    """Bitmap of sorted distinct 16-bit numbers, what repeated ones have beyond one, and the sum of the counts."""
+    """Bitmap of sorted distinct numbers of a group, what repeated ones have beyond one, and the sum of the counts."""
     bits = low.astype("<u2").tobytes()
     if len(bits) >= CHUNK // 8:
         full = np.zeros(CHUNK, bool)
