@@ -204,7 +204,7 @@ def weather(spark: SparkSession, d: str, root: str) -> tuple[DataFrame, DataFram
     runs = event_field(spark, d, 5).filter(F.hour("t").isin(0, 12))
     runs = runs.select(F.col("t").alias("init_time"), *place, "v", each(leads).alias("lead_hours")).select("*", each([0, 1]).alias("number"))
     runs = runs.select("init_time", "lead_hours", "number", "latitude", "longitude", F.inline(F.array(*forecast)))
-    runs = runs.withColumn("value", F.col("value") * (1 + F.col("number") * 0.01))
+    runs = runs.withColumn("value", F.col("value") * (1 + F.col("number") * 0.0131071))
     truth = event_field(spark, d, 6).select(F.col("t").alias("valid_time"), *between, F.inline(F.array(*analysis)))
     write_landing(runs, f"{root}/forecast", "init_time")
     write_landing(truth, f"{root}/analysis", "valid_time")

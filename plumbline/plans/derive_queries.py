@@ -30,9 +30,9 @@ WITH slots AS (SELECT date_trunc('day', ts) + to_hours((hour(ts) // 6) * 6) AS t
 bounds AS (SELECT min(t) + INTERVAL 12 HOURS AS low, max(t) - INTERVAL 72 HOURS AS high FROM slots),
 runs AS (
   SELECT f.t AS init, lead, f.i, f.j, radians(6 + 1.5::DOUBLE * f.i) AS y, radians(68 + 1.5::DOUBLE * f.j) AS x, f.t + to_hours(lead) AS valid,
-         1.005 * (100000 + 10 * f.v + lead) AS mslp, 1.005 * (280 + f.v / 10) AS t2m, 1.005 * (f.v / 7 - 3) AS u10,
-         1.005 * (f.v / 9 + lead / 24) AS v10, 1.005 * f.v / 5 AS u850, 1.005 * (f.v / 6 - lead / 12) AS v850,
-         1.005 * (40000 + 10 * f.v) / 9.80665 AS thickness, 1.005 * f.v / 10 AS precip, 1.005 * (100000 + 10 * p.v + lead + 12) AS earlier
+         1.00655355::DOUBLE * (100000 + 10 * f.v + lead) AS mslp, 1.00655355::DOUBLE * (280 + f.v / 10) AS t2m, 1.00655355::DOUBLE * (f.v / 7 - 3) AS u10,
+         1.00655355::DOUBLE * (f.v / 9 + lead / 24) AS v10, 1.00655355::DOUBLE * f.v / 5 AS u850, 1.00655355::DOUBLE * (f.v / 6 - lead / 12) AS v850,
+         1.00655355::DOUBLE * (40000 + 10 * f.v) / 9.80665 AS thickness, 1.00655355::DOUBLE * f.v / 10 AS precip, 1.00655355::DOUBLE * (100000 + 10 * p.v + lead + 12) AS earlier
   FROM field5 f JOIN bounds ON f.t BETWEEN low AND high JOIN (VALUES (24), (48), (72)) l(lead) ON true
   LEFT JOIN field5 p ON p.t = f.t - INTERVAL 12 HOURS AND p.i = f.i AND p.j = f.j
   WHERE hour(f.t) IN (0, 12)),
