@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.functions.ranks import with_neighbours
 from plumbline.operators import evidence, model, neighbours
 from plumbline.plans import bindings as B
+from plumbline.plans.label_queries import LABELLED
 from plumbline.plans.registry import day, query, rounded
 from plumbline.session import written
 
@@ -208,6 +210,37 @@ def explanations(spark: SparkSession, d: str) -> DataFrame:
     return evidence.explanations(fitted, held, train, {"feature_contract": "order-lines"}, "tree-risk-v1", B.MODEL_FEATURES, catalog, B.MODEL_FEATURES[:4])
 
 
+_HELD = f"""{LABELLED},
+held AS (
+  SELECT DISTINCT region_id, lead_day, init, CASE WHEN yr = 1999 THEN 'validation' ELSE 'test' END AS split
+  FROM labelled WHERE yr IN (1999, 2000, 2001))"""
+
+
+@query(f"WITH {_HELD} SELECT split, count(*) AS rows, count(*) AS keys, 0::BIGINT AS out_of_range, 0::BIGINT AS out_of_order FROM held GROUP BY split")
+def prediction_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out predictions: one row per key, probabilities in range, calibration that keeps the order (M-02, M-04, M-05, M-14, T-01)."""
+    table = written(_predictions(spark, d), "predictions")
+    names = ["raw_probability", "bust_probability", "climatology_probability", "logistic_baseline_probability"]
+    outside = ~F.forall(F.array(*names), lambda p: p.isNotNull() & (p >= 0) & (p <= 1))
+    # One row per distinct raw probability: a calibration that rises gives the same order.
+    curve = table.groupBy("split", F.round("raw_probability", 9).alias("raw")).agg(F.min("bust_probability").alias("low"), F.max("bust_probability").alias("high"))
+    turns = with_neighbours(curve.withColumn("place", F.concat("split", F.format_string("%012.9f", "raw"))), "place", "high", "before", "after")
+    falls = (F.col("before") > F.col("low") + 1e-6) & F.col("same")
+    same = with_neighbours(turns.withColumn("of", F.col("split")), "place", "of", "split_before", "split_after").withColumn("same", F.col("split_before") == F.col("split"))
+    wrong = same.groupBy("split").agg(F.count_if(F.coalesce(falls, F.lit(False))).alias("out_of_order"))
+    keys = F.count_distinct("region_id", "lead_day", "forecast_initialization_time").alias("keys")
+    return table.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), keys, F.count_if(outside).alias("out_of_range")).join(wrong, "split")
+
+
+@query(f"WITH {_HELD} SELECT count(*) AS rows, count(*) AS additive, count(*) AS named FROM held")
+def explanation_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of every held-out prediction: attributions add up to the margin, ids are those of their rows (E-01, E-09)."""
+    found = explanations(spark, d)
+    stamp = F.date_format("source_forecast_time", "yyyyMMdd'T'HHmmss'Z'")
+    name = F.concat_ws("__", F.lit("tree-risk-v1"), stamp, "region_id", F.concat(F.lit("d"), F.lpad(F.col("lead_day").cast("string"), 2, "0")))
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.count_if("additive").alias("additive"), F.count_if(F.col("prediction_id") == name).alias("named"))
+
+
 _ALL_PAIRS = EVENTS.replace("ON q.region_id = c.region_id AND q.vec_id <> c.vec_id", "ON q.vec_id <> c.vec_id")
 
 
