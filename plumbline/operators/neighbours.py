@@ -1,26 +1,34 @@
 """Exact nearest historical analogs as blocked joins over a pivot table.
 
 Every candidate knows its distances to a few pivots, rows of a bounded sample that lie far apart. Candidates of a group are cut
-into blocks of bounded size, ordered by their nearest pivot and the distance to it; a block's directory row has the least and
-largest distance of its rows to every pivot. By the triangle inequality the distance of a query to a block is at least the
-largest gap between its own pivot distances and the block's ranges. A query first visits the block with the smallest bound, which
-limits its k-th distance, and then only blocks whose bound does not exceed it. Pairs of rows never leave a task:
-each visit returns the k best of one block. Large groups and crowded blocks are split further on both
-sides, so no task depends on the size of a group. The result does not depend on the pivots.
+into blocks of bounded size, ordered by their nearest pivot and the distance to it. By the triangle inequality the distance of a
+query to a block is at least the largest gap between its own pivot distances and the ranges of the block's. Blocks in a row make
+a shelf, queries with the same home shelf a chunk. A chunk first visits its home shelf, which limits the k-th distance of its
+queries; then every query visits the shelves whose bound does not exceed that. Inside a task the blocks' bounds leave out what is
+too far, a product of matrices tells which pairs may count, and these are measured exactly. Vectors are sent once per
+shelf (or chunk) they meet, not once per block; pairs of rows never leave a task: each visit returns the k best of one shelf. Large
+groups and crowded blocks are split further on both sides, so no task depends on the size of a group. The result does not
+depend on the pivots. Vectors with null or non-finite components are at no distance: they find nothing and are not found.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline import contract as C
 from plumbline.functions.ranks import BUCKET, bucket_count, edges_of, with_bucket
+from plumbline.functions.scalars import is_finite
 from plumbline.session import written
 
 BLOCK_ROWS = 2048
-QUERY_ROWS = 1024
+#: Candidates of a shelf and queries of a chunk at most (a shelf may hold twice as many); small tables are cut into SHELVES.
+SHELF_ROWS, QUERY_ROWS, SHELVES, LEAST_ROWS = 1 << 14, 1 << 14, 6, 1024
+#: Queries and candidates compared by one product of matrices, and pairs of a query measured one by one.
+TILE, PAIRS = 1024, 64
 DISTANCE_DECIMALS = 12
 #: Pivots, and the rows they are chosen from: the only rows that reach the driver.
 PIVOTS, PIVOT_SAMPLE = 16, 1024
@@ -82,89 +90,176 @@ def _gap(directory_low: str = "lo", directory_high: str = "hi") -> Column:
     return F.greatest(F.lit(0.0), F.coalesce(F.array_max(below), F.lit(0.0)), F.coalesce(F.array_max(above), F.lit(0.0)))
 
 
-def _blocks(candidates: DataFrame, group: list[str], block_rows: int, pivots: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Candidates with their block and part, and the directory: one row per group and block."""
-    buckets = bucket_count(candidates.count())
+def _placed(rows: DataFrame) -> DataFrame:
+    """Add the nearest pivot (``_cell``) and the distance to it (``_r``)."""
     near = F.coalesce(F.array_min("_d"), F.lit(0.0))
-    placed = _with_pivots(candidates, pivots).withColumn("_r", near).withColumn("_cell", F.array_position("_d", F.col("_r")).cast("int"))
-    placed = written(placed, "analog-pivots")
+    return rows.withColumn("_r", near).withColumn("_cell", F.coalesce(F.array_position("_d", F.col("_r")), F.lit(0)).cast("int"))
+
+
+def _ranges(rows: DataFrame, keys: list[str], pivots: np.ndarray) -> DataFrame:
+    """Least and largest distance to every pivot."""
+    ends = lambda end: F.array(*[end(F.col("_d")[i]) for i in range(len(pivots))]).cast("array<double>")
+    return rows.groupBy(*keys).agg(ends(F.min).alias("lo"), ends(F.max).alias("hi"))
+
+
+def _blocks(placed: DataFrame, group: list[str], block_rows: int, edges: Column, buckets: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their block, its number of parts, their shelf, its number of parts and their part of it; and where units stand."""
     # Written once: read by the uses below, and the bucket is a stored column before it is a join key.
-    marked = written(with_bucket(placed, "_r", edges_of(placed, "_r", buckets), buckets), "analog-buckets")
+    marked = written(with_bucket(placed, "_r", edges, buckets), "analog-buckets")
+    shelf_rows = min(SHELF_ROWS, max(LEAST_ROWS, -(-rows // SHELVES)))
     sizes = marked.groupBy(*group, "_cell", BUCKET).agg(F.count(F.lit(1)).alias("n"))
     order = W.partitionBy(*group).orderBy("_cell", BUCKET)
     before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cut = written(sizes.withColumn("block", F.floor(before / block_rows).cast("int")), "analog-sizes")
-    parts = cut.groupBy(*group, "block").agg(F.ceil(F.sum("n") / (2.0 * block_rows)).cast("int").alias("parts"))
-    where = cut.select(*group, "_cell", BUCKET, "block").join(parts, [*group, "block"])
-    located = (
-        marked.join(written(where, "analog-where"), [*group, "_cell", BUCKET])
-        .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-        .drop("_cell", BUCKET, "_r")
+    cut = sizes.withColumn("_before", before).withColumn("block", F.floor(F.col("_before") / block_rows).cast("int"))
+    of = lambda *keys: W.partitionBy(*group, *keys)
+    cut = cut.withColumns(
+        {
+            "parts": F.ceil(F.sum("n").over(of("block")) / (2.0 * block_rows)).cast("int"),
+            "shelf": F.floor(F.min("_before").over(of("block")) / shelf_rows).cast("int"),
+        }
     )
-    located = written(located, "analog-located")
-    ends = lambda end: F.array(*[end(F.col("_d")[i]) for i in range(len(pivots))]).cast("array<double>")
-    directory = located.groupBy(*group, "block", "parts").agg(ends(F.min).alias("lo"), ends(F.max).alias("hi"))
-    return located.drop("parts", "_d"), written(directory, "analog-directory")
-
-
-def _top_of_block(k: int, other_lead: bool):
-    """Task function: the k best candidates of one block for each query, ties by (init, lead)."""
+    cut = cut.withColumn("shelf_parts", F.ceil(F.sum("n").over(of("shelf")) / (2.0 * shelf_rows)).cast("int"))
+    where = written(cut.drop("n", "_before"), "analog-where")
+    located = marked.join(where, [*group, "_cell", BUCKET]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("shelf_parts")).cast("int"))
+    return located, where
+
+
+def _with_home(queries: DataFrame, where: DataFrame, shelves: DataFrame, group: list[str]) -> DataFrame:
+    """Queries with their home (shelf, part) and the chunk of it: the shelf where they would stand, else one of least bound."""
+    unit = [*group, "_cell", BUCKET]
+    stand = queries.join(where.select(*unit, "shelf", "shelf_parts"), unit, "left").drop("_cell", BUCKET)
+    astray = stand.filter(F.col("shelf").isNull()).drop("shelf", "shelf_parts")
+    if not astray.isEmpty():
+        # The middle nearest to the query decides between equal bounds.
+        middles = F.zip_with("lo", "hi", lambda low, high: (low + high) / 2)
+        aside = F.coalesce(F.array_max(F.zip_with("_d", middles, lambda d, m: F.abs(d - m))), F.lit(0.0))
+        least = F.min(F.struct(_gap().alias("gap"), aside.alias("aside"), "shelf", "shelf_parts")).alias("_h")
+        nearby = astray.join(shelves, group).groupBy("qid").agg(least).select("qid", "_h.shelf", "_h.shelf_parts")
+        stand = stand.filter(F.col("shelf").isNotNull()).unionByName(astray.join(nearby, "qid", "left"))
+    number = F.pmod(F.xxhash64("qid"), F.col("shelf_parts")).cast("int")
+    home = stand.select("*", F.coalesce("shelf", F.lit(-1)).alias("home"), F.coalesce(number, F.lit(0)).alias("home_part")).drop("shelf", "shelf_parts")
+    place = [*group, "home", "home_part"]
+    load = home.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / float(QUERY_ROWS)).cast("int").alias("_chunks"))
+    # Another hash than that of the part, which all queries of a part share.
+    chunk = F.pmod(F.xxhash64("qid", F.lit(1)), F.col("_chunks")).cast("int").alias("chunk")
+    return home.join(written(load, "analog-load"), place).select("*", chunk).drop("_chunks")
+
+
+def _squares(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to all rows, summed dimension by dimension."""
+    total = np.zeros((len(left), len(right)))
+    for j in range(left.shape[1]):
+        total += (left[:, j, None] - right[None, :, j]) ** 2
+    return total
+
+
+def _best_of_shelf(k: int, other_lead: bool, pivots: np.ndarray):
+    """Task function: the k best candidates of one shelf for each query, ties by (init, lead)."""
 
     def best(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         names = ["qid", "cid", "distance", "c_init", "c_lead"]
         if queries.empty or candidates.empty:
             return pd.DataFrame({n: [] for n in names})
-        candidates = candidates.sort_values(["c_init", "c_lead", "cid"], kind="stable")
-        q, c = np.stack(queries["x"].to_numpy()), np.stack(candidates["x"].to_numpy())
-        total = np.zeros((len(q), len(c)))
-        for j in range(q.shape[1]):
-            total += (q[:, j, None] - c[None, :, j]) ** 2
-        distance = np.round(np.sqrt(total), DISTANCE_DECIMALS)
-        distance[queries["q_init"].to_numpy()[:, None] == candidates["c_init"].to_numpy()[None, :]] = np.inf
-        if other_lead:
-            distance[queries["q_lead"].to_numpy()[:, None] == candidates["c_lead"].to_numpy()[None, :]] = np.inf
-        parts = []
-        every = np.arange(len(q))
-        for _ in range(min(k, len(c))):
-            # The first minimum wins, and candidates are in tie order.
-            at = distance.argmin(axis=1)
-            value = distance[every, at]
-            fine = np.isfinite(value)
-            hit = candidates.iloc[at[fine]]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "qid": queries["qid"].to_numpy()[fine],
-                        "cid": hit["cid"].to_numpy(),
-                        "distance": value[fine],
-                        "c_init": hit["c_init"].to_numpy(),
-                        "c_lead": hit["c_lead"].to_numpy(),
-                    }
-                )
-            )
-            distance[every, at] = np.inf
-        return pd.concat(parts)
+        # In the order of ties, and blocks as runs.
+        candidates = candidates.sort_values(["c_init", "c_lead", "cid"], kind="stable").reset_index(drop=True)
+        c = np.stack(candidates["x"].to_numpy()).astype(float)
+        q = np.stack(queries["x"].to_numpy()).astype(float)
+        c_init, c_lead = candidates["c_init"].to_numpy(), candidates["c_lead"].to_numpy()
+        q_init, q_lead = queries["q_init"].to_numpy(), queries["q_lead"].to_numpy()
+        reach = queries["_limit"].to_numpy(float).copy()
+        qq, cc = (q * q).sum(axis=1), (c * c).sum(axis=1)
+        # What the product of matrices may be wrong by, and the rounding of distances.
+        margin = 1e-11 * (1 + qq + cc.max())
+        block = candidates["block"].to_numpy()
+        members = np.split(np.argsort(block, kind="stable"), np.flatnonzero(np.diff(np.sort(block))) + 1)
+        to_pivot = lambda x: [np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots]
+        ranges = [(np.array([d[m].min() for m in members]), np.array([d[m].max() for m in members])) for d in to_pivot(c)]
+        sizes = np.array([len(m) for m in members])
+
+        def barred(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+            same = q_init[rows] == c_init[columns]
+            return same | (q_lead[rows] == c_lead[columns]) if other_lead else same
+
+        def measured(rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Pairs that may be among the k best: every pair within reach, or for many of them the k best."""
+            with np.errstate(all="ignore"):
+                near = qq[rows, None] + cc[None, columns] - 2 * (q[rows] @ c[columns].T)
+            near[np.isnan(near)] = 0
+            near[barred(rows[:, None], columns[None, :])] = np.inf
+            bound = reach[rows] ** 2 + margin[rows]
+            keep = (near <= bound[:, None]) & (near < np.inf)
+            many = np.flatnonzero(keep.sum(axis=1) > PAIRS)
+            if len(many) and len(columns) > k:
+                bound = np.partition(near[many], k - 1, axis=1)[:, k - 1] + 2 * margin[rows[many]]
+                keep[many] &= near[many] <= bound[:, None]
+                many = many[keep[many].sum(axis=1) > PAIRS]
+            parts = []
+            if len(many):
+                # Many ties: equal vectors are measured once.
+                keep[many] = False
+                found, which = np.unique(c[columns], axis=0, return_inverse=True)
+                distance = np.round(np.sqrt(_squares(q[rows[many]], found)), DISTANCE_DECIMALS)[:, which.ravel()]
+                distance[near[many] == np.inf] = np.inf
+                every = np.arange(len(many))
+                for _ in range(min(k, len(columns))):
+                    # The first minimum wins, and columns are in tie order.
+                    at = distance.argmin(axis=1)
+                    parts.append((rows[many], columns[at], distance[every, at]))
+                    distance[every, at] = np.inf
+            i, j = np.nonzero(keep)
+            i, j = rows[i], columns[j]
+            total = np.zeros(len(i))
+            for dimension in range(q.shape[1]):
+                total += (q[i, dimension] - c[j, dimension]) ** 2
+            parts.append((i, j, np.round(np.sqrt(total), DISTANCE_DECIMALS)))
+            return tuple(np.concatenate(column) for column in zip(*parts))
+
+        results = []
+        for first in range(0, len(q), TILE):
+            rows = np.arange(first, min(first + TILE, len(q)))
+            gap = np.zeros((len(rows), len(members)))
+            for d, (low, high) in zip(to_pivot(q[rows]), ranges):
+                np.maximum(gap, d[:, None] - high, out=gap)
+                np.maximum(gap, low - d[:, None], out=gap)
+            best_of = tuple(np.zeros(0, dtype=kind) for kind in (np.int64, np.int64, float))
+            order = np.argsort(gap.mean(axis=0), kind="stable")
+            # Blocks from near to far, small ones together.
+            for some in np.split(order, np.flatnonzero(np.diff((np.cumsum(sizes[order]) - 1) // TILE)) + 1):
+                open_rows = rows[(gap[:, some] <= reach[rows, None]).any(axis=1)]
+                columns = np.sort(np.concatenate([members[b] for b in some]))
+                for at in range(0, len(columns) if len(open_rows) else 0, 4 * TILE):
+                    i, j, distance = (np.concatenate(pair) for pair in zip(best_of, measured(open_rows, columns[at : at + 4 * TILE])))
+                    fine = np.isfinite(distance)
+                    i, j, distance = i[fine], j[fine], distance[fine]
+                    ranked = np.lexsort((j, distance, i))
+                    i, j, distance = i[ranked], j[ranked], distance[ranked]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    best_of = tuple(column[rank < k] for column in (i, j, distance))
+                    last = rank == k - 1
+                    reach[i[last]] = np.minimum(reach[i[last]], distance[last] * (1 + _SLACK) + _SLACK)
+            results.append(best_of)
+        i, j, distance = (np.concatenate(column) for column in zip(*results))
+        return pd.DataFrame(
+            {"qid": queries["qid"].to_numpy()[i], "cid": candidates["cid"].to_numpy()[j], "distance": distance, "c_init": c_init[j], "c_lead": c_lead[j]}
+        )
 
     return best
 
 
-def _visit(visits: DataFrame, located: DataFrame, group: list[str], k: int, other_lead: bool) -> DataFrame:
-    """Evaluate queries against the blocks assigned to them; crowded blocks are served in several chunks."""
-    place = [*group, "block", "part"]
-    load = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / float(QUERY_ROWS)).cast("int").alias("chunks"))
-    load = written(load, "analog-load")
-    left = visits.join(load, place).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
-    right = located.join(load, place).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keys = [*place, "chunk"]
-    left = left.select("qid", "x", "q_init", "q_lead", *keys)
-    right = right.select("cid", "x", "c_init", "c_lead", *keys)
+def _visit(visits: DataFrame, located: DataFrame, group: list[str], k: int, other_lead: bool, pivots: np.ndarray) -> DataFrame:
+    """Evaluate chunks of queries against the shelves assigned to them."""
+    place = [*group, "shelf", "part"]
+    keys = [*place, "home", "home_part", "chunk"]
+    left = visits.select("qid", "x", "q_init", "q_lead", "_limit", *keys)
+    met = written(visits.select(*keys).distinct(), "analog-met")
+    right = located.select("cid", "x", "c_init", "c_lead", "block", *place).join(met, place)
     kinds = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]} | {"distance": "double"}
     schema = ", ".join(f"{name} {kinds[name]}" for name in ["qid", "cid", "distance", "c_init", "c_lead"])
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_top_of_block(k, other_lead), schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best_of_shelf(k, other_lead, pivots), schema)
 
 
 def _keep_best(found: DataFrame, k: int, order: list[str]) -> DataFrame:
-    # At most k rows per visited block and query.
+    # At most k rows per visited shelf and query.
     rank = F.row_number().over(W.partitionBy("qid").orderBy(*order))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -182,55 +277,54 @@ def nearest(
     Queries bring (qid, q_init, q_lead, x, group), candidates (cid, c_init, c_lead, x, group); a
     candidate of the query's own run never counts, with ``other_lead`` neither does one of its lead.
     """
-    seen, rest, _ = _search(queries, candidates, group, k, other_lead, block_rows)
-    both = seen.unionByName(rest[1])
+    search = _search(queries, candidates, group, k, other_lead, block_rows)
+    both = search.seen.unionByName(_visit(search.rest, search.located, group, k, other_lead, search.pivots))
     return _keep_best(both, k, ["distance", "c_init", "c_lead", "cid"]).drop("rank")
 
 
 def visited_share(queries: DataFrame, candidates: DataFrame, group: list[str], k: int = C.ANALOG_COUNT, block_rows: int | None = None) -> DataFrame:
     """One row: blocks the queries visited, blocks there were for them, and the share."""
-    _, rest, (queries, directory) = _search(queries, candidates, group, k, False, block_rows)
-    every = queries.select(*group).join(directory, group).agg(F.sum("parts").alias("blocks"))
-    visits = rest[0].agg((F.count(F.lit(1)) + queries.count()).alias("visited"))
-    one = F.lit(1).alias("_one")
-    both = visits.select("visited", one).join(every.select("blocks", one), "_one").drop("_one")
+    search = _search(queries, candidates, group, k, False, block_rows)
+    directory = written(_ranges(search.located, [*group, "block", "parts"], search.pivots), "analog-directory")
+    pairs = search.limited.select("_d", "_limit", *group).join(directory, group)
+    both = pairs.agg(F.sum(F.when(_gap() <= F.col("_limit"), F.col("parts"))).alias("visited"), F.sum("parts").alias("blocks"))
     return both.withColumn("share", F.col("visited") / F.col("blocks"))
 
 
-def _search(
-    queries: DataFrame, candidates: DataFrame, group: list[str], k: int, other_lead: bool, block_rows: int | None
-) -> tuple[DataFrame, tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
-    """Finds of the first visits; the further visits and their finds; queries and directory."""
-    limit = block_rows or BLOCK_ROWS
-    candidates = written(candidates, "analog-candidates")
+class _Search(NamedTuple):
+    """Finds of the first visits, the further visits, queries with their limit, candidates with their place, pivots."""
+
+    seen: DataFrame
+    rest: DataFrame
+    limited: DataFrame
+    located: DataFrame
+    pivots: np.ndarray
+
+
+def _search(queries: DataFrame, candidates: DataFrame, group: list[str], k: int, other_lead: bool, block_rows: int | None) -> _Search:
+    finite = F.forall("x", is_finite)
+    candidates = written(candidates.filter(finite), "analog-candidates")
     pivots = pivots_of(candidates)
-    queries = written(_with_pivots(queries, pivots), "analog-queries")
-    located, directory = _blocks(candidates, group, limit, pivots)
-    # The home block has the smallest bound, then the middle nearest to the query.
-    middles = F.zip_with("lo", "hi", lambda low, high: (low + high) / 2)
-    aside = F.coalesce(F.array_max(F.zip_with("_d", middles, lambda d, m: F.abs(d - m))), F.lit(0.0))
-    home = queries.join(directory, group).groupBy("qid").agg(F.min(F.struct(_gap().alias("gap"), aside.alias("aside"), "block", "parts")).alias("_home"))
-    first = queries.join(home, "qid").select(
-        "qid", "x", "q_init", "q_lead", *group,
-        F.col("_home.block").alias("block"),
-        F.pmod(F.xxhash64("qid"), F.col("_home.parts")).cast("int").alias("part"),
-    )
-    seen = written(_visit(first, located, group, k, other_lead), "analog-seen")
-    reach = seen.groupBy("qid").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("_reach")
-    )
-    reachable = F.coalesce("_reach", F.lit(float("inf"))) * (1 + _SLACK) + _SLACK
+    placed = written(_placed(_with_pivots(candidates, pivots)), "analog-pivots")
+    rows = candidates.count()
+    buckets = bucket_count(rows)
+    edges = edges_of(placed, "_r", buckets)
+    located, where = _blocks(placed, group, block_rows or BLOCK_ROWS, edges, buckets, rows)
+    shelves = written(_ranges(located, [*group, "shelf", "shelf_parts"], pivots), "analog-shelves")
+    standing = with_bucket(_placed(_with_pivots(queries.filter(finite), pivots)), "_r", edges, buckets).drop("_r")
+    queries = written(_with_home(written(standing, "analog-queries"), where, shelves, group), "analog-homes")
+    far = F.lit(float("inf"))
+    first = queries.filter(F.col("home") >= 0).withColumns({"shelf": F.col("home"), "part": F.col("home_part"), "_limit": far})
+    seen = written(_visit(first, located, group, k, other_lead, pivots), "analog-seen")
+    reach = seen.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(far).alias("_reach"))
+    limited = queries.join(reach, "qid", "left").withColumn("_limit", F.coalesce("_reach", far) * (1 + _SLACK) + _SLACK)
     rest = (
-        queries.join(reach, "qid", "left")
-        .withColumn("_limit", reachable)
-        .join(directory, group)
+        limited.join(shelves, group)
         .filter(_gap() <= F.col("_limit"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("qid", "x", "q_init", "q_lead", *group, "block", "part")
-        .join(first.select("qid", "block", "part"), ["qid", "block", "part"], "left_anti")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shelf_parts") - 1)))
+        .filter((F.col("shelf") != F.col("home")) | (F.col("part") != F.col("home_part")))
     )
-    rest = written(rest, "analog-rest")
-    return seen, (rest, _visit(rest, located, group, k, other_lead)), (queries, directory)
+    return _Search(seen, rest, limited, located, pivots)
 
 
 def analogs(

@@ -1,5 +1,7 @@
 """Analogs against brute force, with ties, fallback and hot groups."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -106,3 +108,18 @@ def test_equal_vectors_and_few_rows(spark):
     assert neighbours.nearest(queries, pool, ["all"], 2, block_rows=2).count() == 10
     assert neighbours.nearest(queries, pool.limit(0), ["all"], 2).count() == 0
     assert neighbours.nearest(queries.limit(0), pool, ["all"], 2).count() == 0
+
+
+def test_vectors_are_not_stored_once_per_block(spark):
+    """Vectors that no pivot tells apart visit every block; what is written still grows with the vectors alone."""
+    rows = np.random.default_rng(8).normal(size=(600, 64))
+    pool = _vectors(spark, [*rows, [float("nan")] * 64])
+    queries = pool.select("all", F.col("cid").alias("qid"), F.col("c_init").alias("q_init"), F.col("c_lead").alias("q_lead"), "x")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    found = {(r.qid, r.cid) for r in neighbours.nearest(queries, pool, ["all"], 1, block_rows=4).collect()}
+    after = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    distance = ((rows[:, None] - rows[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(distance, np.inf)
+    assert found == set(enumerate(distance.argmin(axis=1).tolist()))
+    assert after - before < 8 * rows.nbytes
