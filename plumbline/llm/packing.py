@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.texts import batch_of, bounded_batches, slices
-from plumbline.llm.tokens import Encoder, end_mark
+from plumbline.llm.texts import BATCH_ROWS, batch_of, bounded_batches, slices
+from plumbline.llm.tokens import encoder, end_mark
 
 SEQUENCE, WINDOW = 2048, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -103,15 +103,15 @@ def pack(
         return batch_of(schema, list(zip(*rows))), first + len(capacities(int(lengths.sum()), sequence))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, close = Encoder(tokenizer, leading), end_mark(end)
+        encode, close = encoder(tokenizer, leading).encode, end_mark(end)
         context = TaskContext.get()
         following = (context.partitionId() if context else 0) << 40
         keys: list = []
         ids: list[bytes] = []
         tokens = 0
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_ROWS):
             texts = [value or "" for value in batch.column("_text").to_pylist()]
-            for name, found in zip(batch.column("_key").to_pylist(), encoder.encode(texts)):
+            for name, found in zip(batch.column("_key").to_pylist(), encode(texts)):
                 keys.append(name)
                 ids.append(found + close)
                 tokens += len(found) // 4 + 1

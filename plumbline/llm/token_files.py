@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from plumbline.llm.mixing_coder import BLOCK, LANES, decode_blocks, encode_blocks, split_blocks
-from plumbline.llm.texts import batch_of, bounded_batches, slices
-from plumbline.llm.tokens import Encoder, end_mark
+from plumbline.llm.texts import BATCH_ROWS, batch_of, bounded_batches, slices
+from plumbline.llm.tokens import encoder, end_mark
 from plumbline.session import scratch_dir
 
 #: Pieces a task's encoder remembers beside the arrays of the coder.
-KEEP = 200_000
+KEEP = 300_000
 #: Ids of a frame, from which on it is closed; frames coded side by side.
 FRAME = 64 * BLOCK
 TOGETHER = LANES * BLOCK // FRAME
@@ -73,16 +73,16 @@ def write_files(
         return batch_of(SCHEMA, list(zip(*rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, close = Encoder(tokenizer, leading, KEEP), end_mark(end)
+        encode, close = encoder(tokenizer, leading, KEEP).encode, end_mark(end)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         frames: list[tuple[int, int, list, list[bytes]]] = []
         keys: list = []
         ids: list[bytes] = []
         number = first = tokens = 0
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_ROWS):
             texts = [value or "" for value in batch.column("_text").to_pylist()]
-            for name, found in zip(batch.column("_key").to_pylist(), encoder.encode(texts)):
+            for name, found in zip(batch.column("_key").to_pylist(), encode(texts)):
                 keys.append(name)
                 ids.append(found + close)
                 tokens += len(found) // 4 + 1

@@ -124,3 +124,31 @@ def test_confident_blocks_keep_an_interval_for_every_id():
     blocks.append(np.arange(4096, dtype="<u4"))
     for block, found in zip(blocks, C.decode_blocks(C.encode_blocks(blocks))):
         assert (block == found).all()
+
+
+@pytest.mark.parametrize("name, leading", FILES)
+def test_memory_of_pieces(name, leading):
+    """Words are met again beside marks and line feeds, and what is forgotten changes no id."""
+    path = public_tokenizers.path(name)
+    encoder = Encoder(path, leading)
+    list(encoder.encode(["alpha beta.\ngamma, alpha"]))
+    before = len(encoder.known)
+    list(encoder.encode(["gamma beta.\ngamma, beta,\ngamma beta"] * 2))
+    assert len(encoder.known) == before
+    rng = random.Random(3)
+    small = Encoder(path, leading, keep=20)
+    for _ in range(30):
+        texts = [" ".join(f"{rng.choice('abcd')}{rng.choice('xyz')}é{rng.randrange(5)}" for _ in range(20)) for _ in range(4)]
+        texts += ["", "\0 a", "a\0b.c", "\n", " ", "a  b", "Σας ΣΑΣ. İi", "=\u0338 a=\u0338", "x\ny", "\nx\n"]
+        rng.shuffle(texts)
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in small.encode(texts)]
+        assert found == [ids.tolist() for ids in direct(name, texts)]
+    assert len(small.known) <= 10 + 100 and len(small.starts) == len(small.known) + 1
+
+
+def test_tasks_of_a_process_share_their_encoder():
+    from plumbline.llm.tokens import encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert encoder(path, False) is encoder(path, False)
+    assert encoder(path, False) is not encoder(path, False, 10)
