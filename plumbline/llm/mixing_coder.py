@@ -36,7 +36,8 @@ SHIFT16, SHIFT48 = np.uint64(16), np.uint64(48)
 #: Order 0: weight of one occurrence, and steps between rebuilding its cumulative counts.
 GAIN, REBUILD = 32, 32
 CONTEXTS, CONFIDENT, RATE = 1 << 11, 15, 4
-LIFT = 40
+#: Symbols between two entries of the first level in which a decoder looks for a count.
+STRIDE = 64
 #: Chances in 1/65536 move towards LIKELY + UNLIKELY after a hit and towards UNLIKELY after a miss.
 LIKELY, UNLIKELY = 62000, 64
 #: Chances in 1/65536 that a guess of each confidence holds, before anything is learned.
@@ -50,12 +51,12 @@ class Model:
     """
 
     def __init__(self, distinct: np.ndarray) -> None:
-        lanes, width = len(distinct), int(distinct.max())
-        self.width = width
+        # Room for every lane's symbols and the mark of a beginning, in whole strides.
+        lanes, width = len(distinct), (int(distinct.max()) // STRIDE + 1) * STRIDE - 1
         left = (1 << 16) - LIKELY - UNLIKELY
-        assert width <= BLOCK and (left * left >> 6) - left > BLOCK * (GAIN + 1)
+        assert distinct.max() <= BLOCK and (left * left >> 6) - left > BLOCK * (GAIN + 1)
         self.counts = (np.arange(width) < distinct[:, None]).astype(np.int32)
-        self.upto = np.zeros((lanes, width + 1), dtype=np.int64)
+        self.upto = np.zeros((lanes, width + 1), dtype=np.int32)
         self.guess1 = np.full(lanes * (width + 1), -1, dtype=np.int32)
         self.guess2 = np.full(lanes * CONTEXTS, -1, dtype=np.int32)
         self.chance1 = np.tile(FIRST, lanes)
@@ -67,16 +68,15 @@ class Model:
         self.row_counts, self.row_upto = rows * width, rows * (width + 1)
         self.row_contexts, self.row_chance = rows * CONTEXTS, rows * 16
         self.flat_counts, self.flat_upto = self.counts.ravel(), self.upto.ravel()
+        self.strides, self.row_strides = self.upto.reshape(-1, STRIDE), self.row_upto // STRIDE
         self.steps = 0
 
     def predict(self, used: int) -> None:
         """Guesses and the widths of the three parts of the distribution for the next step."""
         if self.steps % REBUILD == 0:
             np.cumsum(self.counts[:used], axis=1, out=self.upto[:used, 1:])
-            # Every lane's counts on top of the lanes' before make one sorted array to search in.
-            self.upto[:used, 0] = 0
-            self.upto[:used] += np.arange(used)[:, None] << LIFT
-            self.all = self.upto[:used, -1] - self.upto[:used, 0]
+            self.coarse = np.ascontiguousarray(self.upto[:used, ::STRIDE])
+            self.all = self.upto[:used, -1].astype(np.int64)
         self.steps += 1
         self.all = self.all[:used]
         last = self.last[:used]
@@ -99,9 +99,8 @@ class Model:
         """Start and size of the symbols in 1/2^BITS."""
         used = len(symbol)
         at = self.row_upto[:used] + symbol
-        zero = np.arange(used) << LIFT
-        low = (self.flat_upto.take(at) - zero) * self.rest // self.all
-        high = (self.flat_upto.take(at + 1) - zero) * self.rest // self.all
+        low = self.flat_upto.take(at) * self.rest // self.all
+        high = self.flat_upto.take(at + 1) * self.rest // self.all
         self.hit_a = symbol == self.a
         self.hit_b = (symbol == self.b) & self.has_b
         start = np.where(self.hit_a, 0, np.where(self.hit_b, self.f_a, self.base + low))
@@ -111,10 +110,10 @@ class Model:
     def find(self, target: np.ndarray) -> np.ndarray:
         """The symbols whose intervals hold the targets."""
         used = len(target)
-        rows = np.arange(used)
-        count = ((np.maximum(target - self.base, 0) + 1) * self.all - 1) // self.rest
-        place = np.searchsorted(self.flat_upto[: used * (self.width + 1)], count + (rows << LIFT), side="right") - 1
-        symbol = place - self.row_upto[:used]
+        count = (((np.maximum(target - self.base, 0) + 1) * self.all - 1) // self.rest).astype(np.int32)[:, None]
+        stride = (np.count_nonzero(self.coarse[:used] <= count, axis=1) - 1) * STRIDE
+        fine = self.strides.take(self.row_strides[:used] + stride // STRIDE, axis=0)
+        symbol = stride + np.count_nonzero(fine <= count, axis=1) - 1
         return np.where(target < self.f_a, self.a, np.where(target < self.base, self.b, symbol))
 
     def update(self, symbol: np.ndarray) -> None:
@@ -136,6 +135,21 @@ class Model:
         self.last[:used] = symbol
 
 
+def _settled(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
+    """Lanes whose upper 16 bits are to be shifted out, until none is left; intervals grown too narrow are cut before."""
+    lanes, lo, sp = np.arange(len(low)), low, span
+    while True:
+        settled = (lo ^ (lo + sp)) < TOP
+        narrow = sp < BOTTOM
+        cut = lanes[narrow & ~settled]
+        span[cut] = (~low[cut] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+        lanes = lanes[settled | narrow]
+        if not len(lanes):
+            return
+        yield lanes
+        lo, sp = low[lanes], span[lanes]
+
+
 def _varints(values: np.ndarray) -> bytes:
     """Variable-length bytes of nonnegative numbers below 2^35, seven bits each, the last without a high bit."""
     values = values.astype(np.uint64)
@@ -190,14 +204,7 @@ def _encode(blocks: list[np.ndarray]) -> Iterator[bytes]:
         sp >>= np.uint64(BITS)
         lo += start.astype(np.uint64) * sp
         sp *= size.astype(np.uint64)
-        while True:
-            settled = (lo ^ (lo + sp)) < TOP
-            short = ~settled & (sp < BOTTOM)
-            lanes = np.flatnonzero(settled | short)
-            if not len(lanes):
-                break
-            cut = np.flatnonzero(short)
-            sp[cut] = (~lo[cut] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+        for lanes in _settled(lo, sp):
             words[lanes, filled[lanes]] = lo[lanes] >> SHIFT48
             filled[lanes] += 1
             lo[lanes] <<= SHIFT16
@@ -266,14 +273,7 @@ def _decode(coded: list[bytes]) -> Iterator[np.ndarray]:
         start, size = model.interval(symbol)
         lo += start.astype(np.uint64) * sp
         sp *= size.astype(np.uint64)
-        while True:
-            settled = (lo ^ (lo + sp)) < TOP
-            short = ~settled & (sp < BOTTOM)
-            lanes = np.flatnonzero(settled | short)
-            if not len(lanes):
-                break
-            cut = np.flatnonzero(short)
-            sp[cut] = (~lo[cut] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+        for lanes in _settled(lo, sp):
             co[lanes] = co[lanes] << SHIFT16 | words[lanes, read[lanes]]
             read[lanes] += 1
             lo[lanes] <<= SHIFT16

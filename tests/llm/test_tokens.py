@@ -45,6 +45,17 @@ def test_coded_blocks_round_trip_and_notice_damage():
     assert C.encode_blocks([]) == [] and C.split_blocks(b"") == []
 
 
+def test_symbols_at_the_borders_of_strides():
+    """Every symbol is found again, whichever stride it lies in; the counts searched are 32 bits wide."""
+    blocks = []
+    for distinct in (1, 63, 64, 65, 127, 128, 129, 4095, 4096):
+        ids = np.arange(distinct, dtype="<u4") * 7
+        blocks += [ids, ids[::-1].copy(), np.resize(ids[max(0, distinct - 3) :], 2000)]
+    for block, found in zip(blocks, C.decode_blocks(C.encode_blocks(blocks))):
+        assert np.array_equal(block, found)
+    assert C.Model(np.array([5, 64])).upto.dtype == np.int32
+
+
 def test_files_give_every_document_back(spark, odd_documents, no_documents, clashing, tmp_path):
     path = str(tmp_path / "files")
     F.write_files(clashing(odd_documents), path, public_tokenizers.path("byte_bpe_50k.json"))
