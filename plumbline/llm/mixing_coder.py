@@ -3,14 +3,17 @@
 A block holds up to ``BLOCK`` ids and is coded on its own: it starts from an empty model and carries a checksum. Ids
 are numbered within the block by a table in its header. Three models predict the next number: order 2 remembers what
 followed the last two (hashed), order 1 what followed the last one, each with a confidence; order 0 counts what came so far.
-The chances that a prediction of a given confidence holds are learned while coding, and mix the three into one
+The chances that a prediction of a given confidence holds are learned after every id, and mix the three into one
 distribution: order 2's guess gets its chance, order 1's guess its chance of the rest, order 0 what then is left, in
-proportion to its counts. The distribution drives a carry-less range coder with 64-bit state and 16-bit output.
+proportion to its counts, whose shares are renewed whenever the block has grown by an eighth. The distribution drives a range
+coder with 64-bit state and 32-bit output; words keep room for what is carried into them until the block is complete.
 
 Blocks are independent, so many are coded side by side: every array has one lane per block, and one step codes one
-id of each. A decoder repeats the encoder's model exactly, in integers only.
+id of each. A decoder repeats the encoder's model exactly, in integers (a quotient of two integers below 2^29 is taken in double
+precision, which rounds none up to the next integer). The encoder knows the ids, so only what is remembered goes step by step;
+order 0 and the intervals are taken for a chunk of steps at once.
 
-Block layout, little-endian: magic "CMB1", number of ids, of distinct ids, of table bytes, of payload words, crc32 of
+Block layout, little-endian: magic "CMB2", number of ids, of distinct ids, of table bytes, of payload words, crc32 of
 the ids, crc32 of table and payload (all 32 bits); the table as variable-length differences of the sorted ids; payload.
 An empty list of ids gives no block.
 """
@@ -23,199 +26,284 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 2048
 HEADER = "<4s6I"
 HEADER_BYTES = struct.calcsize(HEADER)
-MAGIC = b"CMB1"
-#: The two guesses' chances never exceed (LIKELY + UNLIKELY) / 2^16, so order 0 keeps at least 188,000 of 2^26: more than the largest
-#: sum of its counts (BLOCK distinct ids and GAIN for each id), which gives every symbol an interval of one or more.
-BITS = 26
-TOTAL = np.uint64(1 << BITS)
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-SHIFT16, SHIFT48 = np.uint64(16), np.uint64(48)
-#: Order 0: weight of one occurrence, and steps between rebuilding its cumulative counts.
-GAIN, REBUILD = 32, 32
-CONTEXTS, CONFIDENT, RATE = 1 << 11, 15, 4
-#: Symbols between two entries of the first level in which a decoder looks for a count.
-STRIDE = 64
-#: Chances in 1/65536 move towards LIKELY + UNLIKELY after a hit and towards UNLIKELY after a miss.
-LIKELY, UNLIKELY = 62000, 64
-#: Chances in 1/65536 that a guess of each confidence holds, before anything is learned.
-FIRST = np.linspace(6000, 50000, CONFIDENT + 1).astype(np.int64)
+MAGIC = b"CMB2"
+#: The three models share 2^MIX parts, order 0 deals its parts out in 2^INNER; both together are the coder's unit.
+MIX, INNER = 13, 15
+WHOLE = 1 << INNER
+MIXED, LEFT = np.int32(MIX), np.int32(INNER)
+UNIT = np.uint64(MIX + INNER)
+#: Intervals below LEAST are widened by one word, so every step begins with at least 16 of the coder's units.
+LEAST, WORD = np.uint64(1 << 32), np.uint64(32)
+#: Order 0: weight of one occurrence, and steps after which its cumulative shares may be rebuilt.
+GAIN, CHUNK = np.int32(32), 32
+CONTEXTS = 1 << 11
+#: A guess is remembered as symbol and confidence (1 to SURE, 0: not made yet) in 16 bits.
+SHIFT, SURE = np.uint16(3), np.uint16(7)
+ONE, SIX = np.uint16(1), np.uint16(6)
+#: The symbol of a guess not made yet, which no block has.
+NOTHING = (1 << 13) - 1
+HASH = np.uint16(40503), np.uint16(2749), np.uint16(CONTEXTS - 1)
+#: Symbols between two entries of the first level in which a decoder looks for a share: the bytes of two 64-bit words.
+STRIDE = 16
+#: Chances in 1/2^MIX move towards LIKELY + UNLIKELY after a hit and towards UNLIKELY after a miss.
+LIKELY, UNLIKELY, RATE = np.int32(7750), np.int32(20), np.int32(4)
+#: Chances that a guess of each confidence holds, before anything is learned.
+FIRST = np.append(UNLIKELY, np.linspace(750, 6250, SURE)).astype(np.int32)
 
 
 class Model:
     """Predictions of all lanes, in flat arrays. The first ``used`` lanes are active; distinct ids differ by lane.
 
-    A remembered guess is ``symbol * 16 + confidence``, or -1.
+    Arrays of two rows hold order 2's guesses first, then order 1's.
     """
 
     def __init__(self, distinct: np.ndarray) -> None:
         # Room for every lane's symbols and the mark of a beginning, in whole strides.
-        lanes, width = len(distinct), (int(distinct.max()) // STRIDE + 1) * STRIDE - 1
-        left = (1 << 16) - LIKELY - UNLIKELY
-        assert distinct.max() <= BLOCK and (left * left >> 6) - left > BLOCK * (GAIN + 1)
-        self.counts = (np.arange(width) < distinct[:, None]).astype(np.int32)
-        self.upto = np.zeros((lanes, width + 1), dtype=np.int32)
-        self.guess1 = np.full(lanes * (width + 1), -1, dtype=np.int32)
-        self.guess2 = np.full(lanes * CONTEXTS, -1, dtype=np.int32)
-        self.chance1 = np.tile(FIRST, lanes)
-        self.chance2 = np.tile(FIRST, lanes)
-        # The number after the last distinct id stands for what comes before the first one.
-        self.last = distinct.astype(np.int64)
-        self.before = self.last.copy()
+        lanes, width = len(distinct), (int(distinct.max()) // STRIDE + 1) * STRIDE
+        assert distinct.max() <= BLOCK < NOTHING and width * 2 <= WHOLE
+        # Both guesses and order 0 keep a part of one or more, whatever was learned.
+        rest = (1 << MIX) - LIKELY - UNLIKELY
+        assert rest * UNLIKELY >> MIX > 0 and rest - (rest * (LIKELY + UNLIKELY) >> MIX) > 0
+        self.distinct = distinct.astype(np.int32)
+        self.counts = (np.arange(width - 1) < distinct[:, None]).astype(np.int32)
+        self.upto = np.zeros((lanes, width), dtype=np.int32)
+        # Every symbol has a share of one at least: the floor below it is its number.
+        self.floor = np.arange(width, dtype=np.int32)
+        self.shares = np.zeros((lanes, width), dtype=np.uint16)
+        self.flat_shares = self.shares.ravel()
+        self.strides = self.shares.reshape(-1, STRIDE)
+        self.guess = np.full(lanes * (CONTEXTS + width), NOTHING << SHIFT, dtype=np.uint16)
+        self.chance = np.tile(FIRST, 2 * lanes)
         rows = np.arange(lanes)
-        self.row_counts, self.row_upto = rows * width, rows * (width + 1)
-        self.row_contexts, self.row_chance = rows * CONTEXTS, rows * 16
-        self.flat_counts, self.flat_upto = self.counts.ravel(), self.upto.ravel()
-        self.strides, self.row_strides = self.upto.reshape(-1, STRIDE), self.row_upto // STRIDE
-        self.steps = 0
-
-    def predict(self, used: int) -> None:
-        """Guesses and the widths of the three parts of the distribution for the next step."""
-        if self.steps % REBUILD == 0:
-            np.cumsum(self.counts[:used], axis=1, out=self.upto[:used, 1:])
-            self.coarse = np.ascontiguousarray(self.upto[:used, ::STRIDE])
-            self.all = self.upto[:used, -1].astype(np.int64)
-        self.steps += 1
-        self.all = self.all[:used]
-        last = self.last[:used]
-        self.at_b = self.row_upto[:used] + last
-        self.at_a = self.row_contexts[:used] + ((self.before[:used] * 40503 + last * 2749) & (CONTEXTS - 1))
-        self.known_a, self.known_b = self.guess2.take(self.at_a), self.guess1.take(self.at_b)
-        self.a, self.b = self.known_a >> 4, self.known_b >> 4
-        self.has_a = self.known_a >= 0
-        self.has_b = (self.known_b >= 0) & (self.b != self.a)
-        self.bin_a = self.row_chance[:used] + (self.known_a & 15)
-        self.bin_b = self.row_chance[:used] + (self.known_b & 15)
-        self.p_a, self.p_b = self.chance2.take(self.bin_a), self.chance1.take(self.bin_b)
-        self.f_a = (self.p_a << (BITS - 16)) * self.has_a
-        rest = (1 << BITS) - self.f_a
-        self.f_b = (rest >> 16) * self.p_b * self.has_b
-        self.rest = rest - self.f_b
-        self.base = self.f_a + self.f_b
-
-    def interval(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the symbols in 1/2^BITS."""
-        used = len(symbol)
-        at = self.row_upto[:used] + symbol
-        low = self.flat_upto.take(at) * self.rest // self.all
-        high = self.flat_upto.take(at + 1) * self.rest // self.all
-        self.hit_a = symbol == self.a
-        self.hit_b = (symbol == self.b) & self.has_b
-        start = np.where(self.hit_a, 0, np.where(self.hit_b, self.f_a, self.base + low))
-        size = np.where(self.hit_a, self.f_a, np.where(self.hit_b, self.f_b, high - low))
-        return start, size
-
-    def find(self, target: np.ndarray) -> np.ndarray:
-        """The symbols whose intervals hold the targets."""
-        used = len(target)
-        count = (((np.maximum(target - self.base, 0) + 1) * self.all - 1) // self.rest).astype(np.int32)[:, None]
-        stride = (np.count_nonzero(self.coarse[:used] <= count, axis=1) - 1) * STRIDE
-        fine = self.strides.take(self.row_strides[:used] + stride // STRIDE, axis=0)
-        symbol = stride + np.count_nonzero(fine <= count, axis=1) - 1
-        return np.where(target < self.f_a, self.a, np.where(target < self.base, self.b, symbol))
-
-    def update(self, symbol: np.ndarray) -> None:
-        used = len(symbol)
-        met_b = self.has_b & ~self.hit_a
-        self.chance2[self.bin_a] = self.p_a + (((self.hit_a * LIKELY + UNLIKELY - self.p_a) >> RATE) * self.has_a)
-        self.chance1[self.bin_b] = self.p_b + (((self.hit_b * LIKELY + UNLIKELY - self.p_b) >> RATE) * met_b)
-        new = symbol.astype(np.int32) << 4
-        for guess, at, known, found in (
-            (self.guess2, self.at_a, self.known_a, self.a),
-            (self.guess1, self.at_b, self.known_b, self.b),
-        ):
-            sure = known & 15
-            same = found == symbol
-            kept = np.where(same, known + (sure < CONFIDENT), known - sure + (sure >> 1))
-            guess[at] = np.where(~same & ((sure == 0) | (known < 0)), new, kept)
-        self.flat_counts[self.row_counts[:used] + symbol] += GAIN
-        self.before[:used] = self.last[:used]
-        self.last[:used] = symbol
-
-
-def _settled(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
-    """Lanes whose upper 16 bits are to be shifted out, until none is left; intervals grown too narrow are cut before."""
-    lanes, lo, sp = np.arange(len(low)), low, span
-    while True:
-        settled = (lo ^ (lo + sp)) < TOP
-        narrow = sp < BOTTOM
-        cut = lanes[narrow & ~settled]
-        span[cut] = (~low[cut] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-        lanes = lanes[settled | narrow]
-        if not len(lanes):
-            return
-        yield lanes
-        lo, sp = low[lanes], span[lanes]
-
-
-def _varints(values: np.ndarray) -> bytes:
-    """Variable-length bytes of nonnegative numbers below 2^35, seven bits each, the last without a high bit."""
-    values = values.astype(np.uint64)
-    parts = np.stack([(values >> np.uint64(7 * i)) & np.uint64(127) for i in range(5)], axis=1).astype(np.uint8)
-    length = np.maximum(1, 5 - (parts[:, ::-1] != 0).argmax(axis=1) * (values > 0) - 4 * (values == 0))
-    place = np.arange(5)
-    parts |= np.where(place < length[:, None] - 1, 128, 0).astype(np.uint8)
-    return parts[place < length[:, None]].tobytes()
+        self.row_counts, self.row_shares, self.row_strides = rows * (width - 1), rows * width, rows * (width // STRIDE)
+        self.row_a, self.row_b = rows * CONTEXTS, lanes * CONTEXTS + rows * width
+        self.row_chance = np.arange(0, len(self.chance), len(FIRST)).reshape(2, lanes)
+        # Chunks of symbols not counted yet, one row a step; lanes that have ended no longer matter.
+        self.met: list[np.ndarray] = []
+        self.next = 0
+
+    def rebuild(self, step: int, used: int) -> bool:
+        """Order 0's cumulative shares from the counts, if these have grown by an eighth or so since the last time."""
+        if step < self.next:
+            return False
+        self.next = step + max(CHUNK, step >> 3)
+        for at in range(0, used, 64):
+            part = slice(at, min(at + 64, used))
+            upto, counts, distinct = self.upto[part], self.counts[part], self.distinct[part, None]
+            if self.met:
+                own = np.concatenate([symbols[:, part] for symbols in self.met]) + self.row_counts[: len(counts)]
+                found = np.bincount(own.ravel(), minlength=counts.size).reshape(counts.shape)
+                counts += found.astype(np.int32) * GAIN
+            np.cumsum(counts, axis=1, out=upto[:, 1:])
+            # At most 2^(2 * INNER), so 32 bits suffice.
+            scaled = upto * (((WHOLE - distinct) << INNER) // upto[:, -1:])
+            scaled >>= INNER
+            scaled += np.minimum(self.floor, distinct)
+            self.shares[part] = scaled
+        self.met = []
+        return True
+
+    def slots(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where the guesses after the last two symbols and after the last one are remembered, of one step or many."""
+        used = last.shape[-1]
+        found = np.empty((*last.shape[:-1], 2, used), dtype=np.int64)
+        hashed = (before * HASH[0] + last * HASH[1]) & HASH[2]
+        np.add(self.row_a[:used], hashed, out=found[..., 0, :])
+        np.add(self.row_b[:used], last, out=found[..., 1, :])
+        return found
+
+    def predict(self, slots: np.ndarray) -> None:
+        """The guesses of the next step and the chances that they hold."""
+        self.at = slots
+        self.known = self.guess.take(slots)
+        self.sure = self.known & SURE
+        self.found = self.known >> SHIFT
+        self.bins = self.row_chance[:, : slots.shape[1]] + self.sure
+        self.chances = self.chance.take(self.bins)
+        self.differ = self.found[0] != self.found[1]
+
+    def update(self, symbol: np.ndarray, same: np.ndarray) -> None:
+        """Learns from a step; ``same`` says which guesses held."""
+        moved = same * LIKELY
+        moved -= self.chances
+        moved += UNLIKELY
+        moved >>= RATE
+        # Order 1 is asked only where order 2 fails and it guesses otherwise.
+        moved[1] *= self.differ > same[0]
+        moved += self.chances
+        self.chance[self.bins] = moved
+        # A guess that held gains confidence, one that failed falls back to the least, or is replaced if it had no more.
+        new = symbol << SHIFT
+        kept = self.known - self.sure
+        kept -= new
+        kept *= self.sure > ONE
+        kept += new + ONE
+        gained = np.minimum(self.sure, SIX)
+        gained *= same
+        kept += gained
+        self.guess[self.at] = kept
+
+
+def _parts(chances: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of 2^MIX that order 2, order 1 and order 0 get, of one step or many."""
+    order2 = chances[..., 0, :]
+    rest = np.int32(1 << MIX) - order2
+    order1 = rest * chances[..., 1, :]
+    order1 >>= MIXED
+    order1 *= differ
+    return order2, order1, rest - order1
+
+
+def _intervals(parts: tuple, hit2: np.ndarray, hit1: np.ndarray, low: np.ndarray, share: np.ndarray) -> tuple:
+    """Start and size, in the coder's units, of a guess that holds, or else of an order 0 share above ``low``."""
+    order2, order1, order0 = parts
+    start = np.where(hit2, 0, np.where(hit1, order2 << LEFT, (order2 + order1 << LEFT) + low * order0))
+    size = np.where(hit2, order2 << LEFT, np.where(hit1, order1 << LEFT, share * order0))
+    return start.astype(np.uint64), size.astype(np.uint64)
+
+
+def _first_level(model: Model, used: int) -> np.ndarray:
+    return np.ascontiguousarray(model.shares[:used, STRIDE::STRIDE].T)
+
+
+def _find(model: Model, coarse: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The symbols whose shares of order 0 hold the counts."""
+    used = len(count)
+    kind = np.uint8 if len(coarse) < 256 else np.uint16
+    stride = np.add.reduce((coarse[:, :used] <= count).view(np.uint8), axis=0, dtype=kind)
+    fine = model.strides.take(model.row_strides[:used] + stride, axis=0) <= count[:, None]
+    bits = np.bitwise_count(fine.view(np.uint64))
+    symbol = stride * np.uint16(STRIDE)
+    symbol += bits[:, 0]
+    symbol += bits[:, 1]
+    symbol -= ONE
+    return symbol
+
+
+def _coded_tables(tables: list[np.ndarray]) -> Iterator[bytes]:
+    """Differences of the sorted ids, as numbers of seven bits a byte, the last without a high bit."""
+    sizes = np.cumsum([len(t) for t in tables])
+    whole = np.concatenate(tables).astype(np.int64)
+    values = np.diff(whole, prepend=0)
+    firsts = np.append(0, sizes[:-1])
+    values[firsts] = whole[firsts]
+    length = 1 + sum((values >> 7 * i > 0).astype(np.int64) for i in range(1, 5))
+    stops = np.cumsum(length)
+    data = np.zeros(stops[-1], dtype=np.uint8)
+    for i in range(5):
+        held = np.flatnonzero(length > i)
+        data[stops[held] - length[held] + i] = values[held] >> 7 * i & 127 | np.where(length[held] > i + 1, 128, 0)
+    cuts = np.append(0, stops[sizes - 1]).tolist()
+    return (data[a:b].tobytes() for a, b in zip(cuts, cuts[1:]))
 
 
 def _unvarints(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
-    last = raw < 128
-    number = np.concatenate([[0], np.cumsum(last)[:-1]]).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]).astype(np.int64)
-    digit = np.arange(len(raw)) - first[number]
-    found = np.zeros(int(last.sum()), dtype=np.int64)
-    np.add.at(found, number, (raw & 127) << (7 * digit))
+    """The numbers of such bytes."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    stops = np.flatnonzero(raw < 128) + 1
+    length = np.diff(stops, prepend=0)
+    found = np.zeros(len(stops), dtype=np.int64)
+    for i in range(5):
+        held = np.flatnonzero(length > i)
+        found[held] |= (raw[stops[held] - length[held] + i] & 127).astype(np.int64) << 7 * i
     return found
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Coded blocks of non-empty id arrays (unsigned 32-bit), ``LANES`` side by side."""
+    """Coded blocks of non-empty id arrays (unsigned 32-bit), up to ``LANES`` side by side."""
     out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for at in range(0, len(order), LANES):
-        group = order[at : at + LANES]
+    for group in _groups([len(b) for b in blocks]):
         for i, coded in zip(group, _encode([blocks[i] for i in group])):
             out[i] = coded
     return out
 
 
+def _groups(lengths: list[int]) -> Iterator[list[int]]:
+    """Numbers of the blocks in descending length, in as few groups as ``LANES`` allows, of like size."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    count = -(-len(order) // LANES)
+    for k in range(count):
+        yield order[len(order) * k // count : len(order) * (k + 1) // count]
+
+
+def _numbered(blocks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct ids of each block, and its ids as numbers of these."""
+    number = np.zeros(1 << 16, dtype=np.uint16)
+    for block in blocks:
+        ordered = np.sort(block)
+        table = ordered[np.append(True, ordered[1:] != ordered[:-1])]
+        if table[-1] < len(number):
+            number[table] = np.arange(len(table))
+            yield table, number.take(block)
+        else:
+            yield table, np.searchsorted(table, block)
+
+
 def _encode(blocks: list[np.ndarray]) -> Iterator[bytes]:
     """Blocks in descending length."""
     lengths = np.array([len(b) for b in blocks])
-    tables, symbols = [], np.zeros((lengths[0], len(blocks)), dtype=np.int32)
-    for lane, block in enumerate(blocks):
-        table, local = np.unique(block, return_inverse=True)
+    lanes, steps = len(blocks), int(lengths[0])
+    tables, numbers = [], np.zeros((lanes, steps), dtype=np.uint16)
+    for lane, (table, local) in enumerate(_numbered(blocks)):
         tables.append(table)
-        symbols[: len(block), lane] = local
+        numbers[lane, : len(local)] = local
     model = Model(np.array([len(t) for t in tables]))
-    low, span = np.zeros(len(blocks), dtype=np.uint64), np.full(len(blocks), 2**64 - 1, dtype=np.uint64)
-    words = np.zeros((len(blocks), 2 * int(lengths[0]) + 8), dtype="<u2")
-    filled = np.zeros(len(blocks), dtype=np.int64)
-    active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    for step in range(int(lengths[0])):
-        used = int(active[step])
-        symbol = symbols[step, :used].astype(np.int64)
-        model.predict(used)
-        start, size = model.interval(symbol)
-        lo, sp = low[:used], span[:used]
-        sp >>= np.uint64(BITS)
-        lo += start.astype(np.uint64) * sp
-        sp *= size.astype(np.uint64)
-        for lanes in _settled(lo, sp):
-            words[lanes, filled[lanes]] = lo[lanes] >> SHIFT48
-            filled[lanes] += 1
-            lo[lanes] <<= SHIFT16
-            sp[lanes] <<= SHIFT16
-        model.update(symbol)
-    for _ in range(4):
-        words[np.arange(len(blocks)), filled] = low >> SHIFT48
-        filled += 1
-        low <<= SHIFT16
-    for lane, (block, table) in enumerate(zip(blocks, tables)):
-        head = _varints(np.diff(table.astype(np.int64), prepend=0))
+    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
+    # Words of 32 bits, with room for what is carried into them, the first words of all lanes first.
+    room = steps * (MIX + INNER + 1) // 32 + 4
+    words = np.zeros(room * lanes, dtype=np.uint64)
+    filled = np.arange(lanes)
+    stride = np.int64(lanes)
+    active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
+    # The number after the last distinct id stands for what comes before the first one.
+    ahead = np.repeat(model.distinct[None].astype(np.uint16), 2, axis=0)
+    for chunk in range(0, steps, CHUNK):
+        used = int(active[chunk])
+        model.rebuild(chunk, used)
+        ahead = np.concatenate([ahead[-2:, :used], numbers[:used, chunk : chunk + CHUNK].T])
+        symbols = ahead[2:]
+        slots = model.slots(ahead[:-2], ahead[1:-1])
+        chances = np.zeros(slots.shape, dtype=np.int32)
+        differ, same = np.zeros(symbols.shape, dtype=bool), np.zeros(slots.shape, dtype=bool)
+        for step, symbol in enumerate(symbols):
+            used = int(active[chunk + step])
+            model.predict(slots[step, :, :used])
+            chances[step, :, :used], differ[step, :used] = model.chances, model.differ
+            held = np.equal(model.found, symbol[:used], out=same[step, :, :used])
+            model.update(symbol[:used], held)
+        own = model.row_shares[: symbols.shape[1]] + symbols
+        lows = model.flat_shares.take(own).astype(np.int32)
+        shares = model.flat_shares.take(own + 1) - lows
+        first, second = same[:, 0], same[:, 1]
+        starts, sizes = _intervals(_parts(chances, differ), first, second > first, lows, shares)
+        for step, (start, size) in enumerate(zip(starts, sizes)):
+            used = int(active[chunk + step])
+            start, lo, sp, to = start[:used], low[:used], span[:used], filled[:used]
+            sp >>= UNIT
+            start *= sp
+            lo += start
+            carry = (lo < start).nonzero()[0]
+            words[to[carry] - lanes] += np.uint64(1)
+            sp *= size[:used]
+            narrow = (sp < LEAST).astype(np.int64)
+            words[to] = lo >> WORD  # written over where the word is not settled yet
+            to += narrow * stride
+            shift = narrow.view(np.uint64) * WORD
+            lo <<= shift
+            sp <<= shift
+        model.met.append(symbols)
+    # One more word: the smallest above low whose following bits are zero lies in the interval.
+    words[filled] = (low >> WORD) + ((low & (LEAST - np.uint64(1))) > 0)
+    filled = filled // lanes + 1
+    words = words.reshape(room, lanes)[: filled.max()]
+    while (carried := words >> WORD).any():
+        words &= LEAST - np.uint64(1)
+        words[:-1] += carried[1:]
+    words = words.T.astype("<u4", order="C")
+    for lane, (block, table, head) in enumerate(zip(blocks, tables, _coded_tables(tables))):
         body = head + words[lane, : filled[lane]].tobytes()
         ids = zlib.crc32(block.astype("<u4").tobytes())
         yield struct.pack(HEADER, MAGIC, len(block), len(table), len(head), int(filled[lane]), ids, zlib.crc32(body)) + body
@@ -226,7 +314,7 @@ def split_blocks(data: bytes) -> list[bytes]:
     found, at = [], 0
     while at < len(data):
         head = struct.unpack_from(HEADER, data, at)
-        size = HEADER_BYTES + head[3] + 2 * head[4]
+        size = HEADER_BYTES + head[3] + 4 * head[4]
         found.append(data[at : at + size])
         at += size
     return found
@@ -235,9 +323,7 @@ def split_blocks(data: bytes) -> list[bytes]:
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of coded blocks; a damaged block raises ValueError."""
     out: list[np.ndarray] = [np.zeros(0, dtype="<u4")] * len(coded)
-    order = sorted(range(len(coded)), key=lambda i: -struct.unpack_from(HEADER, coded[i])[1])
-    for at in range(0, len(order), LANES):
-        group = order[at : at + LANES]
+    for group in _groups([struct.unpack_from(HEADER, c)[1] for c in coded]):
         for i, ids in zip(group, _decode([coded[i] for i in group])):
             out[i] = ids
     return out
@@ -246,42 +332,65 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
 def _decode(coded: list[bytes]) -> Iterator[np.ndarray]:
     heads = [struct.unpack_from(HEADER, c) for c in coded]
     for head, data in zip(heads, coded):
-        if head[0] != MAGIC or len(data) != HEADER_BYTES + head[3] + 2 * head[4]:
+        if head[0] != MAGIC or len(data) != HEADER_BYTES + head[3] + 4 * head[4]:
             raise ValueError("not a block of this format")
         if zlib.crc32(data[HEADER_BYTES:]) != head[6]:
             raise ValueError("a block's checksum differs")
     lengths = np.array([h[1] for h in heads])
-    tables = [np.cumsum(_unvarints(c[HEADER_BYTES : HEADER_BYTES + h[3]])) for h, c in zip(heads, coded)]
-    words = np.zeros((len(coded), max(h[4] for h in heads) + 8), dtype=np.uint64)
+    lanes, steps = len(coded), int(lengths[0])
+    differences = _unvarints(b"".join(c[HEADER_BYTES : HEADER_BYTES + h[3]] for h, c in zip(heads, coded)))
+    tables = [np.cumsum(part) for part in np.split(differences, np.cumsum([h[2] for h in heads])[:-1])]
+    room = max(h[4] for h in heads) + 3
+    words = np.zeros((lanes, room), dtype=np.uint32)
     for lane, (head, data) in enumerate(zip(heads, coded)):
-        words[lane, : head[4]] = np.frombuffer(data, dtype="<u2", offset=HEADER_BYTES + head[3])
+        words[lane, : head[4]] = np.frombuffer(data, dtype="<u4", offset=HEADER_BYTES + head[3])
     model = Model(np.array([len(t) for t in tables]))
-    low, span = np.zeros(len(coded), dtype=np.uint64), np.full(len(coded), 2**64 - 1, dtype=np.uint64)
-    code = np.zeros(len(coded), dtype=np.uint64)
-    for i in range(4):
-        code = code << SHIFT16 | words[:, i]
-    read = np.full(len(coded), 4, dtype=np.int64)
-    symbols = np.zeros((lengths[0], len(coded)), dtype=np.int32)
-    active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    for step in range(int(lengths[0])):
-        used = int(active[step])
-        model.predict(used)
-        lo, sp, co = low[:used], span[:used], code[:used]
-        sp >>= np.uint64(BITS)
-        target = np.minimum((co - lo) // sp, TOTAL - np.uint64(1)).astype(np.int64)
-        symbol = model.find(target)
-        start, size = model.interval(symbol)
-        lo += start.astype(np.uint64) * sp
-        sp *= size.astype(np.uint64)
-        for lanes in _settled(lo, sp):
-            co[lanes] = co[lanes] << SHIFT16 | words[lanes, read[lanes]]
-            read[lanes] += 1
-            lo[lanes] <<= SHIFT16
-            sp[lanes] <<= SHIFT16
-        symbols[step, :used] = symbol
-        model.update(symbol)
+    span = np.full(lanes, 2**64 - 1, dtype=np.uint64)
+    # The code's distance from the lower end of the interval.
+    code = words[:, 0].astype(np.uint64) << WORD | words[:, 1]
+    words, read, stride = words.T.astype(np.uint64, order="C").ravel(), np.arange(lanes) + 2 * lanes, np.int64(lanes)
+    symbols = np.zeros((steps, lanes), dtype=np.uint16)
+    active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
+    before = last = model.distinct.astype(np.uint16)
+    for chunk in range(0, steps, CHUNK):
+        used = int(active[chunk])
+        if model.rebuild(chunk, used):
+            coarse = _first_level(model, used)
+        for step in range(chunk, min(chunk + CHUNK, steps)):
+            used = int(active[step])
+            model.predict(model.slots(before[:used], last[:used]))
+            parts = _parts(model.chances, model.differ)
+            sp, co, at = span[:used], code[:used], read[:used]
+            sp >>= UNIT
+            target = (co // sp).astype(np.int32)
+            guessed = parts[0] + parts[1]
+            above = target - (guessed << LEFT)
+            miss = above >= 0
+            above *= miss
+            symbol = _find(model, coarse, (above / parts[2]).astype(np.uint16))
+            hit2 = target < parts[0] << LEFT
+            hit1 = ~(miss | hit2)
+            own = model.row_shares[:used] + symbol
+            low = model.flat_shares.take(own).astype(np.int32)
+            start, size = _intervals(parts, hit2, hit1, low, model.flat_shares.take(own + 1) - low)
+            symbol = np.where(miss, symbol, np.where(hit2, *model.found))
+            start *= sp
+            co -= start
+            sp *= size
+            narrow = (sp < LEAST).astype(np.int64)
+            shift = narrow.view(np.uint64) * WORD
+            co <<= shift
+            sp <<= shift
+            # Lanes that need no word shift theirs out.
+            co |= words.take(at) << shift >> WORD
+            at += narrow * stride
+            symbols[step, :used] = symbol
+            model.update(symbol, model.found == symbol)
+            before, last = last, symbol
+        model.met.append(symbols[chunk : chunk + CHUNK, : int(active[chunk])])
+    symbols = symbols.T.copy()
     for lane, (head, table) in enumerate(zip(heads, tables)):
-        ids = table[symbols[: head[1], lane]].astype("<u4")
+        ids = table[symbols[lane, : head[1]]].astype("<u4")
         if zlib.crc32(ids.tobytes()) != head[5]:
             raise ValueError("a block's ids differ from their checksum")
         yield ids

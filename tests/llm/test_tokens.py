@@ -163,3 +163,30 @@ def test_tasks_of_a_process_share_their_encoder():
     path = public_tokenizers.path("word_bpe_49k.json")
     assert encoder(path, False) is encoder(path, False)
     assert encoder(path, False) is not encoder(path, False, 10)
+
+
+def test_blocks_are_dealt_into_groups_of_like_size(monkeypatch):
+    """A few blocks beyond the lanes take no steps of their own beside almost empty lanes."""
+    sizes = []
+    coded, decoded = C._encode, C._decode
+    monkeypatch.setattr(C, "LANES", 8)
+    monkeypatch.setattr(C, "_encode", lambda blocks: sizes.append(len(blocks)) or coded(blocks))
+    monkeypatch.setattr(C, "_decode", lambda blocks: sizes.append(len(blocks)) or decoded(blocks))
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 90, n).astype("<u4") for n in (50, 7, 50, 33, 1, 50, 64, 65, 31)]
+    for block, found in zip(blocks, C.decode_blocks(C.encode_blocks(blocks))):
+        assert np.array_equal(block, found)
+    assert sorted(sizes) == [4, 4, 5, 5]
+
+
+def test_carries_and_guesses_of_the_least_chance():
+    """Many lanes of like contents, in which order 1's guess holds again long after it failed for long."""
+    blocks = []
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        ids = rng.zipf(1.2 + seed % 5 / 10, 400).clip(0, 2**32 - 1).astype("<u4")
+        blocks.append(np.concatenate([ids, np.tile(ids[:20], 5), ids[::-1], np.repeat(ids[:50], 3)])[: 400 + seed])
+    coded = C.encode_blocks(blocks)
+    for block, found in zip(blocks, C.decode_blocks(coded)):
+        assert np.array_equal(block, found)
+    assert all(len(c) < 60 + 6 * len(b) for b, c in zip(blocks, coded))
