@@ -37,8 +37,8 @@ MIXED, LEFT = np.int32(MIX), np.int32(INNER)
 UNIT = np.uint64(MIX + INNER)
 #: Intervals below LEAST are widened by one word, so every step begins with at least 16 of the coder's units.
 LEAST, WORD = np.uint64(1 << 32), np.uint64(32)
-#: Order 0: weight of one occurrence, and steps after which its cumulative shares may be rebuilt.
-GAIN, CHUNK = np.int32(32), 32
+#: Order 0: weight of one occurrence; its cumulative shares are rebuilt after CHUNK steps or 1/2^GROWTH of all, whichever is more.
+GAIN, CHUNK, GROWTH = np.int32(32), 32, 3
 CONTEXTS = 1 << 11
 #: A guess is remembered as symbol and confidence (1 to SURE, 0: not made yet) in 16 bits.
 SHIFT, SURE = np.uint16(3), np.uint16(7)
@@ -89,7 +89,7 @@ class Model:
         """Order 0's cumulative shares from the counts, if these have grown by an eighth or so since the last time."""
         if step < self.next:
             return False
-        self.next = step + max(CHUNK, step >> 3)
+        self.next = step + max(CHUNK, step >> GROWTH)
         for at in range(0, used, 64):
             part = slice(at, min(at + 64, used))
             upto, counts, distinct = self.upto[part], self.counts[part], self.distinct[part, None]
@@ -190,10 +190,13 @@ def _coded_tables(tables: list[np.ndarray]) -> Iterator[bytes]:
     values = np.diff(whole, prepend=0)
     firsts = np.append(0, sizes[:-1])
     values[firsts] = whole[firsts]
-    length = 1 + sum((values >> 7 * i > 0).astype(np.int64) for i in range(1, 5))
+    longest = max(1, -(-int(values.max()).bit_length() // 7))
+    length = np.ones(len(values), dtype=np.int64)
+    for i in range(1, longest):
+        length += values >> 7 * i > 0
     stops = np.cumsum(length)
     data = np.zeros(stops[-1], dtype=np.uint8)
-    for i in range(5):
+    for i in range(longest):
         held = np.flatnonzero(length > i)
         data[stops[held] - length[held] + i] = values[held] >> 7 * i & 127 | np.where(length[held] > i + 1, 128, 0)
     cuts = np.append(0, stops[sizes - 1]).tolist()
@@ -231,14 +234,16 @@ def _groups(lengths: list[int]) -> Iterator[list[int]]:
 
 def _numbered(blocks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The sorted distinct ids of each block, and its ids as numbers of these."""
-    number = np.zeros(1 << 16, dtype=np.uint16)
+    met, number, upto = np.zeros(1 << 16, dtype=bool), np.zeros(1 << 16, dtype=np.uint16), np.arange(BLOCK, dtype=np.uint16)
     for block in blocks:
-        ordered = np.sort(block)
-        table = ordered[np.append(True, ordered[1:] != ordered[:-1])]
-        if table[-1] < len(number):
-            number[table] = np.arange(len(table))
+        if block.max() < len(met):
+            met[block] = True
+            table = met.nonzero()[0]
+            met[table] = False
+            number[table] = upto[: len(table)]
             yield table, number.take(block)
         else:
+            table = np.unique(block)
             yield table, np.searchsorted(table, block)
 
 
@@ -368,15 +373,19 @@ def _decode(coded: list[bytes]) -> Iterator[np.ndarray]:
             miss = above >= 0
             above *= miss
             symbol = _find(model, coarse, (above / parts[2]).astype(np.uint16))
-            hit2 = target < parts[0] << LEFT
-            hit1 = ~(miss | hit2)
             own = model.row_shares[:used] + symbol
             low = model.flat_shares.take(own).astype(np.int32)
-            start, size = _intervals(parts, hit2, hit1, low, model.flat_shares.take(own + 1) - low)
-            symbol = np.where(miss, symbol, np.where(hit2, *model.found))
-            start *= sp
-            co -= start
-            sp *= size
+            start = (guessed << LEFT) + low * parts[2]
+            size = (model.flat_shares.take(own + 1) - low) * parts[2]
+            held = (~miss).nonzero()[0]
+            if len(held):
+                order2, order1 = parts[0][held], parts[1][held]
+                first = target[held] < order2 << LEFT
+                start[held] = (order2 << LEFT) * ~first
+                size[held] = np.where(first, order2, order1) << LEFT
+                symbol[held] = np.where(first, *model.found[:, held])
+            co -= start.astype(np.uint64) * sp
+            sp *= size.astype(np.uint64)
             narrow = (sp < LEAST).astype(np.int64)
             shift = narrow.view(np.uint64) * WORD
             co <<= shift
