@@ -113,8 +113,48 @@ def grouped_quantile(
 
     A value may come in several rows of a key. ``rows`` is an upper bound of the table size, if known.
     """
-    weighted = counts.select(*keys, value, F.col(weight).alias("_w"))
-    ranked = _placed_by_bucket(weighted, keys, value, share, rows).withColumn("_to", F.col("_from") + F.col("_w"))
+    return quantile_within(counts, quantile_ranges(bucket_totals(counts, keys, value, weight, rows), keys, share), keys, value, out, weight)
+
+
+def bucket_totals(counts: DataFrame, keys: list[str], value: str, weight: str = "n", rows: int | None = None) -> DataFrame:
+    """One row per (keys, bucket): ``total`` weight, least and largest value (``least``, ``most``). Its size follows from the buckets."""
+    marked = bucketed(counts.select(*keys, value, F.col(weight).alias("_w")), value, rows)
+    totals = marked.groupBy(*keys, BUCKET).agg(F.sum("_w").alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return written(totals, "bucket-totals")
+
+
+def quantile_ranges(totals: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Per key the wanted rank ``_at``, the weight ``_n`` and bounds of the values at that rank; written, so that Spark sees its size.
+
+    The value at a rank is not below the one found if every bucket stood at its least value, nor above that for its largest.
+    """
+    whole = W.partitionBy(*_or_constant(keys))
+    upto = lambda c: F.sum("total").over(whole.orderBy(c).rowsBetween(W.unboundedPreceding, 0))
+    placed = totals.withColumns({"_n": F.sum("total").over(whole), "_by_least": upto("least"), "_by_most": upto("most")})
+    placed = placed.withColumn("_at", F.lit(share) * (F.col("_n") - 1))
+    bounds = [
+        F.max("_at").alias("_at"),
+        F.max("_n").alias("_n"),
+        F.min(F.when(F.col("_by_least") > F.floor("_at"), F.col("least"))).alias("_least"),
+        F.min(F.when(F.col("_by_most") > F.ceil("_at"), F.col("most"))).alias("_most"),
+    ]
+    return written(placed.groupBy(*keys).agg(*bounds).filter(F.col("_n").isNotNull()), "quantile-ranges")
+
+
+def quantile_within(counts: DataFrame, ranges: DataFrame, keys: list[str], value: str, out: str, weight: str = "n") -> DataFrame:
+    """Quantiles of a count table whose ``quantile_ranges`` are known: only values between the bounds are ordered.
+
+    Values below (and missing ones, which come first) are added up in one row per key.
+    """
+    place = [F.col(f"m.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    rows, sides = counts.select(*keys, value, F.col(weight).alias("_w")).alias("m"), ranges.alias("h")
+    joined = rows.join(sides, place) if keys else rows.crossJoin(sides)
+    within = joined.filter(F.col(f"m.{value}").isNull() | (F.col(f"m.{value}") <= F.col("_most")))
+    kept = F.when(F.col(f"m.{value}") < F.col("_least"), None).otherwise(F.col(f"m.{value}"))
+    near = within.select(*[F.col(f"m.{k}").alias(k) for k in keys], kept.alias(value), "_at", "_n", "_w")
+    summed = near.groupBy(*keys, value, "_at", "_n").agg(F.sum("_w").alias("_w"))
+    before = W.partitionBy(*_or_constant(keys)).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    ranked = summed.withColumn("_from", F.coalesce(F.sum("_w").over(before), F.lit(0))).withColumn("_to", F.col("_from") + F.col("_w"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col(value)))
@@ -131,29 +171,6 @@ def grouped_quantile(
     return found.select(*keys, interpolated.alias(out), "sample_count")
 
 
-def _placed_by_bucket(
-    rows: DataFrame, keys: list[str], value: str, share: float, size: int | None = None
-) -> DataFrame:
-    """Rows of the one or two buckets per key that hold the wanted ranks, with their rank offsets."""
-    marked = bucketed(rows, value, size)
-    per_bucket = marked.groupBy(*keys, BUCKET).agg(F.sum("_w").alias("_total"))
-    whole = W.partitionBy(*_or_constant(keys))
-    earlier = whole.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    headers = (
-        per_bucket.withColumn("_w", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-        .withColumn("_n", F.sum("_total").over(whole))
-        .withColumn("_at", F.lit(share) * (F.col("_n") - 1))
-        .filter((F.col("_w") <= F.ceil("_at")) & (F.col("_w") + F.col("_total") > F.floor("_at")))
-        .drop("_total")
-    )
-    # Only rows of the buckets that hold a wanted rank are ordered: at most two buckets of every key.
-    place = [F.col(f"m.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys] + [F.col(f"m.{BUCKET}") == F.col(f"h.{BUCKET}")]
-    near = marked.alias("m").join(headers.withColumnRenamed("_w", "_start").alias("h"), place)
-    inside = W.partitionBy(*[F.col(f"m.{c}") for c in [*keys, BUCKET]]).orderBy(F.col(f"m.{value}")).rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_start") + F.coalesce(F.sum("m._w").over(inside), F.lit(0))
-    return near.select(*[F.col(f"m.{c}").alias(c) for c in [*keys, value, "_w"]], "_at", "_n", before.alias("_from"))
-
-
 PART = "_part"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import contract as C
 from plumbline.errors import ContractViolation, raise_if_any
-from plumbline.functions.ranks import count_table, grouped_quantile
+from plumbline.functions.ranks import BUCKET, bucket_totals, count_table, grouped_quantile, quantile_ranges, quantile_within
 from plumbline.functions.scalars import clip, is_finite, weighted_sum
 from plumbline.session import written
 
@@ -33,7 +33,8 @@ def median_and_mad(rows: DataFrame, components: dict[str, str] = C.COMPONENT_COL
     """Median, MAD and sample count at three grains: (region, lead), lead, global.
 
     Repeated values are counted once, at the finest grain, and every grain reads those counts. MAD is a
-    second quantile over |value - median of its own grain|.
+    second quantile over |value - median of its own grain|. Both are bounded by the totals of buckets of values, which are
+    made once, at the finest grain, and added up for the others.
     """
     keys = ["component", "region_id", "lead_day"]
     fine = count_table(component_rows(rows, components), keys, "value")
@@ -47,11 +48,17 @@ def median_and_mad(rows: DataFrame, components: dict[str, str] = C.COMPONENT_COL
         grain("global", F.lit(ALL_REGIONS), F.lit(ALL_LEADS)),
     )
     counts = fine.select("component", "value", "n", F.inline(every))
-    size = fine.count() * len(GRAINS)
-    medians = written(grouped_quantile(counts, _KEYS, "value", 0.5, "median", rows=size), "medians")
-    distance = F.abs(F.col("value") - F.col("median")).alias("value")
-    deviations = counts.join(medians.drop("sample_count"), _KEYS).select(*_KEYS, distance, "n")
-    mads = grouped_quantile(deviations, _KEYS, "value", 0.5, "mad", rows=size).drop("sample_count")
+    totals = bucket_totals(fine, keys, "value").select("component", BUCKET, "total", "least", "most", F.inline(every))
+    totals = totals.groupBy(*_KEYS, BUCKET).agg(F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+    totals = written(totals, "grain-totals")
+    medians = written(quantile_within(counts, quantile_ranges(totals, _KEYS, 0.5), _KEYS, "value", "median"), "medians")
+    middle = medians.drop("sample_count")
+    away = lambda c: F.abs(F.col(c) - F.col("median"))
+    inside = F.col("median").between(F.col("least"), F.col("most"))
+    nearest = F.when(inside, 0.0).otherwise(F.least(away("least"), away("most")))
+    around = totals.join(middle, _KEYS).select(*_KEYS, "total", nearest.alias("least"), F.greatest(away("least"), away("most")).alias("most"))
+    deviations = counts.join(middle, _KEYS).select(*_KEYS, away("value").alias("value"), "n")
+    mads = quantile_within(deviations, quantile_ranges(around, _KEYS, 0.5), _KEYS, "value", "mad").drop("sample_count")
     return medians.join(mads, _KEYS)
 
 

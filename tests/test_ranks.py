@@ -37,6 +37,29 @@ def test_quantile_without_keys(spark, skewed, size_limit):
     assert row.q == pytest.approx(np.quantile(skewed.value, 0.8), rel=1e-12)
 
 
+def test_missing_values_come_first_and_nan_last(spark, size_limit):
+    rows = [("a", None, 2), ("a", 1.0, 3), ("a", float("nan"), 1), ("b", None, 1), (None, 4.0, 1), (None, 8.0, 1)]
+    counts = spark.createDataFrame(rows, "key string, value double, n long")
+    found = {r.key: (r.q, r.sample_count) for share in [0.5] for r in ranks.grouped_quantile(counts, ["key"], "value", share, "q").collect()}
+    assert found == {"a": (1.0, 6), "b": (None, 1), None: (6.0, 2)}
+    ends = {share: {r.key: r.q for r in ranks.grouped_quantile(counts, ["key"], "value", share, "q").collect()} for share in (0.0, 1.0)}
+    assert ends[0.0] == {"a": None, "b": None, None: 4.0} and np.isnan(ends[1.0]["a"]) and ends[1.0][None] == 8.0
+
+
+def test_rows_are_left_out_before_they_are_dealt(spark, skewed, monkeypatch):
+    """Where values are bounded by tables that Spark knows to be small, no row is dealt or sorted before it is known to count."""
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 50)
+    counts = ranks.count_table(spark.createDataFrame(skewed), ["key"], "value")
+    small = {"spark.sql.autoBroadcastJoinThreshold": "12k", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in small}
+    for name, setting in small.items():
+        spark.conf.set(name, setting)
+    plan = ranks.grouped_quantile(counts, ["key"], "value", 0.5, "q")._jdf.queryExecution().executedPlan().toString()
+    for name, setting in before.items():
+        spark.conf.set(name, setting)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals_equal_pandas(spark, skewed, size_limit, descending):
     counts = ranks.count_table(spark.createDataFrame(skewed), ["key"], "value")
