@@ -146,9 +146,10 @@ def quantile_within(counts: DataFrame, ranges: DataFrame, keys: list[str], value
 
     Values below (and missing ones, which come first) are added up in one row per key.
     """
-    place = [F.col(f"m.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    rows, sides = counts.select(*keys, value, F.col(weight).alias("_w")).alias("m"), ranges.alias("h")
-    joined = rows.join(sides, place) if keys else rows.crossJoin(sides)
+    # The constant joins the one row of a table without keys.
+    rows = counts.select(*keys, value, F.col(weight).alias("_w"), F.lit(1).alias("_one")).alias("m")
+    sides = ranges.withColumn("_one", F.lit(1)).alias("h")
+    joined = rows.join(sides, [F.col(f"m.{k}").eqNullSafe(F.col(f"h.{k}")) for k in [*keys, "_one"]])
     within = joined.filter(F.col(f"m.{value}").isNull() | (F.col(f"m.{value}") <= F.col("_most")))
     kept = F.when(F.col(f"m.{value}") < F.col("_least"), None).otherwise(F.col(f"m.{value}"))
     near = within.select(*[F.col(f"m.{k}").alias(k) for k in keys], kept.alias(value), "_at", "_n", "_w")
