@@ -133,7 +133,8 @@ def evaluate_scores(
         F.sum("n").alias("rows"),
         (F.sum("pos") / F.sum("n")).alias("prevalence"),
         (F.sum(brier) / F.sum("n")).alias("brier_score"),
-        (F.sum("c2") / F.sum("n")).alias("brier_climatology"),
+        # Few distinct climatologies make short decimals; the order of the sum must not decide on which side of one the mean falls.
+        F.round(F.sum("c2") / F.sum("n"), 15).alias("brier_climatology"),
     )
     basic = basic.withColumn(
         "brier_skill_score",
